@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, mixing, url_reputation
+from corvane.llm import bpe, fm_dedup, mixing, suffix_dedup, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fm_dedup": fm_dedup.op1_fm_dedup,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op4_bpe": bpe.op4_bpe,
         "op7_url_reputation": url_reputation.op7_url_reputation,
         "op9_source_mixing": mixing.op9_source_mixing,
