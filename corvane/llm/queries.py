@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, fm_dedup, minhash_dedup, mixing, suffix_dedup, url_reputation
+from corvane.llm import bpe, embedding_dedup, fm_dedup, minhash_dedup, mixing, suffix_dedup, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_url_reputation": url_reputation.op7_url_reputation,
         "op8_minhash": minhash_dedup.op8_minhash,
         "op9_source_mixing": mixing.op9_source_mixing,
+        "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     }
 
 
