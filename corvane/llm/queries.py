@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, embedding_dedup, fm_dedup, minhash_dedup, mixing, suffix_dedup, url_reputation
+from corvane.llm import bpe, embedding_dedup, fingerprints, fm_dedup, minhash_dedup, mixing, suffix_dedup, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fm_dedup": fm_dedup.op1_fm_dedup,
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+        "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_bpe": bpe.op4_bpe,
         "op7_url_reputation": url_reputation.op7_url_reputation,
         "op8_minhash": minhash_dedup.op8_minhash,
