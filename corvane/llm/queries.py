@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, embedding_dedup, fingerprints, fm_dedup, html_text, minhash_dedup, mixing, suffix_dedup, url_reputation
+from corvane.llm import bpe, embedding_dedup, fingerprints, fm_dedup, html_text, minhash_dedup, mixing, quality, suffix_dedup, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_bpe": bpe.op4_bpe,
         "op5_html_text": html_text.op5_html_text,
+        "op6_quality": quality.op6_quality,
         "op7_url_reputation": url_reputation.op7_url_reputation,
         "op8_minhash": minhash_dedup.op8_minhash,
         "op9_source_mixing": mixing.op9_source_mixing,
