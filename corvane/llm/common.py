@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,23 +15,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset and the master is
-    local (tests) is a temporary folder used.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset and the master is local
+    (tests) is a temporary folder used.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="corvane-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder, for rows with texts."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def one_row_per_id(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
     """Rows with a null id are left out; of repeated rows of one id the least (by the other columns) stays."""
     return df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.struct(*cols)).alias("_r")).select(id_col, *[F.col(f"_r.{c}").alias(c) for c in cols])

@@ -126,6 +126,5 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents, written in the mixed order (files and rows follow the schedule's position)."""
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    place = mixed(docs.select("doc_id", "source")).select("doc_id", "position")
-    ordered = docs.join(place, "doc_id").repartitionByRange(n, "position").sortWithinPartitions("position")
-    return ordered.select(*docs.columns)
+    place = mixed(docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))).select("position", "_row")
+    return place.repartitionByRange(n, "position").sortWithinPartitions("position").select("_row.*")
