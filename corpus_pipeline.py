@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, mixing
+from corvane.llm import bpe, minhash_dedup, mixing, quality, suffix_dedup
+from corvane.llm.common import stored
 
 STAGES = [
+    ("quality", quality.quality_stage),
+    ("minhash", minhash_dedup.minhash_stage),
+    ("suffix", suffix_dedup.suffix_stage),
     ("mixing", mixing.mixing_stage),
     ("bpe", bpe.bpe_stage),
 ]
@@ -16,8 +20,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``, as one plan; each stage function cuts its own lineage where it iterates."""
+    """Apply all stages to ``documents``; between two stages stands a Parquet table in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if i == 0 else stored(docs), sf_dir)
     return docs
