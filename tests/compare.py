@@ -17,6 +17,7 @@ sys.path.insert(0, ROOT)
 def session(cpus: int = 8, memory: str = "6g"):
     from pyspark.sql import SparkSession
 
+    os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")  # for the workers
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .config("spark.sql.shuffle.partitions", "8")
