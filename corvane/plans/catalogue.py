@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this folder with a table QUERIES: name -> (query, SQL or None).
-MODULES = ("retrieval",)
+MODULES = ("retrieval", "dialog")
 
 
 def _all() -> dict:
