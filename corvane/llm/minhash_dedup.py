@@ -5,9 +5,11 @@ random fraction; a place keeps its least value. As later places have larger valu
 places are filled. The ranks of one shingle are correlated, which lowers the variance of the estimate.
 
 Documents with equal shingle sets are one class, of which the smallest id stands for all. Classes that share a band are
-compared with the smallest of the band first; groups are formed; then all pairs that share a band and are still in
-different groups are compared. So no link that could join two groups is left out, and a large group of near copies costs
-one comparison for each member, not one for each pair.
+compared with the smallest of the band first, and groups are formed. Classes that share a band and are still in different
+groups are then compared by signature, band by band in blocks, and those whose estimate doesn't rule a link out are
+clustered; within a cluster all of them that are still apart are compared on their full sets, again in blocks. A block
+returns only links that join groups, so no link that could join two groups is left out, and no list of all pairs of a
+large group arises.
 
 Texts are lower-cased (A-Z); words are the runs of other bytes than ASCII white space; a text with fewer words than a
 shingle has one shingle, an empty or null text none, and no link. Rows with a null id are left out. Rows that share an
@@ -27,6 +29,10 @@ from corvane.llm.common import BASE, Words, batches, components, cut, mix64, tab
 
 #: Bands and rows in a band: two sets of likeness 0.8 miss all bands with a chance of (1 - 0.8**4)**32 = 5e-8.
 BANDS, ROWS = 32, 4
+#: Under this share of equal places (4.5 standard deviations under 0.8) two sets are not compared; chance 3e-6.
+DOUBT = 0.64
+#: Rows of a block in comparisons by signature and by full sets.
+BLOCK, SET_BLOCK = 1024, 384
 #: Bytes of text that are hashed at once.
 PIECE = 2_000_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -95,7 +101,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (a digest of the set) and the band keys of each row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, d1, d2 (a digest of the set), the band keys and the signature (a byte a place) of each row of ``docs`` (doc_id, text)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -107,12 +113,14 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 for salt in (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)):
                     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(values ^ salt))))
                     digests.append((total[begin[1:]] - total[begin[:-1]]).view(np.int64))
-                keys = band_keys(super_minhash(values, begin, BANDS * ROWS))
+                signatures = super_minhash(values, begin, BANDS * ROWS)
+                keys = band_keys(signatures)
+                short = signatures.astype(np.uint8)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (e - b) + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b, e - b), pa.array(sizes.astype(np.int64)), *map(pa.array, digests), lists], ["doc_id", "n_shingles", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b, e - b), pa.array(sizes.astype(np.int64)), *map(pa.array, digests), lists, pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "bands", "sig"])
 
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"))
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sig binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -132,13 +140,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                     sets += np.split(values, begin[1:-1])
                 n, good = len(some), []
                 for i in range(n):
-                    x, y = sets[which[i]], sets[which[n + i]]
-                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                        continue
-                    # both are sorted
-                    at = np.searchsorted(x, y)
-                    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                    if 100 * both >= percent * (len(x) + len(y) - both):
+                    if alike(sets[which[i]], sets[which[n + i]], percent):
                         good.append(lo + i)
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], ["a", "b"])
 
@@ -147,28 +149,107 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def in_blocks(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Send each row to all pairs of blocks of its group that its own block is in: adds lo, hi and own."""
+    blocks = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_n"))
+    rows = rows.join(blocks, keys).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return rows.withColumn("lo", F.least("own", "_other")).withColumn("hi", F.greatest("own", "_other")).drop("_n", "_other")
+
+
+def doubtful(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (of the two blocks) in different groups whose signatures don't rule a link out, best first."""
+    own, c = rows.column("own").to_numpy(), rows.column("c").to_numpy()
+    first, second = np.flatnonzero(own == rows.column("lo")[0].as_py()), np.flatnonzero(own == rows.column("hi")[0].as_py())
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(len(rows), -1)
+    out, step = [], 64
+    for lo in range(0, len(first), step):
+        some = first[lo : lo + step]
+        equal = (sig[some][:, None, :] == sig[second][None, :, :]).sum(axis=2)
+        i, j = np.nonzero((equal >= DOUBT * sig.shape[1]) & (c[some][:, None] != c[second][None, :]))
+        out.append(np.stack((some[i], second[j], equal[i, j])))
+    a, b, equal = np.concatenate(out, axis=1) if out else np.zeros((3, 0), dtype=np.int64)
+    if rows.column("lo")[0].as_py() == rows.column("hi")[0].as_py():
+        a, b, equal = a[a < b], b[a < b], equal[a < b]
+    best = np.argsort(-equal, kind="stable")
+    return a[best], b[best]
+
+
+class Union:
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def doubts(rows: pa.Table) -> pa.Table:
+    """A forest that spans the doubtful pairs of two blocks."""
+    rep, union = rows.column("rep").to_pylist(), Union()
+    a, b = doubtful(rows)
+    kept = [(rep[i], rep[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True) if union.join(rep[i], rep[j])]
+    return pa.table({"a": pa.array([x for x, _ in kept], pa.int64()), "b": pa.array([y for _, y in kept], pa.int64())})
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are alike enough, by exact counts."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def settled(k: int, percent: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """Links that join groups of two blocks, by full sets."""
+        rep, c, texts = rows.column("rep").to_pylist(), rows.column("c").to_pylist(), [t.as_py() or b"" for t in rows.column("text")]
+        a, b = doubtful(rows)
+        union, sets, kept = Union(), [], []
+        for lo, hi in batches(texts, PIECE) if len(a) else ():
+            values, begin = shingles(texts[lo:hi], k)
+            sets += np.split(values, begin[1:-1])
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            if union.root(c[i]) != union.root(c[j]) and alike(sets[i], sets[j], percent):
+                union.join(c[i], c[j])
+                kept.append((rep[i], rep[j]))
+        return pa.table({"a": pa.array([x for x, _ in kept], pa.int64()), "b": pa.array([y for _, y in kept], pa.int64())})
+
+    return run
+
+
 def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the group) and kept for each row of ``docs`` (doc_id, text)."""
     sets = cut(signed(docs, k))
-    classes = sets.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"))
-    bands = classes.select("rep", "n", F.explode("bands").alias("key"))
+    classes = sets.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("s"))
+    classes = cut(classes)
+    bands = classes.select("rep", "n", F.explode("s.bands").alias("key"))
     often = bands.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("first")).where("m > 1").select("key", "first")
     shared = cut(bands.join(often, "key"))
     near = F.expr(f"100 * least(n, n0) >= {percent} * greatest(n, n0)")
     sizes = shared.where("rep = first").select(F.col("key"), F.col("n").alias("n0"))
-    tried = shared.where("rep <> first").join(sizes, "key").where(near).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = cut(tried)
-    links = cut(verified(tried, docs, k, percent))
-    groups = components(links)
+    first = shared.where("rep <> first").join(sizes, "key").where(near).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+    groups = components(verified(first, docs, k, percent))
     # what shares a band but not a group yet
-    member = shared.join(groups.withColumnsRenamed({"node": "rep"}), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    member = shared.select("key", "rep").join(groups.withColumnsRenamed({"node": "rep"}), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     apart = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    member = cut(member.join(apart, "key", "left_semi"))
-    other = member.select("key", F.col("rep").alias("a"), F.col("n").alias("n0"), F.col("c").alias("c0"))
-    rest = member.join(other, "key").where("a < rep AND c <> c0").where(near).select("a", F.col("rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = cut(rest)
-    if not rest.isEmpty():
-        groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(rest, docs, k, percent)))
+    signatures = classes.select("rep", "s.sig")
+    blocks = in_blocks(member.join(apart, "key", "left_semi"), ["key"], BLOCK).join(signatures, "rep")
+    forest = blocks.groupBy("key", "lo", "hi").applyInArrow(doubts, "a bigint, b bigint")
+    clusters = components(forest).withColumnsRenamed({"node": "rep", "component": "cluster"})
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("binary").alias("text"))
+    groups_of = clusters.join(groups.withColumnsRenamed({"node": "rep"}), "rep", "left").select("cluster", "rep", F.coalesce("component", "rep").alias("c"))
+    whole = in_blocks(groups_of.join(signatures, "rep").join(texts, "rep"), ["cluster"], SET_BLOCK)
+    late = whole.groupBy("cluster", "lo", "hi").applyInArrow(settled(k, percent), "a bigint, b bigint")
+    groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
     group = F.coalesce("component", "rep", "doc_id")
     joined = sets.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
     joined = joined.join(groups.withColumnsRenamed({"node": "rep"}), "rep", "left")

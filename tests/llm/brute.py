@@ -68,7 +68,7 @@ def near_dups(docs, k=4, percent=80):
         for x in s:
             by.setdefault(x, []).append(d)
     for ds in by.values():
-        pairs.update((ds[0], d) for d in ds[1:]) if len(ds) > 400 else pairs.update((a, b) for i, a in enumerate(ds) for b in ds[i + 1 :])
+        pairs.update((a, b) for i, a in enumerate(ds) for b in ds[i + 1 :])
     for a, b in pairs:
         n = len(sets[a] & sets[b])
         if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
