@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import table
+from corvane.llm.common import stored, table
 
 #: Pages of a host that must have a node, and the importance under which it is removed; weight of content.
 LEAST_PAGES, THRESHOLD, CONTENT = 5, 0.2, 0.7
@@ -217,7 +217,9 @@ def style_tree(pages: DataFrame) -> DataFrame:
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages`` (page_id, url, html)."""
     pages = hosted(pages)
-    low = style_tree(pages).where(F.col("named") | (F.col("n_nodes") >= LEAST_PAGES) & (F.col("importance") < THRESHOLD)).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))
+    # a page tells by itself which of its nodes are named; the list, of known size once it is stored, is broadcast if small
+    low = style_tree(pages).where(~F.col("named") & (F.col("n_nodes") >= LEAST_PAGES) & (F.col("importance") < THRESHOLD)).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))
+    low = stored(low)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:

@@ -251,7 +251,7 @@ def test_quality_keeps_good_documents(spark):
         good = i % 4 > 0
         text = " ".join(rng.choice(["the", "quiet", "river", "was", "long", "and", "blue"]) + ("" if good else "!!#") for _ in range(60))
         docs.append((i, text, "en", f"s{i % 5}", len(text)))
-        if i % 2:
+        if i % 3:
             labels.append((i, int(good), 0))
     docs += [(1000, None, None, None, None), (1001, "", "xx", None, 0)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")
