@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import table
 
-#: Entries that a worker's caches hold before they are emptied.
-CACHE = 400_000
+#: Entries that a worker's caches of pieces, words and token pairs hold before they are emptied.
+PIECES, WORDS, PAIRS = 150_000, 20_000, 300_000
 #: Unicode white space, which separates words and is dropped.
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -151,9 +151,9 @@ class Codec:
             out.append(self.ids[last[at]])
             at = back[at]
         found = self.words[word] = tuple(reversed(out))
-        if len(self.words) > CACHE:
+        if len(self.words) > WORDS:
             self.words.clear()
-        if len(fits) > 4 * CACHE:
+        if len(fits) > PAIRS:
             fits.clear()
         return found
 
@@ -173,6 +173,11 @@ class Codec:
                     ids.extend(self.encode_word(word))
         return b"".join(i.to_bytes(4, "little") for i in ids), " ".join(map(self.names.__getitem__, ids))
 
+    def forget(self) -> None:
+        """Empty the caches of pieces and words, so that an idle worker holds no more than the vocabulary."""
+        self.chunks.clear()
+        self.words.clear()
+
     def encode(self, text: str) -> tuple[bytes, list[str]]:
         """The ids of a text, packed, and the decoded text in pieces to be joined by one space."""
         pieces = self.chunk.findall(text)
@@ -180,7 +185,7 @@ class Codec:
         for p in set(pieces).difference(known):
             known[p] = self.encode_chunk(p)
         found = [known[p] for p in pieces]
-        if len(known) > CACHE:
+        if len(known) > PIECES:
             known.clear()
         return b"".join([f[0] for f in found]), [f[1] for f in found if f[1]]
 
@@ -203,6 +208,7 @@ def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 ids.append(packed)
                 texts.append(decoded)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+        codec.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded string")
 
@@ -222,6 +228,7 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 out[1].append(hashlib.sha256(packed).hexdigest())
                 out[2].append(hashlib.sha256(" ".join(pieces).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

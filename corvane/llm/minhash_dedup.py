@@ -34,7 +34,7 @@ DOUBT = 0.64
 #: Rows of a block in comparisons by signature and by full sets.
 BLOCK, SET_BLOCK = 1024, 384
 #: Bytes of text that are hashed at once.
-PIECE = 2_000_000
+PIECE = 1_000_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 

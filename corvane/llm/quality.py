@@ -32,7 +32,7 @@ LABELLED, UNLABELLED, ROUNDS, TAUGHT = 6_000, 6_000, 3, 200
 SURE, LOST = 0.98, 0.002
 #: Hashed features of the content view and of the categories in the metadata view.
 ENDINGS, SHAPES, CATEGORIES = 256, 128, 32
-PIECE = 2_000_000
+PIECE = 1_000_000
 
 KIND = np.full(256, 5, dtype=np.uint8)  # classes of bytes: lower, upper, digit, high, point, symbol
 KIND[0x61:0x7B], KIND[0x41:0x5B], KIND[0x30:0x3A], KIND[0x80:] = 0, 1, 2, 3

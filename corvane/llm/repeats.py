@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Buckets for each shuffle partition; bytes of text whose hashes are computed at once.
-BUCKETS, PIECE = 4, 2_000_000
+BUCKETS, PIECE = 4, 1_000_000
 LOW32 = np.uint64(0xFFFFFFFF)
 
 
@@ -45,7 +45,7 @@ def dealt(docs: DataFrame, measure: Callable[[bytes], int], shortest: int) -> Da
         again: set[bytes] = set()
         schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("text", pa.binary()), ("n", pa.int64())])
         rest_type = pa.bool_()
-        for batch in rows:
+        for batch in (b.slice(i, 1000) for b in rows for i in range(0, max(1, len(b)), 1000)):
             rest_type = batch.column(2).type
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
