@@ -90,7 +90,7 @@ def wilson(hits: Column, total: Column, z: float = 1.96) -> tuple[Column, Column
     centre, half = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     scale = 1 + z * z / n
     low, high = F.greatest(F.lit(0.0), (centre - half) / scale), F.least(F.lit(1.0), (centre + half) / scale)
-    return F.coalesce(low, F.lit(0.0)), F.coalesce(high, F.lit(0.0))
+    return F.when(n.isNotNull(), low).otherwise(0.0), F.when(n.isNotNull(), high).otherwise(0.0)
 
 
 def sample_size(share: Column, half_width: float, z: float = 1.96) -> Column:

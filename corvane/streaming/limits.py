@@ -44,8 +44,8 @@ def limited_batch(events: DataFrame, key: str, limit: int, window: float) -> Dat
     return ordered.mapInPandas(run, "event_id bigint, admitted boolean, retry_after double")
 
 
-def limited_stream(events: DataFrame, key: str, limit: int, window: float) -> DataFrame:
-    """The limiter over a stream; a key's state is dropped when it has been idle for a window (of processing time)."""
+def limited_stream(events: DataFrame, key: str, limit: int, window: float, late: str = "1 hour") -> DataFrame:
+    """The limiter over a stream; a key's state is dropped when the watermark has passed its last admitted event's window."""
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -58,11 +58,11 @@ def limited_stream(events: DataFrame, key: str, limit: int, window: float) -> Da
             ok, retry, kept = admit(kept, ts, limit, window)
             out.append((event_id, ok, retry))
         state.update((kept,))
-        state.setTimeoutDuration(int(window * 1000))
+        state.setTimeoutTimestamp(max(int((kept[-1] + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["event_id", "admitted", "retry_after"])
 
-    rows = events.select(F.col(key).alias("k"), "event_id", F.col("ts").cast("timestamp").cast("double").alias("ts"))
-    return rows.groupBy("k").applyInPandasWithState(run, "event_id bigint, admitted boolean, retry_after double", "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.select(F.col(key).alias("k"), "event_id", F.col("ts").cast("timestamp").alias("at")).withWatermark("at", late).withColumn("ts", F.col("at").cast("double"))
+    return rows.groupBy("k").applyInPandasWithState(run, "event_id bigint, admitted boolean, retry_after double", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, late: str, length: str, step: str | None = None) -> DataFrame:
