@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import table
 
 #: Entries that a worker's caches of pieces, words and token pairs hold before they are emptied.
-PIECES, WORDS, PAIRS = 150_000, 20_000, 300_000
+PIECES, WORDS, PAIRS = 400_000, 200_000, 300_000
 #: Unicode white space, which separates words and is dropped.
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
