@@ -135,45 +135,14 @@ def batches(texts, limit: int):
         yield begin, len(texts)
 
 
-def _forest(rows):
-    """Replace the links of a partition by as many as join its nodes: (node, smallest node of its local group)."""
-    import pyarrow as pa
-
-    up: dict[int, int] = {}
-    for batch in rows:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            roots = []
-            for x in (a, b):
-                up.setdefault(x, x)
-                while up[x] != x:
-                    up[x] = up[up[x]]
-                    x = up[x]
-                roots.append(x)
-            up[max(roots)] = min(roots)
-        if len(up) > 500_000:  # bounded: what is known so far goes out, the rest starts afresh
-            yield _flushed(up, pa)
-            up = {}
-    yield _flushed(up, pa)
-
-
-def _flushed(up: dict[int, int], pa):
-    out = []
-    for x in up:
-        y = x
-        while up[y] != y:
-            y = up[y]
-        if x != y:
-            out.append((x, y))
-    return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["u", "v"])
-
-
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): node, component (its smallest node), for all nodes that have a link.
 
-    Union-find within partitions, then large-star and small-star steps until nothing changes.
+    Large-star and small-star steps until nothing changes. The links come from tasks that found them by union-find, so
+    that few are left over; no Python worker beside those is needed here.
     """
     ends = links.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a <> b")
-    e = cut(ends.mapInArrow(_forest, "u bigint, v bigint").distinct())
+    e = cut(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         state = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

@@ -33,6 +33,8 @@ BANDS, ROWS = 32, 4
 DOUBT = 0.64
 #: Rows of a block in comparisons by signature and by full sets.
 BLOCK, SET_BLOCK = 1024, 384
+#: Nodes that a task's union-find holds before it starts afresh.
+FOREST = 500_000
 #: Bytes of text that are hashed at once.
 PIECE = 1_000_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -124,10 +126,12 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are alike enough."""
+    """Pairs (a, b) whose full shingle sets are alike enough, as many as join the groups that a task sees."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        union = Union()
         for batch in rows:
+            union = Union() if len(union.up) > FOREST else union
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             for lo in range(0, len(a), 256):
                 some = batch.slice(lo, 256)
@@ -140,7 +144,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                     sets += np.split(values, begin[1:-1])
                 n, good = len(some), []
                 for i in range(n):
-                    if alike(sets[which[i]], sets[which[n + i]], percent):
+                    if alike(sets[which[i]], sets[which[n + i]], percent) and union.join(a[lo + i], b[lo + i]):
                         good.append(lo + i)
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], ["a", "b"])
 
