@@ -2,10 +2,11 @@
 
 Every element of a page is a node of its host's style tree, named by (a digest of) the path of tags, ids and classes
 that leads to it.
-For each node the tree counts how its child tags (presentation) and its texts (content) are spread over the pages; their
-normalised entropies give the node's importance. What looks and reads the same on every page (menus, notices, legal
-lines) has a low one and is cut from each page. Nodes whose tag, role or class says what they are (navigation, adverts,
-forms, comments, ...) have importance zero, whatever they hold; the article itself, its paragraphs and its headings have
+For each node the tree counts how its child tags (presentation) and its texts (content) are spread over the distinct
+pages of the host: all elements of one path on a page are one value, and copies of a page count once. The normalised
+entropies give the node's importance. What looks and reads the same on every page (menus, notices, legal lines) has a low
+one and is cut from each page. Nodes whose tag, role or class says what they are (navigation, adverts, forms, comments,
+...) have importance zero, whatever they hold; the article itself and all that it holds, paragraphs and headings have
 importance one. Where a page marks its article (``article``, ``main``, ...), only text below it is taken.
 
 Character references are decoded; white space inside a block becomes one space; blocks are joined by one space. A null
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import stored, table
 
-#: Pages of a host that must have a node, and the importance under which it is removed; weight of content.
+#: Distinct pages of a host that must have a node, and the importance under which it is removed; weight of content.
 LEAST_PAGES, THRESHOLD, CONTENT = 5, 0.2, 0.7
 
 # Fixed values of HTML.
@@ -140,7 +141,7 @@ def texts(node: Node, low: frozenset, wanted: int, taken: bool, out: list[str])
             if on:
                 out.append(x)
             continue
-        if x.dropped or (x.path in low and not x.holds):
+        if x.dropped or (x.path in low and not (x.holds or x.inside or (wanted and on))):
             out.append("\0" if x.tag in BLOCKS else "")
             continue
         on = on or (wanted and x.rank == wanted)
@@ -166,26 +167,31 @@ def main_text(html: str | None, low: frozenset = frozenset()) -> str:
     return joined(out)
 
 
-def styles(html: str | None) -> Iterator[tuple[int, int, int, bool]]:
-    """The nodes that may be removed: path, presentation (hash of the child tags), content (hash of the text), and
-    whether the name of the tag, role or class tells that it isn't the article."""
+def styles(html: str | None) -> tuple[int, list[tuple[int, int, int, bool]]] | None:
+    """A digest of what the page shows, and for each path outside the article whose nodes may be removed: presentation
+    (hash of the nodes' child tags), content (hash of their texts), and whether the name of a tag, role or class tells
+    that it isn't the article."""
     if not html:
-        return
+        return None
     page = Page(html.replace("\0", "�"))
 
-    order, work = [], [page.root]
+    order, work = [], [(page.root, False)]
     while work:
-        node = work.pop()
-        order.append(node)
-        work.extend(c for c in node.children if isinstance(c, Node) and c.tag not in ("script", "style"))
+        node, on = work.pop()
+        on = on or node.inside or (page.best > 0 and node.rank == page.best)
+        order.append((node, on))
+        work.extend((c, on) for c in node.children if isinstance(c, Node) and c.tag not in ("script", "style"))
     content: dict[Node, int] = {}  # of the nodes with text
-    for node in reversed(order):  # children before parents
+    found: dict[int, list] = {}
+    for node, on in reversed(order):  # children before parents
         parts = [" ".join(c.split()) if isinstance(c, str) else content.get(c) for c in node.children]
         parts = [p for p in parts if p]
         if parts:
             content[node] = number(repr(parts))
-            if not node.holds and node.tag in BLOCKS and node.tag not in TEXTUAL and node.tag not in WHOLE:
-                yield node.path, number(" ".join(c.tag for c in node.children if isinstance(c, Node))), content[node], node.dropped > 0
+            if not on and not node.holds and node.tag in BLOCKS and node.tag not in TEXTUAL and node.tag not in WHOLE:
+                found.setdefault(node.path, []).append((" ".join(c.tag for c in node.children if isinstance(c, Node)), content[node], node.dropped > 0))
+    out = [(path, number(repr([x[0] for x in nodes])), number(repr([x[1] for x in nodes])), any(x[2] for x in nodes)) for path, nodes in found.items()]
+    return number(repr((content.get(page.root), out))), out
 
 
 def hosted(pages: DataFrame) -> DataFrame:
@@ -194,31 +200,38 @@ def hosted(pages: DataFrame) -> DataFrame:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """For each host and path: pages, and the importance from the entropies of presentation and content."""
+    """For each host and path: distinct pages, and the importance from the entropies of presentation and content."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            hosts, digests, ends, out = [], [], [0], ([], [], [], [])
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for found in styles(html.as_py()):
-                    for column, value in zip(out, (host, *found), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["host", "path", "shape", "content", "named"])
-
-    nodes = pages.select("host", "html").mapInArrow(run, "host string, path bigint, shape bigint, content bigint, named boolean")
+                page = styles(html.as_py())
+                if page and page[1]:
+                    for column, values in zip(out, zip(*page[1], strict=True), strict=True):
+                        column.extend(values)
+                    hosts.append(host)
+                    digests.append(page[0])
+                    ends.append(len(out[0]))
+            nodes = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["path", "shape", "content", "named"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes)], ["host", "page", "nodes"])
+
+    found = pages.select("host", "html").mapInArrow(run, "host string, page bigint, nodes array<struct<path: bigint, shape: bigint, content: bigint, named: boolean>>")
+    nodes = found.groupBy("host", "page").agg(F.first("nodes").alias("nodes")).select("host", F.explode("nodes").alias("x")).select("host", "x.*")
     both = nodes.select("host", "path", "named", F.explode(F.array(F.struct(F.lit(False).alias("is_content"), F.col("shape").alias("value")), F.struct(F.lit(True).alias("is_content"), F.col("content").alias("value")))).alias("x"))
     counts = both.groupBy("host", "path", "x.is_content", "x.value").agg(F.count(F.lit(1)).alias("n"), F.max("named").alias("named"))
     spread = counts.groupBy("host", "path", "is_content").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max("named").alias("named"))
     entropy = F.when(F.col("n") > 1, (F.log("n") - F.col("s") / F.col("n")) / F.log("n")).otherwise(1.0)
     weighted = F.sum(entropy * F.when(F.col("is_content"), CONTENT).otherwise(1 - CONTENT))
-    return spread.groupBy("host", "path").agg(F.max("n").alias("n_nodes"), F.max("named").alias("named"), F.when(F.max("named"), 0.0).otherwise(weighted).alias("importance"))
+    return spread.groupBy("host", "path").agg(F.max("n").alias("n_pages"), F.max("named").alias("named"), F.when(F.max("named"), 0.0).otherwise(weighted).alias("importance"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages`` (page_id, url, html)."""
     pages = hosted(pages)
     # a page tells by itself which of its nodes are named; the list, of known size once it is stored, is broadcast if small
-    low = style_tree(pages).where(~F.col("named") & (F.col("n_nodes") >= LEAST_PAGES) & (F.col("importance") < THRESHOLD)).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))
+    low = style_tree(pages).where(~F.col("named") & (F.col("n_pages") >= LEAST_PAGES) & (F.col("importance") < THRESHOLD)).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))
     low = stored(low)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

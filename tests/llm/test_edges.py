@@ -210,6 +210,21 @@ def test_html_style_tree_removes_what_repeats(spark):
     assert got == {i: f"text {i} of page {i * 7}" for i in range(8)}
 
 
+def test_html_style_tree_spares_the_article_and_counts_copies_once(spark):
+    menu = "<div class=box>Always the same words</div>"
+    answers = ["yes", "no"]
+    table = lambda i: f"<table><tr><td>{answers[i % 2]}</td></tr></table><ul><li>one</li><li>two</li></ul>"
+    pages = [(i, f"http://m.com/{i}", f"<body>{menu}<main><p>text {i}</p>{table(i)}</main>") for i in range(40)]
+    # without a mark: many copies of one page beside pages of their own, and one page with equal list items
+    plain = lambda x: f"<body>{menu}<p>text {x}</p><ul><li>first {x}</li><li>then {x}</li></ul>"
+    pages += [(100 + i, f"http://c.com/{i}", plain("copy" if i < 80 else i)) for i in range(100)]
+    pages += [(300, "http://l.com/", f"<body>{menu}<p>text</p><ul>{'<li>same</li>' * 5}</ul>")]
+    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3)).collect()}
+    assert {i: got[i] for i in range(40)} == {i: f"text {i} {answers[i % 2]} one two" for i in range(40)}
+    assert {i: got[100 + i] for i in range(100)} == {i: "text {0} first {0} then {0}".format("copy" if i < 80 else i) for i in range(100)}
+    assert got[300] == "Always the same words text same same same same same"
+
+
 def test_urls(spark):
     urls = ["http://Example.COM/en/1", "https://example.com/en/7x", "x://a.net/de/8?q", "http://sub.example.net/de/8", "http://b.org/es/#f", "no scheme", None, "http://notexample.com.x/en/", "http://c.io?q=1"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
