@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -133,10 +135,10 @@ n AS (SELECT conv_id, turn, list_transform(regexp_split_to_array(g, ',\s*'), lam
 SELECT DISTINCT conv_id, turn, number, ['first', 'second', 'third'][number] AS title FROM (SELECT conv_id, turn, unnest(n) AS number FROM n WHERE list_max(n) <= 3 AND list_min(n) >= 1)"""
 
 
-def repeated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def repeated_questions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """User turns whose text (in normal form) an earlier turn of the conversation within five turns has already."""
     w = Window.partitionBy("conv_id", "t").orderBy("turn")
-    rows = _turns(spark, sf_dir).where("role = 'user'").withColumn("t", F.substring(normalized(F.col("text")), 1, 2))
+    rows = _turns(spark, sf_dir).where("role = 'user'").withColumn("t", normalized(F.col("text")) if whole else F.substring(normalized(F.col("text")), 1, 2))
     return rows.withColumn("before", F.lag("turn").over(w)).where("turn - before <= 5").select("conv_id", "turn", "before")
 
 
@@ -165,4 +167,5 @@ QUERIES = {
     "citations": (citations, CITE_SQL),
     "repeated_questions": (repeated_questions, REPEAT_SQL),
     "dialog_markdown": (dialog_markdown, MARKDOWN_SQL),
+    "repeated_questions_whole": (partial(repeated_questions, whole=True), None),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,9 +46,9 @@ SELECT o_orderkey, {_sum_sql(G.INN10)} % 11 % 10 = n[10]::INTEGER AS ten, {_sum_
  {_sum_sql(tuple(range(9, 0, -1)), 1)} % 101 % 100 = n[11:12]::INTEGER AND length(replace(n[2:12], n[2], '')) > 0 AS eleven, {LUHN} AS card FROM s"""
 
 
-def ngram_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of each passage's words and word pairs that the first document of each source has."""
-    first = _docs(spark, sf_dir).groupBy("source").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d")).select("d.*")
+def ngram_coverage(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Share of each passage's words and word pairs that the first document of each source has (``whole``: every document)."""
+    first = _docs(spark, sf_dir).select("doc_id", "text") if whole else _docs(spark, sf_dir).groupBy("source").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d")).select("d.*")
     grams = lambda df: df.withColumn("_w", T.tokens(F.col("text"))).withColumn("g", F.concat("_w", T.ngrams(F.col("_w"), 2)))
     known = grams(first).select("doc_id", F.explode(F.array_distinct("g")).alias("gram"))
     own = grams(table(spark, sf_dir, "benchmark")).select("item_id", F.array_distinct("g").alias("g")).select("item_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
@@ -60,10 +62,10 @@ e AS (SELECT item_id, len(gs) AS n, unnest(gs) AS g FROM o)
 SELECT item_id, doc_id, count(*) AS hits, round(count(*) / max(n)::DOUBLE, 6) AS coverage FROM e JOIN k USING (g) GROUP BY 1, 2"""
 
 
-def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _answers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Made-up answers: numbers of an event and its neighbours, partly those of a context and a question."""
     n = F.col("event_id")
-    return table(spark, sf_dir, "events").where("event_id % 10 = 0").select(
+    return table(spark, sf_dir, "events").where("true" if whole else "event_id % 10 = 0").select(
         "event_id",
         F.concat(F.lit("rate "), n % 7, F.lit(",5 and "), n % 11, F.lit(" points of "), n % 13, F.lit(" and "), n % 7, F.lit(".5")).alias("answer"),
         F.concat(F.lit("table: "), n % 7, F.lit(".5 | "), (n + 3) % 11).alias("context"),
@@ -75,10 +77,10 @@ ANSWERS = """a AS (SELECT event_id, 'rate ' || event_id % 7 || ',5 and ' || even
 NUM = r"list_transform(regexp_extract_all({0}, '\d+(?:[.,]\d+)?'), lambda x: replace(x, ',', '.'))"
 
 
-def unverified_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unverified_numbers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Numbers of answers that stand nowhere else, and those that only echo the question."""
     a, c, q = F.col("answer"), F.col("context"), F.col("question")
-    return _answers(spark, sf_dir).select("event_id", F.array_join(G.unverified(a, c, q), "|").alias("unverified"), F.array_join(G.echoed(a, c, q), "|").alias("echoed"))
+    return _answers(spark, sf_dir, whole).select("event_id", F.array_join(G.unverified(a, c, q), "|").alias("unverified"), F.array_join(G.echoed(a, c, q), "|").alias("echoed"))
 
 
 UNVERIFIED_SQL = f"""WITH {ANSWERS}, n AS (SELECT event_id, {NUM.format('answer')} AS a, {NUM.format('context')} AS c, {NUM.format('question')} AS q FROM a),
@@ -86,9 +88,9 @@ f AS (SELECT event_id, a, c, q, list_filter(a, lambda x, i: list_position(a, x)
 SELECT event_id, array_to_string(list_filter(d, lambda x: NOT list_contains(c, x) AND NOT list_contains(q, x)), '|') AS unverified, array_to_string(list_filter(d, lambda x: NOT list_contains(c, x) AND list_contains(q, x)), '|') AS echoed FROM f"""
 
 
-def foreign_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def foreign_numbers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Numbers of an answer that belong to other events of its group, less those of its own context."""
-    rows = _answers(spark, sf_dir).withColumn("g", F.col("event_id") % 50)
+    rows = _answers(spark, sf_dir, whole).withColumn("g", F.col("event_id") % 50)
     others = rows.select("g", F.col("event_id").alias("o"), F.explode(T.numbers(F.col("context"))).alias("n"))
     own = rows.select("g", "event_id", F.explode(F.array_except(T.numbers(F.col("answer")), T.numbers(F.col("context")))).alias("n"))
     foreign = others.groupBy("g", "n").agg(F.min("o").alias("low"), F.max("o").alias("high"))
@@ -203,4 +205,7 @@ QUERIES = {
     "checklist": (checklist, CHECKLIST_SQL),
     "composite_texts": (composite_texts, COMPOSITE_SQL),
     "novel_words": (novel_words, NOVEL_SQL),
+    "ngram_coverage_whole": (partial(ngram_coverage, whole=True), None),
+    "unverified_numbers_whole": (partial(unverified_numbers, whole=True), None),
+    "foreign_numbers_whole": (partial(foreign_numbers, whole=True), None),
 }

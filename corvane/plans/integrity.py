@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +29,11 @@ def except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXCEPT_SQL = "SELECT l_returnflag, l_suppkey FROM lineitem WHERE l_quantity < 25 EXCEPT ALL SELECT l_returnflag, l_suppkey FROM lineitem WHERE l_discount > 0.05"
 
 
-def set_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def set_changes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Words that a document has added to or removed from those of the one before it in its source."""
     from corvane.functions.text import tokens
 
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(tokens(F.substring("text", 1, 300))).alias("w"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(tokens(F.col("text") if whole else F.substring("text", 1, 300))).alias("w"))
     rows = rows.withColumn("before", F.lag("w").over(Window.partitionBy("source").orderBy("doc_id"))).where("before IS NOT NULL")
     return rows.select("doc_id", F.size(F.array_except("w", "before")).cast("bigint").alias("added"), F.size(F.array_except("before", "w")).cast("bigint").alias("removed"), F.size(F.array_intersect("w", "before")).cast("bigint").alias("common"))
 
@@ -53,10 +55,10 @@ j AS (SELECT coalesce(o.p_partkey, n.p_partkey) AS p_partkey, CASE WHEN o.p_part
 SELECT p_partkey, status, CASE WHEN status = 'changed' THEN c END AS columns FROM j WHERE status IS NOT NULL"""
 
 
-def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def positional_zip(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """The i-th order of a customer beside the i-th urgent one, and whether both lists have the same length."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
-    few = orders.where("o_custkey % 50 = 0")
+    few = orders if whole else orders.where("o_custkey % 50 = 0")
     return I.zipped(few.select("o_custkey", "o_orderkey"), few.where("o_orderpriority < '3'").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
 
 
@@ -73,10 +75,10 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = "lines AS (SELECT doc_id, unnest(range(0, len(l)))::INTEGER AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 
 
-def logical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def logical_rows(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Physical lines joined to logical rows; every third line is made to end with a bar, every seventh to start with a code."""
-    line = F.concat(F.when(F.col("line_no") % 7 == 5, "1.2 ").otherwise(""), F.substring("line", 1, 20), F.when(F.col("line_no") % 3 == 2, " |").otherwise(""))
-    return I.logical_rows(_lines(spark, sf_dir).where("doc_id % 5 = 0").withColumn("line", line), "doc_id", "line_no", "line")
+    line = F.concat(F.when(F.col("line_no") % 7 == 5, "1.2 ").otherwise(""), F.col("line") if whole else F.substring("line", 1, 20), F.when(F.col("line_no") % 3 == 2, " |").otherwise(""))
+    return I.logical_rows(_lines(spark, sf_dir).where("true" if whole else "doc_id % 5 = 0").withColumn("line", line), "doc_id", "line_no", "line")
 
 
 LOGICAL_SQL = rf"""WITH {LINES}, m AS (SELECT doc_id, line_no, CASE WHEN line_no % 7 = 5 THEN '1.2 ' ELSE '' END || substr(line, 1, 20) || CASE WHEN line_no % 3 = 2 THEN ' |' ELSE '' END AS line FROM lines WHERE doc_id % 5 = 0),
@@ -94,10 +96,10 @@ def filled_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILLED_SQL = f"WITH {LINES}, f AS (SELECT doc_id, last_value(CASE WHEN length(line) < 25 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM lines) SELECT doc_id, header, count(*) AS n FROM f GROUP BY 1, 2"
 
 
-def clause_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clause_parts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Numbered clauses of documents whose every fourth line got a number."""
     line = F.when(F.col("line_no") % 4 == 1, F.concat((F.col("line_no") / 4).cast("int") + 1, F.lit(". "), "line")).otherwise(F.col("line"))
-    rows = I.clauses(_lines(spark, sf_dir).where("doc_id % 5 = 1").withColumn("line", line), "doc_id", "line_no", "line")
+    rows = I.clauses(_lines(spark, sf_dir).where("true" if whole else "doc_id % 5 = 1").withColumn("line", line), "doc_id", "line_no", "line")
     return rows.select("doc_id", "clause_no", "point", F.length("clause").cast("bigint").alias("n_chars"), F.sha1("clause").alias("digest"))
 
 
@@ -193,4 +195,8 @@ QUERIES = {
     "refreshed": (refreshed, REFRESH_SQL),
     "content_ids": (content_ids, IDS_SQL),
     "html_cells": (html_cells, CELLS_SQL),
+    "set_changes_whole": (partial(set_changes, whole=True), None),
+    "positional_zip_whole": (partial(positional_zip, whole=True), None),
+    "logical_rows_whole": (partial(logical_rows, whole=True), None),
+    "clause_parts_whole": (partial(clause_parts, whole=True), None),
 }

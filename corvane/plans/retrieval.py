@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,13 +195,13 @@ chosen AS (SELECT *, turn <= CASE source WHEN 'src0' THEN 3 WHEN 'src1' THEN 0 E
 SELECT query_id, doc_id, source, rank, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chosen DESC, CASE WHEN chosen THEN turn END NULLS FIRST, CASE WHEN chosen THEN claim END NULLS FIRST, rank) AS place FROM chosen) WHERE place <= 12"""
 
 
-def name_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def name_suggest(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Parts whose names share words with a part's own type and name: by matched words, then summed idf."""
     part = table(spark, sf_dir, "part")
     names = part.select(F.col("p_partkey").alias("code"), F.explode(F.array_distinct(tokens(F.col("p_name")))).alias("term"))
     n = part.agg(F.count(F.lit(1)).alias("n"))
     idf = names.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
-    asked = part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.explode(F.array_distinct(tokens(F.concat_ws(" ", "p_name", "p_type")))).alias("term")).where(~F.col("term").isin("small", "economy"))
+    asked = part.where("true" if whole else "p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.explode(F.array_distinct(tokens(F.concat_ws(" ", "p_name", "p_type")))).alias("term")).where("true" if whole else "term NOT IN ('small', 'economy')")
     found = asked.join(idf, "term").join(names, "term").groupBy("query_id", "code").agg(F.count(F.lit(1)).alias("matched"), F.round(F.sum("idf"), 6).alias("score"))
     return R.top_k(found, "query_id", [F.desc("matched"), F.desc("score"), F.asc("code")], 5).select("query_id", "code", "matched", "score", "rank")
 
@@ -270,6 +272,7 @@ QUERIES = {
     "section_vote": (section_vote, VOTE_SQL),
     "quota_window": (quota_window, QUOTA_SQL),
     "name_suggest": (name_suggest, SUGGEST_SQL),
+    "name_suggest_whole": (partial(name_suggest, whole=True), None),
     "case_search": (case_search, CASE_SQL),
     "rerank_merge": (rerank_merge, RERANK_SQL),
     "embedding_cache": (embedding_cache, CACHE_SQL),

@@ -1,0 +1,44 @@
+"""Queries over whole tables and texts beside the SQL of their small forms, with the cut taken out of it here."""
+
+import os
+
+import pytest
+
+from corvane.plans import catalogue
+from tests.compare import compare, oracle
+
+SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
+QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
+
+#: The cuts in the SQL of each query, and what stands in their place.
+CUTS = {
+    "ngram_coverage": {"SELECT min(doc_id) AS doc_id FROM documents GROUP BY source": "SELECT doc_id FROM documents"},
+    "unverified_numbers": {" WHERE event_id % 10 = 0": ""},
+    "foreign_numbers": {" WHERE event_id % 10 = 0": ""},
+    "set_changes": {"substr(text, 1, 300)": "text"},
+    "positional_zip": {"WHERE o_custkey % 50 = 0": "WHERE true"},
+    "logical_rows": {"substr(line, 1, 20)": "line", " WHERE doc_id % 5 = 0": ""},
+    "clause_parts": {" WHERE doc_id % 5 = 1": ""},
+    "repeated_questions": {"substr(trim(": "(trim(", "), 1, 2) AS t": ")) AS t"},
+    "code_hierarchy": {" WHERE p_partkey % 40 = 0": ""},
+    "code_search": {" WHERE p_partkey % 40 = 0": ""},
+    "target_selection": {" WHERE p_partkey % 40 = 0": ""},
+    "threshold_lookup": {" WHERE p_partkey % 10 = 0": ""},
+    "name_suggest": {" WHERE p_partkey % 100 = 0": "", " WHERE term NOT IN ('small', 'economy')": ""},
+}
+
+
+@pytest.fixture(scope="module")
+def con():
+    return oracle(SF)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", sorted(CUTS))
+def test_whole(spark, con, name):
+    sql = SQL[name]
+    for cut, whole in CUTS[name].items():
+        assert cut in sql
+        sql = sql.replace(cut, whole)
+    ok, said = compare(spark, con, name, QUERIES[f"{name}_whole"], sql, SF)
+    assert ok, said
