@@ -4,9 +4,10 @@ Every source's documents are cut into blocks. Block i of a source with weight w
 must run before slot ceil((i + 1) / w); in each slot the released block with the earliest deadline runs. So after any
 number of slots each source has had its share within less than one block, as long as it has blocks left.
 
-The weights are rounded to multiples of 1/Q (largest remainder), so that the schedule repeats after Q slots. One period
-is worked out on the driver from the weights alone (Q slots, whatever the data's size); every document's place then
-follows in closed form, and no document is dropped or repeated. A source that runs out leaves its slots empty.
+The weights are the exact targets (whole numbers as given, others as fractions of 2**50). The schedule is worked out on
+the driver from the weights and the number of blocks of each source alone, one step for each block, and sent to the tasks
+as one number for each block; documents stay where they are, and none is dropped or repeated. A source that runs out
+leaves its slots empty or to blocks that are released already.
 
 A null source is a source of its own. Rows with a null id are left out; repeated ids each keep a place (ties in id order
 are broken by an arbitrary but stable hash of the row). Empty tables give an empty result.
@@ -15,54 +16,64 @@ are broken by an arbitrary but stable hash of the row). Empty tables give an emp
 from __future__ import annotations
 
 import heapq
+from array import array
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import table
 
-#: Documents in a block; slots in a period; most sources (their weights are read on the driver).
-BLOCK, PERIOD, MOST_SOURCES = 8, 1000, 100_000
+#: Documents in a block; blocks in a row of the plan; most sources (their weights are read on the driver).
+BLOCK, CHUNK, MOST_SOURCES = 8, 1024, 100_000
+#: Sum of the weights that aren't whole numbers, as whole numbers.
+SCALE = 1 << 50
 #: Ids in a bucket, and buckets in a group of buckets, of the distributed row numbers.
 WIDTH = 256
 NO_SOURCE = "(none)"
 
 
-def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of each period for each source, at least one, by largest remainder."""
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Weights in proportion as whole numbers, at least one: as they are if they are whole, or else as parts of SCALE."""
     total = sum(weights.values())
-    period = max(period, 4 * len(weights))
-    exact = {s: max(w / total * period, 1.0) for s, w in weights.items()}
-    given = {s: int(x) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (given[s] - exact[s], s))
-    left = period - sum(given.values())
-    for s in order[: max(0, left)]:
-        given[s] += 1
-    while left < 0:  # sources that were raised to one slot take it from the largest
-        s = max(given, key=lambda x: (given[x], x))
-        given[s] -= 1
-        left += 1
-    return given
-
-
-def period_of(quota: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, its block in the period, slot): earliest deadline first among the released blocks of one period."""
-    slots = sum(quota.values())
-    waiting = [(0, s, 0) for s in sorted(quota)]  # (release, source, block)
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []  # (deadline, source, block)
-    out = []
-    for slot in range(slots):
+    if total < SCALE and all(w >= 1 and w == int(w) for w in weights.values()):
+        return {s: int(w) for s, w in weights.items()}
+    return {s: max(1, round(w / total * SCALE)) for s, w in weights.items()}
+
+
+def schedule(weight: dict[str, int], blocks: dict[str, int]) -> dict[str, array]:
+    """The slot of every block of each source: earliest deadline first among the released blocks."""
+    total = sum(weight.values())
+    out = {s: array("q") for s in blocks}
+    waiting = [(0, s) for s in sorted(blocks) if blocks[s]]  # (release of the source's next block, source)
+    ready: list[tuple[int, str]] = []  # (deadline, source)
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * slots // quota[s]), s, i))
-        _, s, i = heapq.heappop(ready)
-        out.append((s, i, slot))
-        if i + 1 < quota[s]:
-            heapq.heappush(waiting, ((i + 1) * slots // quota[s], s, i + 1))
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(len(out[s]) + 1) * total // weight[s]), s))
+        s = heapq.heappop(ready)[1]
+        out[s].append(slot)
+        slot += 1
+        if len(out[s]) < blocks[s]:
+            heapq.heappush(waiting, (len(out[s]) * total // weight[s], s))
     return out
 
 
+def plan(spark: SparkSession, slots: dict[str, array], weight: dict[str, int]) -> DataFrame:
+    """_source, _w and, for each CHUNK blocks, _chunk and their slots."""
+    cut = [(s, i) for s, x in slots.items() for i in range(0, len(x), CHUNK)]
+    columns = [
+        pa.array([s for s, _ in cut], pa.string()),
+        pa.array([weight[s] for s, _ in cut], pa.int64()),
+        pa.array([i // CHUNK for _, i in cut], pa.int64()),
+        pa.array([slots[s][i : i + CHUNK] for s, i in cut], pa.list_(pa.int64())),
+    ]
+    return spark.createDataFrame(pa.table(columns, ["_source", "_w", "_chunk", "_slots"]))
+
+
 def numbered(docs: DataFrame, id_col: str, group: str, order: list[Column]) -> DataFrame:
     """Add ``_nr``: 0, 1, ... within each group in id order, without bringing a group into one task.
 
@@ -85,7 +96,7 @@ def square_root_weights(counts: dict[str, int]) -> dict[str, float]:
     return {s: n**0.5 for s, n in counts.items()}
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
     """Add to ``docs`` (doc_id, source, any others): source_weight, block_no, release_slot, deadline_slot, slot, position.
 
     ``weights``: target weight by source, by default the square root of its count. Sources without a weight get the
@@ -98,21 +109,21 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
         raise ValueError(f"more than {MOST_SOURCES} sources; give weights for groups of sources")
     counts = {r["_source"]: r["count"] for r in found}
     weights = square_root_weights(counts) if weights is None else {s: weights.get(s, min(weights.values())) for s in counts}
-    quota = quotas(weights, period) if weights else {}
-    slots = sum(quota.values())
-    plan = spark.createDataFrame([(s, i, t, quota[s]) for s, i, t in period_of(quota)], "_source string, _j bigint, _slot bigint, _q bigint")
-    sizes = F.broadcast(spark.createDataFrame(list(quota.items()), "_source string, _q bigint"))
+    weight = whole(weights) if weights else {}
+    total = sum(weight.values())
+    slots = schedule(weight, {s: -(-n // block) for s, n in counts.items()})
     others = [F.xxhash64(*[c for c in docs.columns if c not in ("doc_id", "_source")])]
-    out = numbered(docs, "doc_id", "_source", others).join(sizes, "_source")
-    out = out.withColumn("block_no", F.expr(f"_nr div {block}")).withColumn("_j", F.expr("block_no % _q"))
-    out = out.drop("_q").join(F.broadcast(plan), ["_source", "_j"])
-    out = out.withColumn("slot", F.expr(f"(block_no div _q) * {slots} + _slot"))
+    out = numbered(docs, "doc_id", "_source", others).withColumn("block_no", F.expr(f"_nr div {block}")).withColumn("_chunk", F.expr(f"block_no div {CHUNK}"))
+    out = out.join(F.broadcast(plan(spark, slots, weight)), ["_source", "_chunk"])
+    out = out.withColumn("slot", F.expr(f"_slots[int(block_no % {CHUNK})]"))
+    # products of block numbers and weights are longer than a bigint
+    long = lambda x: f"cast({x} AS decimal(18, 0))"
     return out.select(
         *[c for c in docs.columns if c != "_source"],
-        (F.col("_q") / slots).alias("source_weight"),
+        (F.col("_w") / F.lit(total)).alias("source_weight"),
         "block_no",
-        F.expr(f"(block_no * {slots}) div _q").alias("release_slot"),
-        F.expr(f"((block_no + 1) * {slots} + _q - 1) div _q").alias("deadline_slot"),
+        F.expr(f"({long('block_no')} * {long(total)}) div {long('_w')}").alias("release_slot"),
+        F.expr(f"({long('block_no + 1')} * {long(total)} + {long('_w - 1')}) div {long('_w')}").alias("deadline_slot"),
         "slot",
         F.expr(f"slot * {block} + _nr % {block}").alias("position"),
     )

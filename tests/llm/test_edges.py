@@ -259,6 +259,20 @@ def test_mixing_stays_within_a_block(spark):
         assert r.release_slot <= r.slot < r.deadline_slot
 
 
+def test_mixing_keeps_to_the_exact_weights(spark):
+    """Targets that aren't multiples of a thousandth: each source has its share within less than one block up to its end."""
+    weights = {"a": 0.66666, "b": 0.00034, "c": 0.333}
+    data = [(i, "a" if i % 3 else "c") for i in range(60_000)] + [(60_000 + i, "b") for i in range(20)]
+    out = mixing.mixed(spark.createDataFrame(data, "doc_id bigint, source string"), weights, block=1).collect()
+    assert len(out) == len(data) == len({r.slot for r in out})
+    total = sum(weights.values())
+    for r in out:
+        w = weights[r.source] / total
+        assert r.source_weight == pytest.approx(w, rel=1e-9)
+        assert r.block_no / w - 1 < r.slot + 1e-6 and r.slot < (r.block_no + 1) / w + 1
+        assert r.release_slot <= r.slot < r.deadline_slot
+
+
 def test_quality_keeps_good_documents(spark):
     rng = random.Random(9)
     docs, labels = [], []
