@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import table
+from corvane.llm.mixing import PLACE
 
 #: Entries that a worker's caches of pieces, words and token pairs hold before they are emptied.
 PIECES, WORDS, PAIRS = 400_000, 200_000, 300_000
@@ -213,8 +214,11 @@ def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded string")
 
 
-def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """As ``encoded``, with SHA-256 digests in place of ids and text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def digests(docs: DataFrame, tokenizer_path: str, place: str | None = None) -> DataFrame:
+    """As ``encoded``, with SHA-256 digests in place of ids and text: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    ``place``: a column of whole numbers to hand on as ``position``.
+    """
     with open(tokenizer_path, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -227,10 +231,11 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 out[0].append(len(packed) // 4)
                 out[1].append(hashlib.sha256(packed).hexdigest())
                 out[2].append(hashlib.sha256(" ".join(pieces).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(out[0], pa.int64()), "ids_sha256": pa.array(out[1], pa.string()), "decoded_sha256": pa.array(out[2], pa.string())}
+            yield pa.RecordBatch.from_pydict(columns | ({"position": batch.column(place)} if place else {}))
         codec.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text", *([place] if place else [])).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", position bigint" if place else ""))
 
 
 _codecs: dict[str, Codec] = {}
@@ -253,7 +258,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: token count and digests of every document that is left."""
+    """Pipeline stage: token count, digests and, after the mixing stage, position of every document that is left."""
     import public_tokenizers
 
-    return digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return digests(docs, public_tokenizers.path("word_bpe_49k.json"), PLACE if PLACE in docs.columns else None)

@@ -31,6 +31,8 @@ SCALE = 1 << 50
 #: Ids in a bucket, and buckets in a group of buckets, of the distributed row numbers.
 WIDTH = 256
 NO_SOURCE = "(none)"
+#: Column of the mixing stage's result: the place in the mix.
+PLACE = "mix_position"
 
 
 def whole(weights: dict[str, float]) -> dict[str, int]:
@@ -135,7 +137,8 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents, written in the mixed order (files and rows follow the schedule's position)."""
+    """Pipeline stage: all documents with their place in the mix (PLACE, in the stead of any such column), in that order."""
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     place = mixed(docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))).select("position", "_row")
-    return place.repartitionByRange(n, "position").sortWithinPartitions("position").select("_row.*")
+    kept = [F.col(f"_row.`{c}`") for c in docs.columns if c.lower() != PLACE]
+    return place.repartitionByRange(n, "position").sortWithinPartitions("position").select(*kept, F.col("position").alias(PLACE))

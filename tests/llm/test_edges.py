@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import bpe, embedding_dedup, fingerprints, fm_dedup, html_text, minhash_dedup, mixing, quality, suffix_dedup, url_reputation
 from tests.llm import brute
@@ -273,6 +274,19 @@ def test_mixing_keeps_to_the_exact_weights(spark):
         assert r.release_slot <= r.slot < r.deadline_slot
 
 
+def test_pipeline_hands_the_mix_on(spark, docs):
+    """The last stage's rows have the place that the mixing stage gave them."""
+    pytest.importorskip("public_tokenizers")
+    from corvane.llm.common import stored
+
+    df = wide(spark, docs).withColumn("Mix_Position", F.lit(-1))
+    placed = stored(mixing.mixing_stage(spark, df, ""))
+    assert sorted(placed.columns) == sorted([*WIDE.replace(" bigint", "").replace(" string", "").replace(" int", "").split(", "), mixing.PLACE])
+    assert {(r.doc_id, r.text, r.position, r.slot) for r in placed.collect()} == {(i, t, i, i) for i, t in docs}
+    want = {r.doc_id: r.position for r in mixing.mixed(df.select("doc_id", "source")).collect()}
+    assert {r.doc_id: r.position for r in bpe.bpe_stage(spark, placed, "").collect()} == want
+
+
 def test_quality_keeps_good_documents(spark):
     rng = random.Random(9)
     docs, labels = [], []
