@@ -1,8 +1,9 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -74,3 +75,35 @@ def near_dups(docs, k=4, percent=80):
         if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
             g.link(a, b)
     return {d: (len(s), g.find(d), g.find(d) == d) for d, s in sets.items()}
+
+
+def style_tree(pages, page_features, least=5, content=0.7):
+    """pages: (host, html) -> {host: {path: importance}}, by counting over lists of the distinct pages."""
+    distinct = {}
+    for host, html in pages:
+        found = page_features(html)
+        if found and found[1]:
+            distinct[host, found[0]] = found[1]
+
+    def importance(of):
+        out = {}
+        for path, nodes in of.items():
+            if len(nodes) >= least:
+                parts = []
+                for values in ([[shape] for shape, _ in nodes], [grams for _, grams in nodes]):
+                    n = Counter(v for vs in values for v in vs)
+                    parts.append(math.exp(-sum(math.log(n[v]) for vs in values for v in vs) / sum(map(len, values))))
+                out[path] = (1 - content) * parts[0] + content * parts[1]
+        return out
+
+    every, own = defaultdict(list), defaultdict(lambda: defaultdict(list))
+    for (host, _), nodes in distinct.items():
+        for path, shape, grams in nodes:
+            every[path].append((shape, grams))
+            own[host][path].append((shape, grams))
+    shared = importance(every)
+    out = {}
+    for host, of in own.items():
+        mine = importance(of)
+        out[host] = {p: min(mine.get(p, 9.0), shared.get(p, 9.0)) for p in of if p in mine or p in shared}
+    return out

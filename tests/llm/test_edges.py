@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, against plain versions."""
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -223,7 +224,63 @@ def test_html_style_tree_spares_the_article_and_counts_copies_once(spark):
     got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3)).collect()}
     assert {i: got[i] for i in range(40)} == {i: f"text {i} {answers[i % 2]} one two" for i in range(40)}
     assert {i: got[100 + i] for i in range(100)} == {i: "text {0} first {0} then {0}".format("copy" if i < 80 else i) for i in range(100)}
-    assert got[300] == "Always the same words text same same same same same"
+    assert got[300] == "text same same same same same"  # a host of one page backs off to the tree of all hosts
+
+
+def test_html_style_tree_equals_a_plain_one(spark):
+    """On generated sites of many and few pages: the same importance, and the same texts."""
+    rng = random.Random(12)
+    pages = []
+    for i in range(150):
+        host = f"h{min(int(rng.expovariate(0.5)), 6)}.com"
+        menu = " ".join(f"<li><a href=/{x}>{x}</a></li>" for x in rng.sample(["news", "sport", "mail", "home", "shop"], 4))
+        named = rng.choice(["notice", "legal", "box", "side story", "promo"])
+        body = "".join(f"<p>{sentences(rng, 12)}</p>" for _ in range(3))
+        box = f"<div class='{named}'>{rng.choice(['one line', 'and another line of it']) if i % 3 else sentences(rng, 8)}</div>"
+        frame = f"<article>{body}</article>" if i % 4 else f"<div class=page>{body}</div>"
+        pages.append((i, f"http://{host}/{i}", f"<body><nav><ul>{menu}</ul></nav>{box}{frame}<footer>of {host}, all rights</footer>" if i % 50 else None))
+    pages += pages[:20]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3)
+    want = brute.style_tree([(u.split("/")[2], h) for _, u, h in pages], html_text.features)
+    tree = {}
+    for r in html_text.style_tree(html_text.hosted(df)).where("importance IS NOT NULL").collect():
+        tree.setdefault(r.host, {})[r.path] = r.importance
+    assert {h: sorted(t) for h, t in tree.items()} == {h: sorted(t) for h, t in want.items() if t}
+    assert all(tree[h][p] == pytest.approx(x) for h, t in want.items() for p, x in t.items())
+    got = sorted((r.page_id, r.text) for r in html_text.extracted(df).collect())
+    assert got == sorted((i, html_text.main_text(h, want.get(u.split("/")[2], {}))) for i, u, h in pages)
+
+
+def test_html_importance_decides_and_not_names(spark):
+    """Blocks with names that mostly stand beside the article stay if they differ, and go if they repeat."""
+    pages = []
+    for i in range(12):
+        own = sentences(random.Random(i), 20)
+        pages.append((i, "http://a.com/", f"<body><div class='post legal'><p>own {own}</p></div><div class=notice>{'same on all pages' if i % 2 else 'the other line'}</div>"))
+        pages.append((100 + i, "http://b.com/", f"<body><div class=legal>{'<b>x</b>' * (i % 5)}{own}</div><div>nothing but this</div>"))
+        pages.append((200 + i, "http://c.com/", f"<body><div class=teaser><article class=teaser>short one</article></div><div id=content>{own}</div>"))
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extracted(df).collect()}
+    for i in range(12):
+        own = sentences(random.Random(i), 20)
+        assert got[i] == f"own {own}" and got[100 + i] == f"{'x' * (i % 5)}{own}" and got[200 + i] == own
+        assert html_text.main_text(pages[3 * i][2]) != got[i] and html_text.main_text(pages[3 * i + 1][2]) != got[100 + i]  # without the tree
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+def test_html_most_text_goes_by_entropy_alone(spark):
+    """Where seeds have no say (the factor is one for all blocks), most of what is removed still goes."""
+    pages = html_text.hosted(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
+    tree = {}
+    for r in html_text.style_tree(pages).where("importance IS NOT NULL").collect():
+        tree.setdefault(r.host, {})[r.path] = r.importance
+    by_tree = by_entropy = 0
+    for r in pages.collect():
+        known = tree.get(r.host, {})
+        pieces = list(html_text.Page(r.html).pieces())
+        by_tree += sum(len(x) for x, block, factor, article in pieces if not html_text.kept(factor, article, known.get(block)))
+        by_entropy += sum(len(x) for x, block, factor, article in pieces if block in known and factor < 1 and known[block] < html_text.THRESHOLD)
+    assert by_tree > 0 and by_entropy > by_tree / 2
 
 
 def test_urls(spark):
