@@ -175,9 +175,10 @@ class Codec:
         return b"".join(i.to_bytes(4, "little") for i in ids), " ".join(map(self.names.__getitem__, ids))
 
     def forget(self) -> None:
-        """Empty the caches of pieces and words, so that an idle worker holds no more than the vocabulary."""
+        """Empty all caches, so that an idle worker holds no more than the vocabulary."""
         self.chunks.clear()
         self.words.clear()
+        self.fits.clear()
 
     def encode(self, text: str) -> tuple[bytes, list[str]]:
         """The ids of a text, packed, and the decoded text in pieces to be joined by one space."""

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,27 @@ def one_row_per_id(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
     return df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.struct(*cols)).alias("_r")).select(id_col, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
+#: Buckets of ids for each shuffle partition.
+ID_BUCKETS = 4
+
+
+def id_bucket(df: DataFrame, id_col: str) -> Column:
+    """The number of a row's bucket: ascending ranges of the id with about equally many rows, whatever the ids are.
+
+    The borders are approximate quantiles of all ids, so many for each shuffle partition (a bounded list on the driver).
+    """
+    n = ID_BUCKETS * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = df.agg(F.percentile_approx(F.col(id_col), [i / n for i in range(1, n)], 20 * n)).first()[0] or []
+    borders = sorted(set(found))
+    if not borders:
+        return F.lit(0)
+    steps = [1 << i for i in range(len(borders).bit_length() - 1, -1, -1)]
+    at = F.lit(0)
+    known = F.array(*map(F.lit, borders))
+    # a binary search: how many borders lie at or under the id
+    return F.aggregate(F.array(*map(F.lit, steps)), at, lambda lo, step: F.when((lo + step <= len(borders)) & (F.try_element_at(known, lo + step) <= F.col(id_col)), lo + step).otherwise(lo))
+
+
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -5,11 +5,13 @@ random fraction; a place keeps its least value. As later places have larger valu
 places are filled. The ranks of one shingle are correlated, which lowers the variance of the estimate.
 
 Documents with equal shingle sets are one class, of which the smallest id stands for all. Classes that share a band are
-compared with the smallest of the band first, and groups are formed. Classes that share a band and are still in different
-groups are then compared by signature, band by band in blocks, and those whose estimate doesn't rule a link out are
-clustered; within a cluster all of them that are still apart are compared on their full sets, again in blocks. A block
-returns only links that join groups, so no link that could join two groups is left out, and no list of all pairs of a
-large group arises.
+compared with the smallest of the band first, and groups are formed. Of a band whose classes are still in different
+groups, the largest group stays as it is; the classes outside of it are compared with all classes of the band by
+signature, and those whose estimate doesn't rule a link out are clustered; within a cluster the classes outside of its
+largest group are compared with all others on their full sets. Both comparisons run in blocks, one task for each pair of
+a block of outsiders and a block of members, so a large group costs a member one copy for each block of its outsiders.
+A block returns only links that join groups, so no link that could join two groups is left out, and no list of all pairs
+of a large group arises.
 
 Texts are lower-cased (A-Z); words are the runs of other bytes than ASCII white space; a text with fewer words than a
 shingle has one shingle, an empty or null text none, and no link. Rows with a null id are left out. Rows that share an
@@ -31,8 +33,8 @@ from corvane.llm.common import BASE, Words, batches, components, cut, mix64, tab
 BANDS, ROWS = 32, 4
 #: Under this share of equal places (4.5 standard deviations under 0.8) two sets are not compared; chance 3e-6.
 DOUBT = 0.64
-#: Rows of a block in comparisons by signature and by full sets.
-BLOCK, SET_BLOCK = 1024, 384
+#: Rows of a block in comparisons, and bytes of text of a block in comparisons by full sets.
+BLOCK, BLOCK_BYTES = 1024, 2_000_000
 #: Nodes that a task's union-find holds before it starts afresh.
 FOREST = 500_000
 #: Bytes of text that are hashed at once.
@@ -103,7 +105,8 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (a digest of the set), the band keys and the signature (a byte a place) of each row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, bytes of text, d1, d2 (a digest of the set), the band keys and the signature (a byte a place) of
+    each row of ``docs`` (doc_id, text)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -119,10 +122,10 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 keys = band_keys(signatures)
                 short = signatures.astype(np.uint8)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (e - b) + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b, e - b), pa.array(sizes.astype(np.int64)), *map(pa.array, digests), lists, pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b, e - b), pa.array(sizes.astype(np.int64)), pa.array(list(map(len, texts[b:e])), pa.int64()), *map(pa.array, digests), lists, pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "n_shingles", "bytes", "d1", "d2", "bands", "sig"])
 
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"))
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sig binary")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, bytes bigint, d1 bigint, d2 bigint, bands array<bigint>, sig binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -153,28 +156,44 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def in_blocks(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """Send each row to all pairs of blocks of its group that its own block is in: adds lo, hi and own."""
-    blocks = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_n"))
-    rows = rows.join(blocks, keys).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return rows.withColumn("lo", F.least("own", "_other")).withColumn("hi", F.greatest("own", "_other")).drop("_n", "_other")
+def in_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Deal rows (key, rep, c, bytes, ...) out so that each class outside of its key's largest group c meets every class
+    of the key: adds i and j (blocks of outsiders and of members), probe and outside."""
+    sums = rows.groupBy(key, "c").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
+    largest = F.max_by(F.struct("c", "n", "b"), F.struct("n", "c"))
+    sums = sums.groupBy(key).agg(F.sum("n").alias("_n"), F.sum("b").alias("_b"), largest.alias("_top"))
+    count = lambda n, b: F.greatest(F.ceil(n / BLOCK), F.ceil(b / BLOCK_BYTES), F.lit(1)).cast("int")
+    sums = sums.select(key, F.col("_top.c").alias("_c"), count(F.col("_n"), F.col("_b")).alias("_j"), count(F.col("_n") - F.col("_top.n"), F.col("_b") - F.col("_top.b")).alias("_i"))
+    rows = rows.join(sums, key).withColumn("outside", F.col("c") != F.col("_c"))
+    own, every = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    member = F.transform(every("_i"), lambda i: F.struct(i.alias("i"), own("_j").alias("j"), F.lit(False).alias("probe")))
+    probe = F.transform(every("_j"), lambda j: F.struct(own("_i").alias("i"), j.alias("j"), F.lit(True).alias("probe")))
+    places = F.explode(F.when(F.col("outside"), F.concat(member, probe)).otherwise(member))
+    return rows.withColumn("_at", places).drop("_c", "_i", "_j", "bytes").select("*", "_at.*").drop("_at")
+
+
+def pairs_of_blocks(rows: DataFrame, key: str):
+    """Group by pairs of blocks. A join may have dealt the rows by the key alone; a large one is to be spread over tasks."""
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, key, "i", "j").groupBy(key, "i", "j")
 
 
 def doubtful(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (of the two blocks) in different groups whose signatures don't rule a link out, best first."""
-    own, c = rows.column("own").to_numpy(), rows.column("c").to_numpy()
-    first, second = np.flatnonzero(own == rows.column("lo")[0].as_py()), np.flatnonzero(own == rows.column("hi")[0].as_py())
+    """Pairs of an outsider and a member in different groups whose signatures don't rule a link out, best first."""
+    probe, outside = rows.column("probe").to_numpy(zero_copy_only=False), rows.column("outside").to_numpy(zero_copy_only=False)
+    c, rep = rows.column("c").to_numpy(), rows.column("rep").to_numpy()
+    first, second = np.flatnonzero(probe), np.flatnonzero(~probe)
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(len(rows), -1)
-    out, step = [], 64
-    for lo in range(0, len(first), step):
-        some = first[lo : lo + step]
-        equal = (sig[some][:, None, :] == sig[second][None, :, :]).sum(axis=2)
-        i, j = np.nonzero((equal >= DOUBT * sig.shape[1]) & (c[some][:, None] != c[second][None, :]))
-        out.append(np.stack((some[i], second[j], equal[i, j])))
-    a, b, equal = np.concatenate(out, axis=1) if out else np.zeros((3, 0), dtype=np.int64)
-    if rows.column("lo")[0].as_py() == rows.column("hi")[0].as_py():
-        a, b, equal = a[a < b], b[a < b], equal[a < b]
+    out = [np.zeros((3, 0), dtype=np.int64)]
+    columns = np.ascontiguousarray(sig[second].T)
+    for x in first.tolist():
+        equal = np.zeros(len(second), dtype=np.uint8)
+        for place, value in zip(columns, sig[x].tolist(), strict=True):
+            equal += place == value
+        # two outsiders meet twice
+        j = np.flatnonzero((equal >= DOUBT * sig.shape[1]) & (c[second] != c[x]) & (~outside[second] | (rep[second] > rep[x])))
+        out.append(np.stack((np.full(len(j), x), second[j], equal[j])))
+    a, b, equal = np.concatenate(out, axis=1)
     best = np.argsort(-equal, kind="stable")
     return a[best], b[best]
 
@@ -233,7 +252,7 @@ def settled(k: int, percent: int):
 def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the group) and kept for each row of ``docs`` (doc_id, text)."""
     sets = cut(signed(docs, k))
-    classes = sets.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("s"))
+    classes = sets.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min_by(F.struct("bands", "sig", "bytes"), "doc_id").alias("s"))
     classes = cut(classes)
     bands = classes.select("rep", "n", F.explode("s.bands").alias("key"))
     often = bands.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("first")).where("m > 1").select("key", "first")
@@ -246,13 +265,14 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     member = shared.select("key", "rep").join(groups.withColumnsRenamed({"node": "rep"}), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     apart = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     signatures = classes.select("rep", "s.sig")
-    blocks = in_blocks(member.join(apart, "key", "left_semi"), ["key"], BLOCK).join(signatures, "rep")
-    forest = blocks.groupBy("key", "lo", "hi").applyInArrow(doubts, "a bigint, b bigint")
+    open_bands = member.join(apart, "key", "left_semi").withColumn("bytes", F.lit(0))
+    forest = pairs_of_blocks(in_blocks(open_bands, "key").join(signatures, "rep"), "key").applyInArrow(doubts, "a bigint, b bigint")
     clusters = components(forest).withColumnsRenamed({"node": "rep", "component": "cluster"})
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("binary").alias("text"))
     groups_of = clusters.join(groups.withColumnsRenamed({"node": "rep"}), "rep", "left").select("cluster", "rep", F.coalesce("component", "rep").alias("c"))
-    whole = in_blocks(groups_of.join(signatures, "rep").join(texts, "rep"), ["cluster"], SET_BLOCK)
-    late = whole.groupBy("cluster", "lo", "hi").applyInArrow(settled(k, percent), "a bigint, b bigint")
+    sized = groups_of.join(classes.select("rep", "s.bytes"), "rep")
+    whole = in_blocks(sized, "cluster").join(signatures, "rep").join(texts, "rep")
+    late = pairs_of_blocks(whole, "cluster").applyInArrow(settled(k, percent), "a bigint, b bigint")
     groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
     group = F.coalesce("component", "rep", "doc_id")
     joined = sets.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
@@ -267,5 +287,8 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document (the smallest id) of each near-duplicate group, by 5-word shingles."""
-    kept = grouped(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    kept = grouped(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    rows = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    # of rows that share an id (they count as linked) the one with the least text stays
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("r"))
+    return one.select(*[F.col(f"r.`{c}`") for c in docs.columns])

@@ -107,3 +107,49 @@ def style_tree(pages, page_features, least=5, content=0.7):
         mine = importance(of)
         out[host] = {p: min(mine.get(p, 9.0), shared.get(p, 9.0)) for p in of if p in mine or p in shared}
     return out
+
+
+def sketch_likeness(a, b):
+    """Likeness of two fingerprints (levels parted by bars: level, digests, cells of a subtable, cells)."""
+    levels = []
+    for text in (a, b):
+        found = {}
+        for part in text.split("|"):
+            level, n, third, cells = part.split(" ")
+            cells = [(int(x[0]), int(x[1], 16), int(x[2], 16)) if x[0] else (0, 0, 0) for x in (c.split(":") for c in cells.split(","))]
+            found[int(level)] = (int(n), int(third), cells)
+        levels.append(found)
+    level = max(min(x) for x in levels)
+    if any(level not in x for x in levels):
+        return 0.0
+    (n, third_a, cells_a), (m, third_b, cells_b) = levels[0][level], levels[1][level]
+    if n + m == 0:
+        return 1.0
+
+    def fold(cells, third, to):
+        out = [(0, 0, 0)] * (3 * to)
+        for i, (c, k, h) in enumerate(cells):
+            at = i // third * to + i % third % to
+            out[at] = (out[at][0] + c, out[at][1] ^ k, out[at][2] ^ h)
+        return out
+
+    def peel(cells, third):
+        cells, out = list(cells), {}
+        places = lambda k: [i * third + (k >> 21 * i & 2097151) % third for i in range(3)]
+        while True:
+            pure = {k: (c, h) for i, (c, k, h) in enumerate(cells) if abs(c) == 1 and k not in out and i in places(k)}
+            if not pure:
+                return out if all(c == (0, 0, 0) for c in cells) else None
+            for k, (c, h) in pure.items():
+                if (cells[places(k)[0]][0], k) and any(cells[p][:2] == (c, k) for p in places(k)):
+                    out[k] = c
+                    for p in places(k):
+                        cells[p] = (cells[p][0] - c, cells[p][1] ^ k, cells[p][2] ^ h)
+
+    own = peel(cells_a, third_a), peel(cells_b, third_b)
+    assert None not in own and [len(x) for x in own] == [n, m]  # each gives its own digests back
+    to = min(third_a, third_b)
+    left = peel([(x[0] - y[0], x[1] ^ y[1], x[2] ^ y[2]) for x, y in zip(fold(cells_a, third_a, to), fold(cells_b, third_b, to))], to)
+    if left is not None:
+        assert set(left) == set(own[0]) ^ set(own[1])
+    return 1 - len(set(own[0]) ^ set(own[1])) / (n + m)

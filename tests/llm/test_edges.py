@@ -167,17 +167,36 @@ def test_fingerprints(spark, docs):
 
 
 def test_fingerprint_likeness_is_exact(spark):
-    """Peeling finds just the digests that differ, whatever their number."""
+    """Peeling finds just the digests that differ, whatever their number, and the same both ways."""
     rng = random.Random(2)
     data = []
     for n in (0, 1, 3, 10, 30, 100):
         a = [rng.getrandbits(63) for _ in range(n)]
         for m in (0, 1, n // 2, n):
             data.append((a, a[: n - m] + [rng.getrandbits(63) for _ in range(m)]))
-    df = spark.createDataFrame(data, "a array<bigint>, b array<bigint>").select("a", "b", fingerprints.placed("a").alias("x"), fingerprints.placed("b").alias("y"))
-    for r in df.select("a", "b", fingerprints.likeness("x", "y").alias("near")).collect():
+    df = spark.createDataFrame(data, "a array<bigint>, b array<bigint>")
+    df = df.select("a", "b", fingerprints.placed("a").alias("x"), fingerprints.placed("b").alias("y")).select("*", fingerprints.table_size("x").alias("mx"), fingerprints.table_size("y").alias("my"))
+    for r in df.select("a", "b", fingerprints.likeness("x", "y", "mx", "my").alias("near"), fingerprints.likeness("y", "x", "my", "mx").alias("back")).collect():
         total = len(r.a) + len(r.b)
-        assert r.near == pytest.approx(1 - len(set(r.a) ^ set(r.b)) / total if total else 1)
+        assert r.near == r.back == pytest.approx(1 - len(set(r.a) ^ set(r.b)) / total if total else 1)
+
+
+def test_fingerprints_alone_give_the_likeness(spark, docs):
+    """Two returned strings, read and peeled by plain Python, give near_edited and near_next."""
+    rng = random.Random(8)
+    more = [(100 + i, ". ".join(sentences(rng, 8) for _ in range(n)) + ".") for i, n in enumerate((3, 300, 100, 40, 41, 1, 7, 12))]
+    more += [(110, more[1][1]), (111, more[1][1][:-700]), (112, more[2][1] + " one more."), (-(2**63), "least id"), (2**63 - 1, "a. b. " * 500), (10**18, None)]
+    every = [*docs, *more]
+    got = {r.doc_id: r for r in fingerprints.fingerprinted(spark.createDataFrame(every, DOCS).repartition(3)).collect()}
+    order = sorted(got, reverse=True)
+    seen = set()
+    for doc_id, then in zip(order, order[1:] + order[:1]):
+        r, other = got[doc_id], got[then].fingerprint
+        assert r.near_edited == pytest.approx(brute.sketch_likeness(r.fingerprint, r.edited_fingerprint))
+        assert r.near_next == pytest.approx(brute.sketch_likeness(r.fingerprint, other)) == pytest.approx(brute.sketch_likeness(other, r.fingerprint))
+        seen.add(round(r.near_next, 1))
+    assert {0.0, 1.0} <= seen and len(seen) > 3
+    assert 0.45 < got[101].near_edited < 0.85  # two thirds of a long text are as they were
 
 
 def test_embeddings(spark):
