@@ -153,3 +153,16 @@ def sketch_likeness(a, b):
     if left is not None:
         assert set(left) == set(own[0]) ^ set(own[1])
     return 1 - len(set(own[0]) ^ set(own[1])) / (n + m)
+
+
+def earliest_deadlines(weight, blocks):
+    """{(source, block): slot}: in each slot the released block with the earliest deadline, ties by source."""
+    total, done, out, slot = sum(weight.values()), dict.fromkeys(weight, 0), {}, 0
+    while any(done[s] < blocks[s] for s in done):
+        ready = [(-(-(done[s] + 1) * total // weight[s]), s) for s in done if done[s] < blocks[s] and done[s] * total // weight[s] <= slot]
+        if ready:
+            s = min(ready)[1]
+            out[s, done[s]] = slot
+            done[s] += 1
+        slot += 1
+    return out

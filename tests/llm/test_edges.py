@@ -350,6 +350,39 @@ def test_mixing_keeps_to_the_exact_weights(spark):
         assert r.release_slot <= r.slot < r.deadline_slot
 
 
+def test_mixing_equals_a_plain_schedule(spark):
+    """Every block's slot is that of a search over all sources, slot by slot; ids far apart, repeated rows, clashing names."""
+    rng = random.Random(6)
+    names = [f"s{i}" for i in range(9)] + [None]
+    data = [(rng.choice([rng.randrange(-(2**63), 2**63), 5, 6]), names[min(int(rng.expovariate(0.4)), 9)], "x", i, i) for i in range(900)]
+    data += data[:40]
+    df = spark.createDataFrame(data, "doc_id bigint, source string, _source string, position int, nr int").repartition(3)
+    out = mixing.mixed(df, block=2).collect()
+    assert sorted((r.doc_id, r.source or "", r._source, r.nr) for r in out) == sorted((i, s or "", x, n) for i, s, x, _, n in data)
+    counts = {s: sum(1 for r in data if (r[1] or mixing.NO_SOURCE) == s) for s in {r[1] or mixing.NO_SOURCE for r in data}}
+    want = brute.earliest_deadlines(mixing.whole(mixing.square_root_weights(counts)), {s: -(-n // 2) for s, n in counts.items()})
+    assert {(r.source or mixing.NO_SOURCE, r.block_no): r.slot for r in out} == want
+    for s in names:  # in id order
+        mine = sorted((r.position, r.doc_id) for r in out if r.source == s)
+        assert [i for _, i in mine] == sorted(i for _, i in mine)
+
+
+def test_mixing_many_sources_and_extreme_shares(spark):
+    """The deviation from the given weights stays under one block, with shares from 1e-7 to 0.99; zero weights are equal."""
+    weights = {f"s{i}": 10.0 ** (-7 + 3 * i / 10_000) for i in range(10_000)}
+    weights["large"] = 99 * sum(weights.values())
+    whole, total = mixing.whole(weights), sum(weights.values())
+    slots = mixing.schedule(whole, {s: 3000 if s == "large" else max(1, int(3000 * w / weights["large"])) for s, w in weights.items()})
+    for s, xs in slots.items():
+        for i, x in enumerate(xs):
+            share = weights[s] / total
+            assert x * share - 1 < i + 1e-6 and i < (x + 1) * share + 1e-6
+    data = [(i, "abc"[i % 3]) for i in range(90)]
+    assert {r.source_weight for r in mixing.mixed(spark.createDataFrame(data, "doc_id bigint, source string"), dict.fromkeys("abc", 0.0)).collect()} == {1 / 3}
+    with pytest.raises(ValueError):
+        mixing.whole({"a": -1.0})
+
+
 def test_pipeline_hands_the_mix_on(spark, docs):
     """The last stage's rows have the place that the mixing stage gave them."""
     pytest.importorskip("public_tokenizers")
