@@ -11,7 +11,7 @@ texts under 35 words lose nothing. Rows with a null id are left out. Repeated ro
 of each other. Further columns are ignored. An empty table gives an empty result.
 
 What one task holds: a bucket of texts, or the contexts of one shard. A context that many texts share is one record of
-each bucket. Only an 18-word sequence with very many different surroundings brings as many records to one task.
+each bucket. The windows around an anchor with more than ``repeats.HOT`` occurrences are spread over all shards by digest.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import repeats
@@ -143,16 +144,17 @@ def find_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(offsets), np.concatenate(hashes)
 
 
-SHARDS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("spans", pa.binary()), ("texts", pa.list_(pa.binary())), ("places", pa.binary()), ("weights", pa.binary()), ("offsets", pa.binary())])
-SHARDS_SQL = "part int, bucket int, spans binary, texts array<binary>, places binary, weights binary, offsets binary"
+SHARDS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("spans", pa.binary()), ("texts", pa.list_(pa.binary())), ("places", pa.binary()), ("weights", pa.binary()), ("offsets", pa.binary()), ("hot", pa.binary())])
+SHARDS_SQL = "part int, bucket int, spans binary, texts array<binary>, places binary, weights binary, offsets binary, hot binary"
 
 
 def contexts(key: tuple[pa.Scalar, ...], rows: pa.Table, anchors: pa.Table, parts: int) -> pa.Table:
-    """The distinct contexts of a bucket for each shard; those that the bucket has twice are covered at once."""
+    """The distinct contexts of a bucket for each shard; those that the bucket has twice are covered at once. Of hot anchors
+    the digests of the windows around them."""
     bucket = repeats.Bucket(rows)
-    wanted = repeats.offsets_of(anchors)
-    to, seen_hash, words, places, where, ends, many = [], [], [], [], [], [], []
-    done = 0
+    wanted, firsts = repeats.offsets_of(anchors)
+    to, seen_hash, words, places, where, ends, many, hot = [], [], [], [], [], [], [], []
+    done, hot_grams = 0, np.zeros(0, dtype=np.uint64)
     for first_text, w in pieces(bucket.texts) if len(wanted) else ():
         n = len(w.hash)
         at = wanted[np.searchsorted(wanted, done) : np.searchsorted(wanted, done + n)] - done
@@ -161,6 +163,9 @@ def contexts(key: tuple[pa.Scalar, ...], rows: pa.Table, anchors: pa.Table, part
         lo, hi = np.maximum(w.first[doc], at - LEFT), np.minimum(w.first[doc + 1], at + WINDOW)
         prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w.hash * powers(BASE, n))))
         whole = mix64((prefix[hi] - prefix[lo]) * powers(INVERSE, n + 1)[lo]) ^ mix64(((hi - lo) * 64 + at - lo).astype(np.uint64))
+        # the first place of a hot anchor comes before its others
+        hot_grams = np.concatenate((hot_grams, grams[firsts[np.searchsorted(firsts, done) : np.searchsorted(firsts, done + n)] - done]))
+        hot.append(np.isin(grams[at], hot_grams))
         to.append(grams[at] & repeats.LOW32)
         seen_hash.append(whole)
         places.append(at - lo)
@@ -170,26 +175,59 @@ def contexts(key: tuple[pa.Scalar, ...], rows: pa.Table, anchors: pa.Table, part
         words += [b" ".join(w.data[a:b].split()) for a, b in zip(w.start[lo].tolist(), w.end[hi - 1].tolist(), strict=True)]
         done += n
     out = defaultdict(list)
+
+    def put(*row) -> None:
+        for name, value in zip(SHARDS.names, row, strict=True):
+            out[name].append(value)
+
     if words:
-        to, seen_hash, places, where, ends, many = map(np.concatenate, (to, seen_hash, places, where, ends, many))
+        to, seen_hash, places, where, ends, many, hot = map(np.concatenate, (to, seen_hash, places, where, ends, many, hot))
         _, first, back, times = np.unique(seen_hash, return_index=True, return_inverse=True, return_counts=True)
         weight = np.minimum(times + np.bincount(back, weights=many, minlength=len(first)).astype(np.int64), 2)
         known = (weight[back] > 1) & ~many
-        spans = repeats.spans_packed((where - places)[known], (where - places + ends)[known]) if known.any() else None
+        starts, stops = [(where - places)[known]], [(where - places + ends)[known]]
+        windows: dict[bytes, set[int]] = defaultdict(set)  # two anchors may have a window in common
+        twice = set()
+        for j in np.flatnonzero(hot[first]).tolist():
+            i = first[j]
+            sequence, base = words[i].split(b" "), int(where[i] - places[i])
+            for a in range(min(int(places[i]), len(sequence) - WINDOW) + 1):
+                digest = repeats.passage_digest(b" ".join(sequence[a : a + WINDOW]))
+                windows[digest].add(base + a)
+                if weight[j] > 1:
+                    twice.add(digest)
+        again = np.array([x for d, at in windows.items() if len(at) > 1 or d in twice for x in at], dtype=np.int64)
+        starts, stops = np.concatenate((*starts, again)), np.concatenate((*stops, again + WINDOW))
+        put(0, key[0].as_py(), repeats.spans_packed(starts, stops) if len(starts) else None, *[None] * 5)
+        for to_part, digests, _, at in repeats.hot_rows({d: (0, min(at)) for d, at in windows.items()}, parts):
+            put(to_part, key[0].as_py(), *[None] * 4, at, digests)
         part = (to[first] % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        order = order[~hot[first[order]]]
+        for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():
             i = first[some]
-            row = (int(part[some[0]]), key[0].as_py(), spans, [words[j] for j in i], places[i].astype(np.uint8).tobytes(), weight[some].astype(np.uint8).tobytes(), where[i].astype(np.uint32).tobytes())
-            spans = None
-            for name, value in zip(SHARDS.names, row, strict=True):
-                out[name].append(value)
+            put(int(part[some[0]]), key[0].as_py(), None, [words[j] for j in i], places[i].astype(np.uint8).tobytes(), weight[some].astype(np.uint8).tobytes(), where[i].astype(np.uint32).tobytes(), None)
     return pa.table([pa.array(out[f.name], f.type) for f in SHARDS], schema=SHARDS)
 
 
 def search(group: pa.Table) -> pa.Table:
     """Build the shard's index and stream its contexts against it: bucket, spans."""
     out = [(r["bucket"], r["spans"]) for r in group.select(["bucket", "spans"]).to_pylist() if r["spans"] is not None]
+    hot = [r for r in group.select(["bucket", "offsets", "hot"]).to_pylist() if r["hot"] is not None]
+    found = []
+    if hot:
+        order, _, again = repeats.hot_order([r["hot"] for r in hot], [bytes(len(r["hot"]) // 2) for r in hot], [r["offsets"] for r in hot])
+        at = np.frombuffer(b"".join(r["offsets"] for r in hot), dtype=np.uint32).astype(np.int64)[order][again]
+        found.append((np.repeat([r["bucket"] for r in hot], [len(r["hot"]) // 16 for r in hot])[order][again], at, at + WINDOW))
+    group = group.filter(pc.is_valid(group.column("texts")))
+    if len(group):
+        found.append(indexed(group))
+    out += repeats.spans_by_bucket(found)
+    return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "spans": pa.array([x[1] for x in out], pa.binary())})
+
+
+def indexed(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The repeated stretches of a shard's contexts: bucket, start, stop."""
     texts = [t for x in group.column("texts").to_pylist() for t in x]
     join = lambda name, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in group.column(name).to_pylist()])
     places, weights, offsets = join("places", np.uint8).astype(np.int64), join("weights", np.uint8).astype(np.int64), join("offsets", np.uint32).astype(np.int64)
@@ -222,9 +260,7 @@ def search(group: pa.Table) -> pa.Table:
     b = np.concatenate((buckets[full], buckets[one]))
     s = np.concatenate((base[full], base[one] + starts))
     e = np.concatenate((base[full] + sizes[full], base[one] + stops))
-    order = np.argsort(b, kind="stable")
-    out += [(int(b[i[0]]), repeats.spans_packed(s[i], e[i])) for i in np.split(order, np.flatnonzero(np.diff(b[order])) + 1) if len(i)]
-    return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "spans": pa.array([x[1] for x in out], pa.binary())})
+    return b, s, e
 
 
 def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:

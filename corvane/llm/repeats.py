@@ -6,7 +6,9 @@ that occur once in the whole corpus are dropped; around each of the others a con
 anchor, goes to where the operator compares contexts with equal anchors.
 
 Copies that a task has seen already, short texts and anchors that repeat within a bucket take ways of their own, so a
-text, line or anchor that a third of the rows share doesn't gather in one task.
+text, line or anchor that a third of the rows share doesn't gather in one task. An anchor that occurs more than HOT times
+is hot: the passages around it are not compared side by side but dealt one by one, by their digest, and of equal ones a
+bucket sends one.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Buckets for each shuffle partition; bytes of text whose hashes are computed at once.
 BUCKETS, PIECE = 4, 1_000_000
+#: Occurrences of an anchor up to which its contexts go to one place.
+HOT = 4096
 LOW32 = np.uint64(0xFFFFFFFF)
 
 
@@ -141,17 +145,17 @@ def from40(raw: bytes) -> np.ndarray:
 
 
 def repeated_anchors(rows: DataFrame, find: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """For each bucket the anchors that occur again in the corpus: bucket, offsets (packed), maybe in several rows.
+    """For each bucket the anchors that occur again in the corpus: bucket, offsets (packed), hot, maybe in several rows.
 
-    ``find`` gives for the texts of a bucket the anchors' offsets (in the texts laid end to end) and hashes.
+    Rows that are hot hold the first offset in the bucket of each hot anchor, which other rows may hold too. ``find`` gives for the texts of a bucket the anchors' offsets (in the texts laid end to end) and hashes.
     """
     parts = partitions(rows)
 
     def split(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         out = defaultdict(list)
 
-        def put(part: int, known: bool, ids: bytes, offsets: np.ndarray) -> None:
-            for k, v in (("part", part), ("bucket", key[0].as_py()), ("known", known), ("ids", ids), ("offsets", packed(offsets))):
+        def put(part: int, known: bool, ids: bytes, times: np.ndarray, offsets: np.ndarray) -> None:
+            for k, v in (("part", part), ("bucket", key[0].as_py()), ("known", known), ("ids", ids), ("times", times.astype(np.uint32).tobytes()), ("offsets", packed(offsets))):
                 out[k].append(v)
 
         offsets, hashes = find(Bucket(group).texts)
@@ -159,48 +163,73 @@ def repeated_anchors(rows: DataFrame, find: Callable[[list[bytes]], tuple[np.nda
             _, first, back, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
             twice = times[back] > 1
             if twice.any():
-                put(key[0].as_py() % parts, True, b"", offsets[twice])
-            first = np.sort(first)
+                put(key[0].as_py() % parts, True, b"", times[:0], offsets[twice])
+            order = np.argsort(first)
+            first, times = first[order], times[order]
             offsets, hashes = offsets[first], hashes[first]
             to = ((hashes & LOW32) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             edges = np.flatnonzero(np.diff(to[order], prepend=-1))
             for some in np.split(order, edges[1:]):
-                put(int(to[some[0]]), False, ids40(hashes[some]), offsets[some])
+                put(int(to[some[0]]), False, ids40(hashes[some]), times[some], offsets[some])
         return pa.table([pa.array(out[f.name], f.type) for f in SPLIT], schema=SPLIT)
 
     def judge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         known = group.column("known").to_pylist()
         buckets, offsets = group.column("bucket").to_pylist(), group.column("offsets").to_pylist()
         ids = [from40(x) for x in group.column("ids").to_pylist()]
-        every = np.concatenate(ids)
-        order = np.argsort(every, kind="stable")
-        same = every[order][1:] == every[order][:-1]
-        again = np.zeros(len(every), dtype=bool)
-        again[order[1:][same]] = True
-        again[order[:-1][same]] = True
-        out, at = ([], []), 0
+        times = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in group.column("times").to_pylist()])
+        _, back, n = np.unique(np.concatenate(ids), return_inverse=True, return_counts=True)
+        again, hot = n[back] > 1, np.bincount(back, weights=times)[back] > HOT
+        out, at = ([], [], []), 0
         for bucket, is_known, raw, own in zip(buckets, known, offsets, ids, strict=True):
-            if is_known:
-                out[0].append(bucket)
-                out[1].append(raw)
-            elif (some := again[at : at + len(own)]).any():
-                out[0].append(bucket)
-                out[1].append(packed(unpacked(raw)[some]))
+            mine = slice(at, at + len(own))
             at += len(own)
-        return pa.table({"bucket": pa.array(out[0], pa.int32()), "offsets": pa.array(out[1], pa.binary())})
+            for wanted, is_hot in ((again[mine] & ~hot[mine], False), (hot[mine], True)):
+                if (is_known and not is_hot) or wanted.any():
+                    for column, value in zip(out, (bucket, raw if is_known else packed(unpacked(raw)[wanted]), is_hot), strict=True):
+                        column.append(value)
+        return pa.table({"bucket": pa.array(out[0], pa.int32()), "offsets": pa.array(out[1], pa.binary()), "hot": pa.array(out[2], pa.bool_())})
 
-    found = rows.groupBy("bucket").applyInArrow(split, "part int, bucket int, known boolean, ids binary, offsets binary")
-    return found.groupBy("part").applyInArrow(judge, "bucket int, offsets binary")
+    found = rows.groupBy("bucket").applyInArrow(split, "part int, bucket int, known boolean, ids binary, times binary, offsets binary")
+    return found.groupBy("part").applyInArrow(judge, "bucket int, offsets binary, hot boolean")
 
 
-SPLIT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("known", pa.bool_()), ("ids", pa.binary()), ("offsets", pa.binary())])
+SPLIT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("known", pa.bool_()), ("ids", pa.binary()), ("times", pa.binary()), ("offsets", pa.binary())])
 
 
-def offsets_of(group: pa.Table) -> np.ndarray:
-    """All repeated anchors of a bucket, ascending."""
-    found = [unpacked(x) for x in group.column("offsets").to_pylist()]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+def offsets_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All repeated anchors of a bucket, and the first of each hot one, ascending."""
+    found: tuple[list, list] = ([np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)])
+    for raw, hot in zip(group.column("offsets").to_pylist(), group.column("hot").to_pylist(), strict=True):
+        found[0].append(unpacked(raw))
+        if hot:
+            found[1].append(found[0][-1])
+    return np.unique(np.concatenate(found[0])), np.unique(np.concatenate(found[1]))
+
+
+def passage_digest(passage: bytes) -> bytes:
+    return hashlib.blake2b(passage, digest_size=16).digest()
+
+
+def hot_rows(passages: dict[bytes, tuple[int, int]], parts: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """The passages around hot anchors (digest: id, offset) of a bucket by part: part, digests, ids, offsets."""
+    if passages:
+        to = np.array([int.from_bytes(d[:4], "little") % parts for d in passages])
+        digests, places = np.array(list(passages), dtype="V16"), np.array(list(passages.values()), dtype=np.int64)
+        order = np.argsort(to, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+            yield int(to[some[0]]), digests[some].tobytes(), places[some, 0].tobytes(), places[some, 1].astype(np.uint32).tobytes()
+
+
+def hot_order(digests: list[bytes], ids: list[bytes], offsets: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of all passages by digest, id and offset; where in it a passage is not the first and not the only one."""
+    high, low = np.frombuffer(b"".join(digests), dtype=np.uint64).reshape(-1, 2).T
+    order = np.lexsort((np.frombuffer(b"".join(offsets), dtype=np.uint32), np.frombuffer(b"".join(ids), dtype=np.int64), low, high))
+    same = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
+    no = np.zeros(1, dtype=bool)
+    later = np.concatenate((no, same))
+    return order, later, later | np.concatenate((same, no))
 
 
 def covered(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,6 +247,15 @@ def spans_packed(starts: list[int] | np.ndarray, stops: list[int] | np.ndarray)
     return np.concatenate((starts, stops - starts)).astype(np.uint32).tobytes()
 
 
+def spans_by_bucket(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[int, bytes]]:
+    """Spans (bucket, start, stop) packed for each bucket."""
+    if not found:
+        return []
+    bucket, start, stop = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.argsort(bucket, kind="stable")
+    return [(int(bucket[i[0]]), spans_packed(start[i], stop[i])) for i in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(i)]
+
+
 def spans_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     pairs = [np.frombuffer(x, dtype=np.uint32).reshape(2, -1).astype(np.int64) for x in raws]
     both = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), dtype=np.int64)

@@ -3,15 +3,18 @@
 Texts are UTF-8 bytes. The suffixes that matter, those at anchors that repeat (see ``repeats``), are sorted in runs by
 their first 100 bytes, front-coded (each suffix without the prefix it shares with the one before) and exchanged by
 range. Loser trees merge the runs; every head knows its common prefix with the last suffix put out, so known prefixes
-are never compared again, and the merged order comes with its common-prefix lengths. Suffixes that share an anchor stand
-side by side; with the bytes left of the anchor they tell which of the 100-byte strings around it start earlier.
+are never compared again, and the merged order comes with its common-prefix lengths. A 100-byte string around an anchor is
+the last s bytes before it and 100 - s bytes from it on. Suffixes with the same 100 - s bytes are a stretch of the merged
+order in which no common-prefix length is less; in the same way the bytes before the anchors, read backwards and sorted
+once, give stretches with the same s bytes. What shares both stretches shares the string, and all but the earliest of
+these go.
 
 "Earlier" is the order of (doc_id, start). Null texts count as empty; texts under 100 bytes lose nothing. Rows with a
 null id are left out. Repeated rows each give a row; the second of two equal rows counts as later. Further columns are
 ignored. An empty table gives an empty result.
 
 What one task holds: a bucket of texts, or one range of the merge. A context that many texts share is one record of each
-bucket. Only a 48-byte string with very many different surroundings brings as many records to one task.
+bucket. The strings around an anchor with more than ``repeats.HOT`` occurrences are spread over all ranges by digest.
 """
 
 from __future__ import annotations
@@ -34,11 +37,9 @@ LENGTH, GRAM = 100, 48
 LEFT = LENGTH - GRAM
 #: Texts from which the range borders are drawn, at most about so many; bytes of a border.
 BORDER_TEXTS, BORDER = 4000, 24
-#: Up to so many different contexts of one anchor are compared in pairs; more go by string.
-PAIRS = 8
 
-RUNS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("spans", pa.binary()), ("lcps", pa.binary()), ("sizes", pa.binary()), ("tails", pa.binary()), ("left_sizes", pa.binary()), ("lefts", pa.binary()), ("ids", pa.binary()), ("offsets", pa.binary())])
-RUNS_SQL = "part int, bucket int, spans binary, lcps binary, sizes binary, tails binary, left_sizes binary, lefts binary, ids binary, offsets binary"
+RUNS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("spans", pa.binary()), ("lcps", pa.binary()), ("sizes", pa.binary()), ("tails", pa.binary()), ("left_sizes", pa.binary()), ("lefts", pa.binary()), ("ids", pa.binary()), ("offsets", pa.binary()), ("hot", pa.binary())])
+RUNS_SQL = "part int, bucket int, spans binary, lcps binary, sizes binary, tails binary, left_sizes binary, lefts binary, ids binary, offsets binary, hot binary"
 
 
 def find_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,11 +144,17 @@ def merged(runs: list[tuple[list[bytes], bytes]]) -> Iterator[tuple[int, int, in
             node >>= 1
 
 
-def contexts(key: tuple[pa.Scalar, ...], rows: pa.Table, anchors: pa.Table, borders: list[bytes]) -> pa.Table:
-    """Sorted front-coded runs of a bucket's contexts; equal contexts are one record, the later ones are covered."""
+def contexts(key: tuple[pa.Scalar, ...], rows: pa.Table, anchors: pa.Table, borders: list[bytes], ranges: int) -> pa.Table:
+    """Sorted front-coded runs of a bucket's contexts; equal contexts are one record, the later ones are covered. Of hot
+    anchors the digests of the strings around them."""
     bucket = repeats.Bucket(rows)
-    offsets = repeats.offsets_of(anchors)
+    offsets, firsts = repeats.offsets_of(anchors)
     out = defaultdict(list)
+
+    def put(*row) -> None:
+        for name, value in zip(RUNS.names, row, strict=True):
+            out[name].append(value)
+
     if len(offsets):
         data = b"".join(bucket.texts)
         length = np.fromiter(map(len, bucket.texts), dtype=np.int64, count=len(bucket.texts))
@@ -164,16 +171,29 @@ def contexts(key: tuple[pa.Scalar, ...], rows: pa.Table, anchors: pa.Table, bord
             if seen.setdefault(data[a:c] + bytes((b - a,)), i) != i:
                 starts.append(a)
                 stops.append(c)
-        texts = sorted((data[offsets[i] : hi[i]], data[lo[i] : offsets[i]], i) for i in seen.values())
+        hot_grams, calm = {data[o : o + GRAM] for o in firsts.tolist()}, []
+        hot: dict[bytes, tuple[int, int]] = {}
+        for i in seen.values():
+            at = int(offsets[i])
+            if data[at : at + GRAM] not in hot_grams:
+                calm.append(i)
+                continue
+            for place in range(int(lo[i]), min(at, int(hi[i]) - LENGTH) + 1):
+                mine = (int(first_id[i]), place)
+                # contexts come from the earliest on, but two anchors may have a string in common
+                if hot.setdefault(repeats.passage_digest(data[place : place + LENGTH]), mine) != mine:
+                    starts.append(place)
+                    stops.append(place + LENGTH)
+        put(0, key[0].as_py(), spans_or_none(starts, stops), *[None] * 8)
+        for part, digests, ids, places in repeats.hot_rows(hot, ranges):
+            put(part, key[0].as_py(), *[None] * 6, ids, places, digests)
+        texts = sorted((data[offsets[i] : hi[i]], data[lo[i] : offsets[i]], i) for i in calm)
         parts = [bisect_right(borders, t[0][:BORDER]) for t in texts]
         edges = [0, *(j for j in range(1, len(parts)) if parts[j] != parts[j - 1]), len(parts)] if parts else []
         for b, e in zip(edges, edges[1:], strict=False):
             some = texts[b:e]
-            lcps, sizes, tails = front_coded([t[0] for t in some])
             at = np.array([t[2] for t in some])
-            row = (parts[b], key[0].as_py(), spans_or_none(starts, stops) if b == 0 else None, lcps, sizes, tails, bytes(len(t[1]) for t in some), b"".join(t[1] for t in some), first_id[at].tobytes(), offsets[at].astype(np.uint32).tobytes())
-            for name, value in zip(RUNS.names, row, strict=True):
-                out[name].append(value)
+            put(parts[b], key[0].as_py(), None, *front_coded([t[0] for t in some]), bytes(len(t[1]) for t in some), b"".join(t[1] for t in some), first_id[at].tobytes(), offsets[at].astype(np.uint32).tobytes(), None)
     return pa.table([pa.array(out[f.name], f.type) for f in RUNS], schema=RUNS)
 
 
@@ -183,66 +203,72 @@ def spans_or_none(starts: list[int], stops: list[int]) -> bytes | None:
 
 def merge(group: pa.Table) -> pa.Table:
     """Merge the runs of one range and find what starts earlier elsewhere: bucket, spans."""
-    found: dict[int, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
-    passed, runs, rest = [], [], []
+    passed, runs, buckets, lefts, ids, offsets = [], [], [], [], [], []
+    hot: tuple[list, list, list, list] = ([], [], [], [])
     for r in group.to_pylist():
         if r["spans"] is not None:
             passed.append((r["bucket"], r["spans"]))
-        runs.append((front_decoded(r["lcps"], r["sizes"], r["tails"]), r["lcps"]))
-        cut = np.concatenate(([0], np.cumsum(np.frombuffer(r["left_sizes"], dtype=np.uint8), dtype=np.int64))).tolist()
-        rest.append((r["bucket"], [r["lefts"][a:b] for a, b in zip(cut, cut[1:], strict=False)], np.frombuffer(r["ids"], dtype=np.int64).tolist(), np.frombuffer(r["offsets"], dtype=np.uint32).tolist()))
-    same: list[tuple[bytes, bytes, int, int, int]] = []
-    for run, i, lcp in merged(runs):
-        if lcp < GRAM and same:
-            if len(same) > 1:
-                resolve(same, found)
-            same = []
-        bucket, lefts, ids, offsets = rest[run]
-        same.append((ids[i], bucket, offsets[i], lefts[i], runs[run][0][i]))
-    if len(same) > 1:
-        resolve(same, found)
-    out = passed + [(b, repeats.spans_packed(*s)) for b, s in found.items()]
+        if r["hot"] is not None:
+            for column, value in zip(hot, (r["hot"], r["ids"], r["offsets"], [r["bucket"]] * (len(r["hot"]) // 16)), strict=True):
+                column.append(value)
+        elif r["lcps"] is not None:
+            runs.append((front_decoded(r["lcps"], r["sizes"], r["tails"]), r["lcps"]))
+            cut = np.concatenate(([0], np.cumsum(np.frombuffer(r["left_sizes"], dtype=np.uint8), dtype=np.int64))).tolist()
+            lefts.append([r["lefts"][a:b] for a, b in zip(cut, cut[1:], strict=False)])
+            buckets.append(r["bucket"])
+            ids.append(np.frombuffer(r["ids"], dtype=np.int64))
+            offsets.append(np.frombuffer(r["offsets"], dtype=np.uint32).astype(np.int64))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # bucket, start, stop
+    if runs:
+        run, at, lcp = np.array(list(merged(runs)), dtype=np.int64).T
+        base = np.cumsum([0, *map(len, ids)])[run] + at
+        size = np.array([len(t) for texts, _ in runs for t in texts])[base]
+        left = [x for some in lefts for x in some]
+        left = [left[i] for i in base.tolist()]
+        where = np.concatenate(offsets)[base], np.concatenate(ids)[base], np.array(buckets)[run]
+        found += earlier(lcp, size, left, *where)
+    if hot[0]:
+        order, later, _ = repeats.hot_order(*hot[:3])
+        at = np.frombuffer(b"".join(hot[2]), dtype=np.uint32).astype(np.int64)[order][later]
+        found.append((np.concatenate(hot[3])[order][later], at, at + LENGTH))
+    out = passed + repeats.spans_by_bucket(found)
     return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "spans": pa.array([x[1] for x in out], pa.binary())})
 
 
-def resolve(same: list[tuple], found: dict) -> None:
-    """Contexts with one anchor (doc_id, bucket, offset, left, right): mark the strings that start earlier in another."""
-    same.sort()
-    distinct: dict[tuple[bytes, bytes], tuple] = {}
-    for x in same:
-        if distinct.setdefault((x[3], x[4]), x) is not x:
-            found[x[1]][0].append(x[2] - len(x[3]))
-            found[x[1]][1].append(x[2] + len(x[4]))
-    kept = list(distinct.values())
-    if len(kept) == 1:
-        return
-    if len(kept) <= PAIRS:
-        for j, (_, bucket, offset, left, right) in enumerate(kept):
-            back = left[::-1]
-            for _, _, _, left0, right0 in kept[:j]:
-                low, high = LENGTH - common(right, right0, GRAM), common(back, left0[::-1])
-                if low <= high:
-                    found[bucket][0].append(offset - high)
-                    found[bucket][1].append(offset - max(low, 0) + LENGTH)
-        return
+def earlier(lcp: np.ndarray, size: np.ndarray, left: list[bytes], offset: np.ndarray, doc_id: np.ndarray, bucket: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """From merged suffixes (common prefix with the one before, size, bytes before the anchor, place): the strings that
+    start earlier in another: bucket, start, stop."""
+    n = len(lcp)
+    anchor = np.cumsum(lcp < GRAM)
+    # the bytes before the anchors, backwards, sorted for each anchor
+    back = [x[::-1] for x in left]
+    by_left = sorted(range(n), key=lambda i: (anchor[i], back[i]))
+    left_lcp = np.zeros(n, dtype=np.int64)
+    for j, (a, b) in enumerate(zip(by_left, by_left[1:], strict=False), 1):
+        left_lcp[j] = common(back[a], back[b]) if anchor[a] == anchor[b] else -1
+    by_left = np.array(by_left)
+    left_size = np.fromiter(map(len, left), dtype=np.int64, count=n)
+    first = np.lexsort((offset, doc_id))  # from the earliest on
+    out = []
     for shift in range(LEFT + 1):
-        need, first = LENGTH - shift, set()
-        for _, bucket, offset, left, right in kept:
-            if len(left) >= shift and len(right) >= need:
-                text = left[len(left) - shift :] + right[:need]
-                if text in first:
-                    found[bucket][0].append(offset - shift)
-                    found[bucket][1].append(offset + need)
-                else:
-                    first.add(text)
+        need = LENGTH - shift
+        stretch, back_stretch = np.cumsum(lcp < need), np.empty(n, dtype=np.int64)
+        back_stretch[by_left] = np.cumsum(left_lcp < shift)
+        some = first[((left_size >= shift) & (size >= need))[first]]
+        key = stretch[some] * (n + 1) + back_stretch[some]
+        order = np.argsort(key, kind="stable")
+        later = some[order[1:][key[order][1:] == key[order][:-1]]]
+        out.append((bucket[later], offset[later] - shift, offset[later] + need))
+    return out
 
 
 def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The dealt rows of ``docs`` and the spans to remove (bucket, spans; offsets in the bucket's texts)."""
     rows = repeats.dealt(docs, len, LENGTH)
-    borders = range_borders(docs, repeats.partitions(docs))
+    ranges = repeats.partitions(docs)
+    borders = range_borders(docs, ranges)
     anchors = repeats.repeated_anchors(rows, find_anchors)
-    runs = rows.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(lambda key, a, b: contexts(key, a, b, borders), RUNS_SQL)
+    runs = rows.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(lambda key, a, b: contexts(key, a, b, borders, ranges), RUNS_SQL)
     return rows, runs.groupBy("part").applyInArrow(merge, "bucket int, spans binary")
 
 

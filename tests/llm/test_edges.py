@@ -92,6 +92,35 @@ def test_substring_dedup(spark, docs):
     assert got == brute.substring_dedup(docs)
 
 
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_one_passage_in_many_surroundings(spark, monkeypatch, hot):
+    """Short and long passages between other words each time; few occurrences make an anchor hot in the second run."""
+    monkeypatch.setattr("corvane.llm.repeats.HOT", hot)
+    rng = random.Random(13)
+    passages = [sentences(rng, n) for n in (4, 12, 22, 34, 40, 70)]
+    data = [(i, sentences(rng, rng.randrange(0, 40)) + rng.choice(["", " "]) + passages[i % 6] + rng.choice(["", " x", " yy "]) + sentences(rng, rng.randrange(0, 40))) for i in range(120)]
+    data += [(1000 + i, data[i][1]) for i in range(8)] + [(2000, passages[5] * 9), (-7, passages[4] + " " + passages[5])]
+    df = spark.createDataFrame(data, DOCS).repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(df).collect()}
+    assert got == brute.suffix_dedup(data)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in fm_dedup.deduplicated(df).collect()}
+    assert got == brute.substring_dedup(data)
+
+
+def test_hot_anchor_is_spread(spark):
+    """One passage in 10 000 surroundings: the parts get about equally much, and no part has all."""
+    rng = random.Random(14)
+    shared = sentences(rng, 20)[:90]
+    data = [(i, f"{rng.getrandbits(300):x} {shared} {rng.getrandbits(300):x}") for i in range(10_000)]
+    df = spark.createDataFrame(data, DOCS).repartition(4)
+    rows = suffix_dedup.repeats.dealt(df, len, suffix_dedup.LENGTH)
+    anchors = suffix_dedup.repeats.repeated_anchors(rows, suffix_dedup.find_anchors)
+    runs = rows.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(lambda key, a, b: suffix_dedup.contexts(key, a, b, [], 8), suffix_dedup.RUNS_SQL)
+    sizes = [r.n for r in runs.where("hot IS NOT NULL").groupBy("part").agg(F.sum(F.length("hot")).alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.2 * min(sizes) and runs.agg(F.sum(F.length("ids"))).first()[0] > 0
+    assert suffix_dedup.deduplicated(df).agg(F.sum("n_removed")).first()[0] == 0
+
+
 def test_wavelet_matrix_ranks():
     x = np.random.default_rng(1).integers(0, 37, 1000)
     w = fm_dedup.WaveletMatrix(x, 6)
