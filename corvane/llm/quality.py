@@ -2,20 +2,23 @@
 
 The content view sees how words look and repeat (hashed word endings and word shapes, repeats of the word before); the
 metadata view sees the record and its layout (language, source, length, lines, shares of letters, digits and symbols).
-Each view is a logistic regression fitted on a bounded sample of labelled rows. In each round it labels the rows of a
-bounded unlabelled sample of which it is surest, and those go to the other view's training set. At last both views are
-calibrated on labelled rows that were held out from fitting, their log-odds are combined, and all documents are scored.
-A document is rejected under a score that at most LOST of the good held-out documents have (and never over one half).
+Each view is a logistic regression fitted on a bounded sample of labelled rows. In each round both views score all
+documents; the TAUGHT rows of each class of which a view is surest go, with the label it gives them, to the other view's
+training set. At last both views are calibrated on labelled rows that were held out from fitting, their log-odds are
+combined, and all documents are scored. A document is rejected under a score that at most LOST of the good held-out
+documents have (and never over one half).
 
 Null or empty texts have no words and are scored by what is left. Null languages and sources are values of their own.
-Rows with a null id are scored too. Labels that are null or not 0/1 are left out; of several labels of one document the
-largest counts. With fewer than 20 labelled rows of either class nothing is rejected and the score is the base rate.
-Repeated rows each give a row. Further columns are ignored. An empty table gives an empty result.
+Rows with a null id are scored too, but teach nothing. Labels that are null or not 0/1 are left out; of several labels of
+one document the largest counts. With fewer than 20 labelled rows of either class there is nothing to hold out: nothing is
+rejected and the score is the base rate. Equally sure rows are taken by id. Repeated rows each give a row and teach once.
+Further columns are kept, whatever their names; those with the name of a new column are replaced. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BASE, SPACE, Words, batches, mix64, table
+from corvane.llm.common import BASE, SPACE, Words, batches, cut, mix64, table
 
-#: Most labelled and unlabelled rows that the fit sees (about); rounds; rows of each class that a view labels in a round.
-LABELLED, UNLABELLED, ROUNDS, TAUGHT = 6_000, 6_000, 3, 200
+#: Most labelled rows that the fit sees (about); rounds; rows of each class that a view labels in a round.
+LABELLED, ROUNDS, TAUGHT = 6_000, 2, 200
 #: A view labels only rows whose calibrated chance is this sure; share of good documents that may be lost.
 SURE, LOST = 0.98, 0.002
 #: Hashed features of the content view and of the categories in the metadata view.
@@ -156,8 +159,16 @@ class Model:
         return *(logistic(c[0] * o + c[1]) for c, o in zip(self.own, odds, strict=True)), logistic(np.column_stack(odds) @ self.weights[:-1] + self.weights[-1])
 
 
-def cotrained(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, unlabelled: tuple[np.ndarray, np.ndarray]) -> Model:
-    """Fit both views; every fifth labelled row is held out for calibration."""
+Views = tuple[View, View]
+Matrices = tuple[np.ndarray, np.ndarray]
+
+
+def cotrained(labelled: Matrices, y: np.ndarray, teach: Callable[[Views, tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]) -> Model:
+    """Fit both views; every fifth labelled row is held out for calibration.
+
+    ``teach`` gives for both views what the other one teaches it: the features of the rows that the calibrated views are
+    surest of, and their labels.
+    """
     base = float(y.mean()) if len(y) else 1.0
     if min((y == 0).sum(), (y == 1).sum()) < 20:
         return Model(None, np.zeros(3), (np.zeros(2), np.zeros(2)), 0.0, base)
@@ -165,23 +176,11 @@ def cotrained(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, unlabelled
     for c in (0, 1):
         held[np.flatnonzero(y == c)[::5]] = True
     train = [(x[~held], y[~held]) for x in labelled]
-    open_rows = [np.ones(len(unlabelled[0]), dtype=bool) for _ in train]  # not yet taught to the view
     for turn in range(ROUNDS + 1):
         views = tuple(fit(*t) for t in train)
         own = tuple(calibrated(v.odds(x[held])[:, None], y[held]) for v, x in zip(views, labelled, strict=True))
-        if turn == ROUNDS or not len(unlabelled[0]):
-            break
-        for i, j in ((0, 1), (1, 0)):  # view i teaches view j
-            chance = logistic(own[i][0] * views[i].odds(unlabelled[i]) + own[i][1])
-            take, given = [], []
-            for c, sure in ((1, chance), (0, 1 - chance)):
-                rows = np.flatnonzero(open_rows[j] & (sure >= SURE))
-                rows = rows[np.argsort(-sure[rows], kind="stable")[:TAUGHT]]
-                take.append(rows)
-                given.append(np.full(len(rows), c))
-            take = np.concatenate(take)
-            open_rows[j][take] = False
-            train[j] = (np.concatenate((train[j][0], unlabelled[j][take])), np.concatenate((train[j][1], *given)))
+        if turn < ROUNDS:
+            train = [(np.concatenate((x, more)), np.concatenate((known, given))) for (x, known), (more, given) in zip(train, teach(views, own), strict=True)]
     both = np.column_stack([v.odds(x[held]) for v, x in zip(views, labelled, strict=True)])
     weights = calibrated(both, y[held])
     good = np.sort(logistic(both @ weights[:-1] + weights[-1])[y[held] == 1])
@@ -201,15 +200,45 @@ def _read(batch: pa.RecordBatch) -> tuple[list[bytes], list, list, list]:
     return [t.as_py() or b"" for t in batch.column(0)], *(batch.column(i).to_pylist() for i in (1, 2, 3))
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model, from bounded samples that a hash of the id chooses. ``labels`` has doc_id and quality (0 or 1)."""
-    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
-    spot = lambda n, most: F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(1, n)))
-    some = known.where(spot(known.count(), LABELLED))
-    total = docs.count()
-    # at most about LABELLED rows of two numbers are broadcast
-    rows = docs.where("doc_id IS NOT NULL").join(F.broadcast(some), "doc_id", "left")
-    rows = rows.where(F.col("y").isNotNull() | spot(total, UNLABELLED))
+def surest(docs: DataFrame, views: Views, own: tuple[np.ndarray, np.ndarray], taught: tuple[set, set]) -> list[dict[int, int]]:
+    """For both views the ids and labels that the other view teaches it, from all rows of ``docs``.
+
+    Each task hands on its TAUGHT surest rows of each view and class; ``taught`` has the ids that a view knows already.
+    """
+    known = tuple(np.array(sorted(t), dtype=np.int64) for t in taught)
+    shared = docs.sparkSession.sparkContext.broadcast((views, own, known))
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        views, own, taught = shared.value
+        best = {(i, c): (np.zeros(0), np.zeros(0, dtype=np.int64)) for i in (0, 1) for c in (0, 1)}
+        for batch in rows:
+            ids = batch.column(4).to_numpy()
+            for b, e, *x in _features(*_read(batch)):
+                for i in (0, 1):
+                    chance = logistic(own[i][0] * views[i].odds(x[i]) + own[i][1])
+                    fresh = ~np.isin(ids[b:e], taught[1 - i])
+                    for c in (0, 1):
+                        sure = chance if c else 1 - chance
+                        mine = np.flatnonzero(fresh & (sure >= SURE))
+                        s, n = np.concatenate((best[i, c][0], sure[mine])), np.concatenate((best[i, c][1], ids[b:e][mine]))
+                        _, once = np.unique(n, return_index=True)
+                        s, n = s[once], n[once]
+                        top = np.lexsort((n, -s))[:TAUGHT]
+                        best[i, c] = s[top], n[top]
+        for (i, c), (s, n) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(n), pa.int32()), pa.array([c] * len(n), pa.int32()), pa.array(s), pa.array(n)], ["view", "class", "sure", "doc_id"])
+
+    found = cut(_columns(docs.where("doc_id IS NOT NULL"), "doc_id").mapInArrow(run, "view int, class int, sure double, doc_id bigint"))
+    out: list[dict[int, int]] = [{}, {}]
+    for i in (0, 1):
+        for c in (0, 1):
+            best = found.where((F.col("view") == i) & (F.col("class") == c)).groupBy("doc_id").agg(F.max("sure").alias("sure"))
+            out[1 - i] |= {r["doc_id"]: c for r in best.orderBy(F.desc("sure"), "doc_id").limit(TAUGHT).collect()}
+    return out
+
+
+def collected(rows: DataFrame) -> tuple[Matrices, list[int], np.ndarray]:
+    """Features of a bounded number of rows (doc_id, y and the text's columns), one for each id: features, ids, y."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -217,17 +246,41 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
             for b, e, content, metadata in _features(*_read(batch)):
                 yield pa.RecordBatch.from_arrays([ids.slice(b, e - b), y.slice(b, e - b), pa.array([x.tobytes() for x in content.astype(np.float16)], pa.binary()), pa.array([x.tobytes() for x in metadata], pa.binary())], ["doc_id", "y", "content", "metadata"])
 
-    found = _columns(rows, "doc_id", "y").mapInArrow(run, "doc_id bigint, y double, content binary, metadata binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["content"]))
-    matrix = lambda name, kind, keep: np.array([np.frombuffer(r[name], dtype=kind) for r in found if keep(r)], dtype=np.float32).reshape(-1, ENDINGS + SHAPES + 3 if name == "content" else CATEGORIES + 12)
-    with_label, without = (lambda r: r["y"] is not None), (lambda r: r["y"] is None)
-    y = np.array([r["y"] for r in found if r["y"] is not None])
-    return cotrained((matrix("content", np.float16, with_label), matrix("metadata", np.float32, with_label)), y, (matrix("content", np.float16, without), matrix("metadata", np.float32, without)))
+    found = {r["doc_id"]: r for r in sorted(_columns(rows, "doc_id", "y").mapInArrow(run, "doc_id bigint, y double, content binary, metadata binary").collect(), key=lambda r: r["content"])}
+    found = [found[i] for i in sorted(found)]
+    matrix = lambda name, kind, width: np.array([np.frombuffer(r[name], dtype=kind) for r in found], dtype=np.float32).reshape(-1, width)
+    return (matrix("content", np.float16, ENDINGS + SHAPES + 3), matrix("metadata", np.float32, CATEGORIES + 12)), [r["doc_id"] for r in found], np.array([r["y"] for r in found])
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Add p_content, p_metadata, score and accepted to the rows of ``docs`` (doc_id, text, lang, source, n_chars, ...)."""
-    others = [c for c in docs.columns if c not in ("text", "lang", "source", "n_chars")]
+def trained(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model; a hash of the id chooses the labelled rows that it sees. ``labels`` has doc_id and quality (0 or 1)."""
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
+    share = min(1.0, LABELLED / max(1, known.count()))
+    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * share))
+    # at most about LABELLED rows of two numbers are broadcast
+    labelled, ids, y = collected(docs.join(F.broadcast(some), "doc_id"))
+    taught = (set(ids), set(ids))
+
+    def teach(views: Views, own: tuple[np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        chosen = surest(docs, views, own, taught)
+        wanted = sorted(set(chosen[0]) | set(chosen[1]))  # at most 4 * TAUGHT
+        features, ids, _ = collected(docs.where(F.col("doc_id").isin(wanted)).withColumn("y", F.lit(None).cast("double"))) if wanted else (tuple(x[:0] for x in labelled), [], None)
+        out = []
+        for j in (0, 1):
+            mine = [n for n, i in enumerate(ids) if i in chosen[j]]
+            taught[j].update(chosen[j])
+            out.append((features[j][mine], np.array([float(chosen[j][ids[n]]) for n in mine])))
+        return out
+
+    return cotrained(labelled, y, teach)
+
+
+NEW = ("p_content", "p_metadata", "score", "accepted")
+
+
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` in one struct (row), and what the model says of them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,12 +289,20 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             for b, e, content, metadata in _features(*_read(batch)):
                 p = model.scores(content, metadata)
                 new = [*map(pa.array, p), pa.array(p[2] >= model.threshold)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(b, e - b).columns, *new], [*batch.schema.names, "p_content", "p_metadata", "score", "accepted"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(b, e - b).columns, *new], [*batch.schema.names, *NEW])
 
-    kept = _columns(docs, *[f"`{c}`" for c in others])
+    others = [c for c in docs.columns if c not in ("text", "lang", "source", "n_chars")]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("boolean")
+    kept = _columns(docs, rest.alias("rest"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     out = kept.mapInArrow(run, f"{schema}, p_content double, p_metadata double, score double, accepted boolean")
-    return out.withColumn("text", F.col("text").cast("string"))
+    row = F.struct(*[F.col(f"rest.`{c}`" if c in others else c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    return out.select(row.alias("row"), *NEW)
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """Add p_content, p_metadata, score and accepted to the rows of ``docs`` (doc_id, text, lang, source, n_chars, ...)."""
+    return _scored(docs, model).select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in NEW], *NEW)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,4 +315,4 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the classifier accepts."""
     model = trained(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model).where("accepted").select(*[F.col(f"`{c}`").cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    return _scored(docs, model).where("accepted").select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -439,3 +439,33 @@ def test_quality_keeps_good_documents(spark):
     model = quality.trained(df, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
     got = {r.doc_id: r.accepted for r in quality.scored(df, model).collect()}
     assert all(got[i] == (i % 4 > 0) for i in range(400)) and len(got) == 402
+
+
+def test_quality_views_teach_each_other_from_all_rows(spark):
+    """What a view hands on are the surest rows of the whole table, each once, and none that is known already."""
+    rng = random.Random(10)
+    docs = []
+    for i in range(1500):
+        good = i % 3 > 0
+        text = " ".join(rng.choice(["the", "quiet", "river", "was", "long", "and", "blue"]) + ("" if good or rng.random() < 0.5 else "!!#") for _ in range(40))
+        docs.append((i, text, "en" if good else "xx", "s", len(text), 1.0, "x", 0.5, i))
+    df = spark.createDataFrame(docs + docs[:100], "doc_id bigint, text string, lang string, source string, n_chars bigint, y double, accepted string, score double, row int").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 1500, 5)] + [(3, None, 0), (None, 1, 0), (4, 7, 0)], "doc_id bigint, quality int, toxic int")
+    labelled, ids, y = quality.collected(df.select("doc_id", "text", "lang", "source", "n_chars").join(labels.where("quality IN (0, 1)").selectExpr("doc_id", "double(quality) AS y"), "doc_id"))
+    assert ids == list(range(0, 1500, 5))
+    views = tuple(quality.fit(x, y) for x in labelled)
+    own = (np.array([1.0, 0.0]),) * 2
+    got = quality.surest(df, views, own, (set(ids), set(ids)))
+    content = quality.content_view([d[1].encode() for d in docs])
+    metadata = quality.metadata_view([d[1].encode() for d in docs], [d[2] for d in docs], [d[3] for d in docs], [d[4] for d in docs])
+    for teacher, x in ((0, content), (1, metadata)):
+        chance = quality.logistic(views[teacher].odds(x))
+        for c in (0, 1):
+            sure = {i: s for i, s in enumerate(chance if c else 1 - chance) if s >= quality.SURE and i % 5}
+            mine = [i for i, k in got[1 - teacher].items() if k == c]
+            assert len(mine) == min(quality.TAUGHT, len(sure)) and min((sure[i] for i in mine), default=1) >= sorted(sure.values(), reverse=True)[: quality.TAUGHT][-1] - 1e-5
+    model = quality.trained(df, labels)
+    out = quality.scored(df, model).collect()
+    assert len(out) == 1600 and all(r.accepted == (r.doc_id % 3 > 0) for r in out) and {r.y for r in out} == {1.0}
+    kept = quality._scored(df, model).where("accepted").select("row.*")
+    assert kept.columns == df.columns and {r.accepted for r in kept.collect()} == {"x"}
