@@ -1,10 +1,12 @@
 """Embedding near-dedup with an inverted multi-index: product cells of two codebooks, multi-sequence search, exact check.
 
 Vectors are cut into halves, each with a codebook of its own, so that k centroids a half make k * k cells. A vector lies
-in the cell of its nearest centroids. For its search the half distances to all other centroids' borders are sorted, and
-cells are visited in the order of the summed squares (multi-sequence), until the chance that a partner at the threshold
-lies beyond falls under 1 - recall: a partner differs by at most sqrt(2 - 2 * threshold) after scaling, in a direction
-of which each border sees a share of about 1 / sqrt(dimension). Whatever is found is checked by its cosine in doubles.
+in the cell of its nearest centroids. For its search the squared distances to the borders of all other centroids' cells
+are sorted for each half, and a queue gives the cells in the order of the summed distances (multi-sequence traversal) until
+a limit. The limit is measured: for a bounded set of queries all partners among all rows are found by brute force, and it
+is the least sum within which the target recall of these lies. (Without any such partner it is the one that vectors with
+differences in all directions alike would need; no partner lies beyond 2 - 2 * threshold.) Whatever is found is checked by
+its cosine in doubles.
 
 Equal vectors of one label are one class with a weight, so copies are not compared with each other. Large cells are cut
 into blocks; each pair of blocks is one task, which returns counts and a spanning forest, not pairs.
@@ -17,6 +19,7 @@ are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -27,8 +30,9 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import components, cut, table
 
-#: Vectors (at most about so many) on which the codebooks are fitted; all vectors are indexed.
-SAMPLE = 16_384
+#: Vectors (at most about so many) on which the codebooks are fitted; all vectors are indexed. Queries (at most about so
+#: many) whose partners among all vectors give the limit of the search, and steps of that limit.
+SAMPLE, QUERIES, STEPS = 16_384, 512, 1000
 #: Members of a label that a cell should hold; most centroids of a half; rows of a block.
 PER_CELL, MOST, BLOCK = 64, 256, 2048
 
@@ -72,12 +76,57 @@ def borders(points: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.n
     return np.maximum(away, 0.0) ** 2, own
 
 
-def visited(first: np.ndarray, second: np.ndarray, limit: float) -> Iterator[np.ndarray]:
-    """For each row the cells (i * len(second) + j) with first[i] + second[j] <= limit, nearest halves first."""
-    order1, order2 = np.argsort(first, axis=1, kind="stable"), np.argsort(second, axis=1, kind="stable")
-    for a, b, i, j in zip(first, second, order1, order2, strict=True):
-        ends = np.searchsorted(b[j], limit - a[i], side="right")  # how far the second sequence goes for each of the first
-        yield np.concatenate([i[k] * len(b) + j[: ends[k]] for k in range(np.count_nonzero(ends))])
+def visited(first: np.ndarray, second: np.ndarray, limit: float) -> Iterator[int]:
+    """The cells (i * len(second) + j) in the order of first[i] + second[j], up to the limit: a queue over both sequences."""
+    i, j = np.argsort(first, kind="stable").tolist(), np.argsort(second, kind="stable").tolist()
+    a, b = first[i].tolist(), second[j].tolist()
+    queue = [(a[0] + b[0], 0, 0)]
+    while queue and queue[0][0] <= limit:
+        _, x, y = heapq.heappop(queue)
+        yield i[x] * len(b) + j[y]
+        if y + 1 < len(b):
+            heapq.heappush(queue, (a[x] + b[y + 1], x, y + 1))
+        if y == 0 and x + 1 < len(a):
+            heapq.heappush(queue, (a[x + 1] + b[0], x + 1, 0))
+
+
+def measured_limit(classes: DataFrame, books: tuple[np.ndarray, np.ndarray], dimension: int, threshold: float, recall: float, n: int) -> float | None:
+    """The summed distance up to which a search finds the share ``recall`` of the links of a bounded set of queries."""
+    half, most = dimension // 2, 2 - 2 * threshold
+    usual = classes.where(F.size("embedding") == dimension)
+    drawn = usual.where(F.pmod(F.xxhash64("rep", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, QUERIES / max(1, n)))).select("rep", "label", "embedding").collect()
+    if not drawn:
+        return None
+    q = unit(np.array([r["embedding"] for r in drawn], dtype=np.float64))
+    (a, own1), (b, own2) = borders(q[:, :half], books[0]), borders(q[:, half:], books[1])
+    ids, labels, cells = np.array([r["rep"] for r in drawn]), [r["label"] for r in drawn], own1 * len(books[1]) + own2
+    of_label = {x: np.array([i for i, y in enumerate(labels) if y == x]) for x in set(labels)}
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(STEPS + 1, dtype=np.int64)
+        for batch in rows:
+            found = batch.column("label").to_pylist()
+            for label in set(found) & set(of_label):
+                mine = [i for i, x in enumerate(found) if x == label]
+                some, reps = batch.take(pa.array(mine)), batch.column("rep").to_numpy()[mine]
+                v = unit(np.array(some.column("embedding").to_pylist(), dtype=np.float64))
+                (c, at1), (d, at2) = borders(v[:, :half], books[0]), borders(v[:, half:], books[1])
+                who = of_label[label]
+                x, y = np.nonzero(q[who] @ v.T >= threshold)
+                x, cell = who[x], at1[y] * len(books[1]) + at2[y]
+                # the one in the cell with the smaller number searches
+                own = a[x, at1[y]] + b[x, at2[y]]
+                other = c[y, own1[x]] + d[y, own2[x]]
+                need = np.where(cells[x] <= cell, own, other)[ids[x] != reps[y]]
+                np.add.at(count, np.minimum(np.ceil(need / most * STEPS).astype(np.int64), STEPS), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(STEPS + 1)), pa.array(count)], ["step", "n"])
+
+    steps = usual.select("label", "rep", "embedding").mapInArrow(run, "step bigint, n bigint").groupBy("step").agg(F.sum("n").alias("n"))
+    count = np.zeros(STEPS + 1)
+    for r in steps.collect():
+        count[r["step"]] = r["n"]
+    total = count.sum()
+    return float(np.searchsorted(np.cumsum(count), recall * total)) / STEPS * most if total else None
 
 
 def assigned(classes: DataFrame, books: tuple[np.ndarray, np.ndarray], dimension: int, limit: float) -> DataFrame:
@@ -94,8 +143,8 @@ def assigned(classes: DataFrame, books: tuple[np.ndarray, np.ndarray], dimension
                 v = unit(np.array([vectors[i] for i in some]))
                 (a, own1), (b, own2) = borders(v[:, :half], books[0]), borders(v[:, half:], books[1])
                 own = own1 * len(books[1]) + own2
-                for i, c, found in zip(some, own.tolist(), visited(a, b, limit), strict=True):
-                    cell[i], probes[i] = c, found[found >= c].tolist()
+                for x, (i, c) in enumerate(zip(some, own.tolist(), strict=True)):
+                    cell[i], probes[i] = c, [n for n in visited(a[x], b[x], limit) if n >= c]
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("rep"), batch.column("w"), batch.column("embedding"), pa.array(cell, pa.int32()), pa.array(probes, pa.list_(pa.int32()))], ["label", "rep", "w", "embedding", "cell", "probes"])
 
     element = classes.schema["embedding"].dataType.simpleString()
@@ -132,7 +181,8 @@ def compared(threshold: float):
 def linked(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.999) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of ``vectors`` (vec_id, embedding, label).
 
-    ``recall`` is aimed at for partners just at the threshold; nearer ones are found with a higher chance.
+    ``recall`` is the share of links that the search aims at, measured on a bounded set of queries; 1 visits all cells that
+    can hold a partner.
     """
     vectors = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("bigint"), "embedding", "label")
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
@@ -148,8 +198,12 @@ def linked(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.999) -
     k = int(min(MOST, max(1, round(math.sqrt((about["most"] if about else 0) / PER_CELL)))))
     half = dimension // 2
     books = (codebook(points[:, :half], k), codebook(points[:, half:], k)) if half else (np.zeros((1, 0)), np.zeros((1, dimension - half)))
-    # two directions (one for each half) of a vector of length sqrt(2 - 2t): a Rayleigh tail
-    limit = min(2 - 2 * threshold, (2 - 2 * threshold) / dimension * -2 * math.log(1 - recall)) if recall < 1 else 2 - 2 * threshold
+    limit = 2 - 2 * threshold
+    if recall < 1 and half:
+        # a margin for what the queries don't show; without links, two directions (one for each half): a Rayleigh tail
+        aim = 1 - (1 - recall) / 2
+        found = measured_limit(classes, books, dimension, threshold, aim, n)
+        limit = min(limit, limit / dimension * -2 * math.log(1 - aim) if found is None else found)
     rows = cut(assigned(classes, books, dimension, limit).withColumn("d", F.size("embedding")))
     keys = ["label", "d", "cell"]
     probes = rows.select("label", "d", F.col("cell").alias("home"), "rep", "w", "embedding", F.explode("probes").alias("cell"))
@@ -159,7 +213,9 @@ def linked(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.999) -
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = rows.join(counts, keys).select(*keys, own("b_m").alias("m"), every("b_p").alias("p"), F.lit(False).alias("probe"), F.lit(True).alias("inside"), "rep", "w", "embedding")
     asked = probes.join(counts, keys).select(*keys, every("b_m").alias("m"), own("b_p").alias("p"), F.lit(True).alias("probe"), (F.col("home") == F.col("cell")).alias("inside"), "rep", "w", "embedding")
-    found = cut(members.union(asked).groupBy(*keys, "m", "p").applyInArrow(compared(threshold), "rep bigint, links bigint, root bigint"))
+    # the joins have dealt rows by the cell alone; the blocks of a large one are to be spread over tasks
+    parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = cut(members.union(asked).repartition(parts, *keys, "m", "p").groupBy(*keys, "m", "p").applyInArrow(compared(threshold), "rep bigint, links bigint, root bigint"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "rep"})
     each = classes.select("label", "h1", "h2", "rep", "w").join(links, "rep", "left").join(groups, "rep", "left")

@@ -248,6 +248,29 @@ def test_embeddings(spark):
     assert sum(r.n_links for r in some) >= 0.9 * sum(links.values())
 
 
+def test_multi_sequence_order():
+    rng = np.random.default_rng(2)
+    a, b = rng.random(9), rng.random(7)
+    sums = (a[:, None] + b).reshape(-1)
+    got = list(embedding_dedup.visited(a, b, 1.1))
+    assert got == [i for i in np.argsort(sums, kind="stable").tolist() if sums[i] <= 1.1] and len(got) > 20
+
+
+@pytest.mark.parametrize("rank", [3, 16])
+def test_embeddings_keep_the_recall(spark, rank):
+    """At the default, also where vectors differ in a few directions only; twice the same row counts twice."""
+    rng = np.random.default_rng(rank)
+    base = rng.normal(size=(1500, rank)) @ rng.normal(size=(rank, 32))
+    near = base[:700] + rng.normal(size=(700, rank)) @ rng.normal(size=(rank, 32)) * 0.2
+    v = np.concatenate((base, near, base[:20]))
+    data = [(i, [float(y) for y in x], 1) for i, x in enumerate(v)] + [(5, [float(y) for y in v[5]], 1)]
+    u = np.array([x for _, x, _ in data], dtype=np.float32).astype(float)
+    u /= np.sqrt((u * u).sum(axis=1, keepdims=True))
+    want = int((u @ u.T >= 0.93).sum()) - len(u)
+    out = embedding_dedup.linked(spark.createDataFrame(data, "vec_id bigint, embedding array<float>, label int").repartition(3)).collect()
+    assert len(out) == len(data) and want * 0.99 <= sum(r.n_links for r in out) <= want
+
+
 def test_html(spark):
     pages = [(1, "http://a.com/x", "<nav>menu</nav><article><h1>T</h1><p>a <b>b</b>c<p>d &amp; e</article><footer>f</footer>"), (2, None, None), (3, "", ""), (4, "http://a.com/y", "plain <i>te</i>xt<br>more"), (None, "u", "<p>x")]
     got = sorted(((r.page_id, r.text, r.n_chars) for r in html_text.extracted(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()), key=str)
