@@ -144,8 +144,8 @@ def find_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(offsets), np.concatenate(hashes)
 
 
-SHARDS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("spans", pa.binary()), ("texts", pa.list_(pa.binary())), ("places", pa.binary()), ("weights", pa.binary()), ("offsets", pa.binary()), ("hot", pa.binary())])
-SHARDS_SQL = "part int, bucket int, spans binary, texts array<binary>, places binary, weights binary, offsets binary, hot binary"
+SHARDS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("spans", pa.binary()), ("texts", pa.list_(pa.binary())), ("places", pa.binary()), ("weights", pa.binary()), ("offsets", pa.binary()), ("hot", pa.binary()), ("hot_offsets", pa.binary())])
+SHARDS_SQL = "part int, bucket int, spans binary, texts array<binary>, places binary, weights binary, offsets binary, hot binary, hot_offsets binary"
 
 
 def contexts(key: tuple[pa.Scalar, ...], rows: pa.Table, anchors: pa.Table, parts: int) -> pa.Table:
@@ -174,12 +174,7 @@ def contexts(key: tuple[pa.Scalar, ...], rows: pa.Table, anchors: pa.Table, part
         many.append(np.array(bucket.many)[first_text + doc])
         words += [b" ".join(w.data[a:b].split()) for a, b in zip(w.start[lo].tolist(), w.end[hi - 1].tolist(), strict=True)]
         done += n
-    out = defaultdict(list)
-
-    def put(*row) -> None:
-        for name, value in zip(SHARDS.names, row, strict=True):
-            out[name].append(value)
-
+    out: dict[int, dict] = defaultdict(dict)  # one row for each shard
     if words:
         to, seen_hash, places, where, ends, many, hot = map(np.concatenate, (to, seen_hash, places, where, ends, many, hot))
         _, first, back, times = np.unique(seen_hash, return_index=True, return_inverse=True, return_counts=True)
@@ -198,26 +193,28 @@ def contexts(key: tuple[pa.Scalar, ...], rows: pa.Table, anchors: pa.Table, part
                     twice.add(digest)
         again = np.array([x for d, at in windows.items() if len(at) > 1 or d in twice for x in at], dtype=np.int64)
         starts, stops = np.concatenate((*starts, again)), np.concatenate((*stops, again + WINDOW))
-        put(0, key[0].as_py(), repeats.spans_packed(starts, stops) if len(starts) else None, *[None] * 5)
+        if len(starts):
+            out[0]["spans"] = repeats.spans_packed(starts, stops)
         for to_part, digests, _, at in repeats.hot_rows({d: (0, min(at)) for d, at in windows.items()}, parts):
-            put(to_part, key[0].as_py(), *[None] * 4, at, digests)
+            out[to_part] |= {"hot": digests, "hot_offsets": at}
         part = (to[first] % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         order = order[~hot[first[order]]]
         for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():
             i = first[some]
-            put(int(part[some[0]]), key[0].as_py(), None, [words[j] for j in i], places[i].astype(np.uint8).tobytes(), weight[some].astype(np.uint8).tobytes(), where[i].astype(np.uint32).tobytes(), None)
-    return pa.table([pa.array(out[f.name], f.type) for f in SHARDS], schema=SHARDS)
+            out[int(part[some[0]])] |= {"texts": [words[j] for j in i], "places": places[i].astype(np.uint8).tobytes(), "weights": weight[some].astype(np.uint8).tobytes(), "offsets": where[i].astype(np.uint32).tobytes()}
+    rows_out = [{"part": part, "bucket": key[0].as_py()} | row for part, row in out.items()]
+    return pa.Table.from_pylist(rows_out, schema=SHARDS)
 
 
 def search(group: pa.Table) -> pa.Table:
     """Build the shard's index and stream its contexts against it: bucket, spans."""
     out = [(r["bucket"], r["spans"]) for r in group.select(["bucket", "spans"]).to_pylist() if r["spans"] is not None]
-    hot = [r for r in group.select(["bucket", "offsets", "hot"]).to_pylist() if r["hot"] is not None]
+    hot = [r for r in group.select(["bucket", "hot", "hot_offsets"]).to_pylist() if r["hot"] is not None]
     found = []
     if hot:
-        order, _, again = repeats.hot_order([r["hot"] for r in hot], [bytes(len(r["hot"]) // 2) for r in hot], [r["offsets"] for r in hot])
-        at = np.frombuffer(b"".join(r["offsets"] for r in hot), dtype=np.uint32).astype(np.int64)[order][again]
+        order, _, again = repeats.hot_order([r["hot"] for r in hot], [bytes(len(r["hot"]) // 2) for r in hot], [r["hot_offsets"] for r in hot])
+        at = np.frombuffer(b"".join(r["hot_offsets"] for r in hot), dtype=np.uint32).astype(np.int64)[order][again]
         found.append((np.repeat([r["bucket"] for r in hot], [len(r["hot"]) // 16 for r in hot])[order][again], at, at + WINDOW))
     group = group.filter(pc.is_valid(group.column("texts")))
     if len(group):

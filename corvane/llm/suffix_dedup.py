@@ -38,8 +38,8 @@ LEFT = LENGTH - GRAM
 #: Texts from which the range borders are drawn, at most about so many; bytes of a border.
 BORDER_TEXTS, BORDER = 4000, 24
 
-RUNS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("spans", pa.binary()), ("lcps", pa.binary()), ("sizes", pa.binary()), ("tails", pa.binary()), ("left_sizes", pa.binary()), ("lefts", pa.binary()), ("ids", pa.binary()), ("offsets", pa.binary()), ("hot", pa.binary())])
-RUNS_SQL = "part int, bucket int, spans binary, lcps binary, sizes binary, tails binary, left_sizes binary, lefts binary, ids binary, offsets binary, hot binary"
+RUNS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("spans", pa.binary()), ("lcps", pa.binary()), ("sizes", pa.binary()), ("tails", pa.binary()), ("left_sizes", pa.binary()), ("lefts", pa.binary()), ("ids", pa.binary()), ("offsets", pa.binary()), ("hot", pa.binary()), ("hot_ids", pa.binary()), ("hot_offsets", pa.binary())])
+RUNS_SQL = "part int, bucket int, spans binary, lcps binary, sizes binary, tails binary, left_sizes binary, lefts binary, ids binary, offsets binary, hot binary, hot_ids binary, hot_offsets binary"
 
 
 def find_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,12 +149,7 @@ def contexts(key: tuple[pa.Scalar, ...], rows: pa.Table, anchors: pa.Table, bord
     anchors the digests of the strings around them."""
     bucket = repeats.Bucket(rows)
     offsets, firsts = repeats.offsets_of(anchors)
-    out = defaultdict(list)
-
-    def put(*row) -> None:
-        for name, value in zip(RUNS.names, row, strict=True):
-            out[name].append(value)
-
+    out: dict[int, dict] = defaultdict(dict)  # one row for each range
     if len(offsets):
         data = b"".join(bucket.texts)
         length = np.fromiter(map(len, bucket.texts), dtype=np.int64, count=len(bucket.texts))
@@ -184,21 +179,20 @@ def contexts(key: tuple[pa.Scalar, ...], rows: pa.Table, anchors: pa.Table, bord
                 if hot.setdefault(repeats.passage_digest(data[place : place + LENGTH]), mine) != mine:
                     starts.append(place)
                     stops.append(place + LENGTH)
-        put(0, key[0].as_py(), spans_or_none(starts, stops), *[None] * 8)
+        if starts:
+            out[0]["spans"] = repeats.spans_packed(starts, stops)
         for part, digests, ids, places in repeats.hot_rows(hot, ranges):
-            put(part, key[0].as_py(), *[None] * 6, ids, places, digests)
+            out[part] |= {"hot": digests, "hot_ids": ids, "hot_offsets": places}
         texts = sorted((data[offsets[i] : hi[i]], data[lo[i] : offsets[i]], i) for i in calm)
         parts = [bisect_right(borders, t[0][:BORDER]) for t in texts]
         edges = [0, *(j for j in range(1, len(parts)) if parts[j] != parts[j - 1]), len(parts)] if parts else []
         for b, e in zip(edges, edges[1:], strict=False):
             some = texts[b:e]
             at = np.array([t[2] for t in some])
-            put(parts[b], key[0].as_py(), None, *front_coded([t[0] for t in some]), bytes(len(t[1]) for t in some), b"".join(t[1] for t in some), first_id[at].tobytes(), offsets[at].astype(np.uint32).tobytes(), None)
-    return pa.table([pa.array(out[f.name], f.type) for f in RUNS], schema=RUNS)
-
-
-def spans_or_none(starts: list[int], stops: list[int]) -> bytes | None:
-    return repeats.spans_packed(starts, stops) if starts else None
+            coded = zip(("lcps", "sizes", "tails"), front_coded([t[0] for t in some]), strict=True)
+            out[parts[b]] |= dict(coded) | {"left_sizes": bytes(len(t[1]) for t in some), "lefts": b"".join(t[1] for t in some), "ids": first_id[at].tobytes(), "offsets": offsets[at].astype(np.uint32).tobytes()}
+    rows_out = [{"part": part, "bucket": key[0].as_py()} | row for part, row in out.items()]
+    return pa.Table.from_pylist(rows_out, schema=RUNS)
 
 
 def merge(group: pa.Table) -> pa.Table:
@@ -209,9 +203,9 @@ def merge(group: pa.Table) -> pa.Table:
         if r["spans"] is not None:
             passed.append((r["bucket"], r["spans"]))
         if r["hot"] is not None:
-            for column, value in zip(hot, (r["hot"], r["ids"], r["offsets"], [r["bucket"]] * (len(r["hot"]) // 16)), strict=True):
+            for column, value in zip(hot, (r["hot"], r["hot_ids"], r["hot_offsets"], [r["bucket"]] * (len(r["hot"]) // 16)), strict=True):
                 column.append(value)
-        elif r["lcps"] is not None:
+        if r["lcps"] is not None:
             runs.append((front_decoded(r["lcps"], r["sizes"], r["tails"]), r["lcps"]))
             cut = np.concatenate(([0], np.cumsum(np.frombuffer(r["left_sizes"], dtype=np.uint8), dtype=np.int64))).tolist()
             lefts.append([r["lefts"][a:b] for a, b in zip(cut, cut[1:], strict=False)])
