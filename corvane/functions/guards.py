@@ -10,9 +10,20 @@ INN10 = (2, 4, 10, 3, 5, 9, 4, 6, 8)
 INN11 = (7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
 INN12 = (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
 
+# Patterns of sensitive data, in the order in which kinds are reported. Those with words are for lower-case text.
+_W, _END = r"[\p{L}\d_]*", r"(?:[^\p{L}\d_]|$)"
+RESTRICTED = rf"совершенно\s+секретно|(?:^|[^\p{{L}}\d_])(?:секретно|дсп){_END}|для\s+служебного\s+пользования|(?:коммерческ|служебн|государственн)[\p{{L}}\d_]+\s+тайн[\p{{L}}\d_]+"
+PASSPORT = rf"паспорт{_W}[^0-9]{{0,20}}\d{{4}}\s?\d{{6}}\b"
+SNILS = r"\b\d{3}[\s\-]?\d{3}[\s\-]?\d{3}[\s\-]?\d{2}\b"
+INN_PERSON = r"\b\d{12}\b"
+CARD = r"\b(?:\d[ \-]?){13,19}\b"
+PHONE = rf"\+\d{{1,3}}[ -]?\(?\d{{3}}\)?[ -]?\d{{3}}[ -]?\d{{2}}[ -]?\d{{2}}|\+7[\s\-()]*\d[\d\s\-()]{{8,14}}\d|\b8[\s\-]*\(\d{{3,5}}\)[\s\-]*\d[\d\s\-]{{4,10}}\d|(?:тел|телефон|моб|звон|whats|viber|вайбер){_W}[^0-9+]{{0,12}}\+?[78][\d\s\-()]{{9,16}}\d"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-PHONE = r"\+\d{1,3}[ -]?\(?\d{3}\)?[ -]?\d{3}[ -]?\d{2}[ -]?\d{2}"
 ADDRESS = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
+#: What every text with any of these kinds has; it spares the others all further patterns.
+SUSPICIOUS = r"@|\d(?:[\d ()\-\s]{5,}|[\d.]{5,})\d|(?:секретно|дсп|служебного|тайн)"
+#: Kinds that block a text; the others only warn.
+BLOCKING = ("restricted", "passport", "snils", "inn_person", "card")
 
 
 def _weighted(digits: Column, weights: tuple[int, ...]) -> Column:
@@ -34,10 +45,10 @@ def inn_valid(text: Column) -> Column:
 
 
 def snils_valid(text: Column) -> Column:
-    """Insurance numbers of eleven digits: a weighted sum modulo 101 (100 counts as 0); one repeated digit is not valid."""
+    """Insurance numbers of eleven digits: a weighted sum modulo 101 (100 counts as 0); nine equal first digits are not valid."""
     digits = F.regexp_replace(text, r"[ -]", "")
     check = _weighted(digits, tuple(range(9, 0, -1))) % 101 % 100
-    good = (check == F.substring(digits, 10, 2).cast("int")) & ~digits.rlike(r"^(\d)\1{10}$")
+    good = (check == F.substring(digits, 10, 2).cast("int")) & ~digits.rlike(r"^(\d)\1{8}")
     return F.coalesce(F.when(digits.rlike(r"^\d{11}$"), good), F.lit(False))
 
 
@@ -47,6 +58,22 @@ def card_valid(text: Column) -> Column:
     return F.coalesce(F.when(digits.rlike(r"^\d{13,19}$"), F.expr("true") & F.call_function("luhn_check", digits)), F.lit(False))
 
 
+def sensitive_kinds(text: Column) -> Column:
+    """The kinds of sensitive data in a text, in fixed order."""
+    some = lambda pattern, good: F.exists(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), good)
+    found = {
+        "restricted": F.lower(text).rlike(RESTRICTED),
+        "passport": F.lower(text).rlike(PASSPORT),
+        "snils": some(SNILS, lambda x: snils_valid(F.regexp_replace(x, r"\s", ""))),
+        "inn_person": some(INN_PERSON, inn_valid),
+        "card": some(CARD, card_valid),
+        "phone": F.lower(text).rlike(PHONE),
+        "email": text.rlike(EMAIL),
+        "address": text.rlike(ADDRESS),
+    }
+    return F.array_compact(F.array(*[F.when(test, kind) for kind, test in found.items()]))
+
+
 def unverified(answer: Column, context: Column, question: Column) -> Column:
     """Numbers of an answer that neither its context nor its question has, each once, in order."""
     from corvane.functions.text import numbers

@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: References in brackets; the sign at the start of a heading or a list line.
+REFERENCE, MARKER = r"\[\d+(?:,\s*\d+)*\]", r"^(#{1,6}\s+|[•\-*]\s+)"
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits of two characters or more."""
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{Nd}]+)"), 1), lambda t: F.length(t) > 1)
@@ -24,11 +28,18 @@ def normalized(text: Column) -> Column:
 
 
 def excerpt(text: Column, most: int = 220) -> Column:
-    """Text without table lines, markup and references, cut to ``most`` characters with an ellipsis."""
-    plain = F.regexp_replace(text, r"(?m)^\s*\|.*$", " ")
-    plain = F.regexp_replace(plain, r"\[\d+(?:,\s*\d+)*\]|[*_`#]+", "")
-    plain = F.trim(F.regexp_replace(plain, r"\s+", " "))
-    return F.when(F.char_length(plain) > most, F.concat(F.rtrim(F.substring(plain, 1, most)), F.lit("…"))).otherwise(plain)
+    """One line without table rows, references, bold, code and italic marks, headings' and bullets' signs, of at most
+    ``most`` characters, the last an ellipsis where it was cut. An underscore inside a word stays."""
+
+    def line(x: Column) -> Column:
+        x = F.replace(F.replace(F.regexp_replace(x, REFERENCE, ""), F.lit("**"), F.lit("")), F.lit("`"), F.lit(""))
+        x = F.regexp_replace(x, r"(?<![\p{L}\p{N}_])_(.+?)_(?![\p{L}\p{N}_])", "$1")
+        return F.regexp_replace(x, MARKER, "")
+
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\r"))), lambda x: (x != "") & ~F.startswith(x, F.lit("|")))
+    plain = F.trim(F.regexp_replace(F.array_join(F.transform(lines, line), " "), r"\s+", " "))
+    plain = F.regexp_replace(plain, r"\s+([.,;:])", "$1")
+    return F.when(F.char_length(plain) <= most, plain).otherwise(F.concat(F.rtrim(F.substring(plain, 1, most - 1)), F.lit("…")))
 
 
 def grouped_digits(number: Column) -> Column:

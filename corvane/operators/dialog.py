@@ -108,9 +108,9 @@ def period_start(anchor: Column, now: Column) -> tuple[Column, Column]:
 
 
 def recency(day: Column, today: Column) -> Column:
-    """today, yesterday, week (the same ISO week) or earlier."""
+    """today (or later), yesterday, week (the same ISO week) or earlier."""
     same_week = F.trunc(day, "week") == F.trunc(today, "week")
-    return F.when(day == today, "today").when(F.datediff(today, day) == 1, "yesterday").when(same_week, "week").otherwise("earlier")
+    return F.when(day >= today, "today").when(F.datediff(today, day) == 1, "yesterday").when(same_week, "week").otherwise("earlier")
 
 
 def gaps(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

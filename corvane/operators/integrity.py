@@ -75,6 +75,11 @@ def near_prefixes(rows: DataFrame, group: str, text: str, shortest: int) -> Data
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, scope: str) -> DataFrame:
-    """The table after a refresh: rows of the scopes that ``new`` holds are replaced as a whole, other rows stay."""
-    kept = old.join(new.select(scope).distinct(), scope, "left_anti").select(*old.columns)
-    return kept.unionByName(new.dropDuplicates([key]).select(*old.columns))
+    """The table after a refresh: rows of the scopes that ``new`` holds are replaced as a whole, other rows stay.
+
+    A key may occur in several scopes; of rows with one scope and key the least stays. A null scope is a scope.
+    """
+    scopes = new.select(F.col(scope).alias("_scope")).distinct()
+    kept = old.join(scopes, F.col(scope).eqNullSafe(F.col("_scope")), "left_anti")
+    first = F.row_number().over(Window.partitionBy(scope, key).orderBy(*old.columns))
+    return kept.unionByName(new.select(*old.columns).withColumn("_rn", first).where("_rn = 1").drop("_rn"))

@@ -11,37 +11,32 @@ from corvane.functions.text import tokens
 
 #: BM25: saturation of the term count and weight of the document's length.
 K1, B = 1.2, 0.75
-#: Items in a block of the exact neighbour search.
-BLOCK = 4096
-
-
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each document and term: id, term, tf and the document's length dl (in tokens)."""
-    words = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("_w"))
-    return words.select(id_col, F.size("_w").alias("dl"), F.explode("_w").alias("term")).groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def corpus_size(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row: number of documents and their average length, over the whole corpus."""
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens(F.col(text_col)))).alias("avgdl"))
+#: Items and queries in a block of the exact neighbour search; terms of queries up to which they are broadcast.
+BLOCK, QUERIES, MOST_TERMS = 4096, 1024, 500_000
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str = "text") -> DataFrame:
     """BM25 scores of all documents that share a term with a query: query id, doc id, score.
 
-    The terms of the queries cut down the postings before they are counted or shuffled; document frequencies come from
-    the cut postings, as no other terms are needed.
+    Documents are read and cut into tokens once. Only tokens that a query has, and one mark for each document, are
+    shuffled, by document; term counts and scores are then worked out where a document's tokens lie, so that neither a
+    frequent term nor the scored pairs gather anywhere. The queries' terms are broadcast if there are few enough.
     """
     asked = queries.select(F.col(query_id), F.explode(tokens(F.col(text))).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    words = docs.select(F.col(doc_id), tokens(F.col(text)).alias("_w")).select(doc_id, F.size("_w").alias("dl"), F.explode("_w").alias("term"))
-    found = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", doc_id, "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    size = corpus_size(docs, text)
+    few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    small = F.broadcast if few else lambda df: df
+    # the empty term stands once in each document: its counts are those of the corpus
+    words = docs.select(F.col(doc_id), tokens(F.col(text)).alias("_w")).select(doc_id, F.size("_w").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_w")).alias("term"))
+    vocabulary = asked.select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    found = words.join(small(vocabulary), "term", "left_semi")
+    found = found.repartition(doc_id).groupBy(doc_id, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    stats = found.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("dl").alias("sum_dl"))
+    size = stats.where("term = ''").select(F.col("df").alias("n_docs"), (F.col("sum_dl") / F.col("df")).alias("avgdl"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = stats.where("term <> ''").join(F.broadcast(size)).select("term", idf.alias("idf"), "avgdl")  # size is one row
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    terms = df.join(F.broadcast(size)).select("term", idf.alias("idf"), "avgdl")  # size is one row
-    scored = found.join(terms, "term").select("term", doc_id, (weight * F.col("idf")).alias("w"))
-    return scored.join(asked, "term").groupBy(query_id, doc_id).agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
+    scored = found.join(small(asked.join(terms, "term")), "term")
+    return scored.groupBy(query_id, doc_id).agg(F.sum(weight * F.col("idf") * F.col("qtf")).alias("score"))
 
 
 def top_k(scored: DataFrame, query_id: str, order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -52,11 +47,13 @@ def top_k(scored: DataFrame, query_id: str, order: list[Column], k: int, name: s
 def knn(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id", vector: str = "vector") -> DataFrame:
     """Exact nearest items by dot product (in doubles): query id, item id, score, rank. Items equal to the query count too.
 
-    Items are dealt over blocks and meet the query set block by block; each block passes on its own best k.
+    Items and queries are dealt over blocks; each pair of blocks is one task and passes on its own best k.
     """
-    n = max(1, -(-items.count() // BLOCK))
-    cut = items.select(F.pmod(F.xxhash64(item_id), F.lit(n)).cast("int").alias("_b"), F.col(item_id).alias("i"), F.col(vector).alias("v"))
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_b"), F.col(query_id).alias("q"), F.col(vector).alias("v"))
+    n, m = (max(1, -(-df.count() // size)) for df, size in ((items, BLOCK), (queries, QUERIES)))
+    block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cut = items.select(block(item_id, n).alias("_b"), every(m).alias("_m"), F.col(item_id).alias("i"), F.col(vector).alias("v"))
+    asked = queries.select(every(n).alias("_b"), block(query_id, m).alias("_m"), F.col(query_id).alias("q"), F.col(vector).alias("v"))
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         q, i = a.column("q").to_numpy(), b.column("i").to_numpy()
@@ -70,7 +67,7 @@ def knn(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id"
         first = np.argsort(-s, axis=1, kind="stable")[:, :most]
         return pa.table({"q": np.repeat(q, most), "i": i[first].reshape(-1), "s": np.take_along_axis(s, first, axis=1).reshape(-1)})
 
-    found = asked.groupBy("_b").cogroup(cut.groupBy("_b")).applyInArrow(best, "q bigint, i bigint, s double")
+    found = asked.groupBy("_b", "_m").cogroup(cut.groupBy("_b", "_m")).applyInArrow(best, "q bigint, i bigint, s double")
     ranked = top_k(found, "q", [F.desc("s"), F.asc("i")], k)
     return ranked.select(F.col("q").alias(query_id), F.col("i").alias(item_id), F.col("s").alias("score"), "rank")
 
@@ -94,16 +91,54 @@ def voted(ranked: DataFrame, section: str, sizes: DataFrame, power: float, const
     return votes.join(sizes, section).select("query_id", section, (F.col("votes") / F.pow(F.col("section_size"), F.lit(power))).alias("score"))
 
 
-def quota_window(ranked: DataFrame, doc: str, quota: Column, limit: int) -> DataFrame:
-    """Fill ``limit`` places: round by round one row of each document up to its quota, then the rest by rank.
+def quota_window(ranked: DataFrame, doc: str, quota: Column, limit: int, claim: list[Column] | None = None, first: list[Column] | None = None) -> DataFrame:
+    """Choose ``limit`` rows: round by round one of each document up to its quota, then the rest by rank; place them.
 
-    ``ranked`` has query_id, ``doc`` and rank. Documents take turns in the order of their best rank.
+    ``ranked`` has query_id, ``doc`` and rank. Within a round documents take turns in the order ``claim`` (by default of
+    their best rank). The chosen rows are placed by ``first`` (say, the subject's own document before others), then rank.
     """
     within = Window.partitionBy("query_id", doc).orderBy("rank")
-    rows = ranked.withColumn("turn", F.row_number().over(within)).withColumn("claim", F.min("rank").over(Window.partitionBy("query_id", doc)))
-    rows = rows.withColumn("chosen", F.col("turn") <= quota)
-    order = [F.desc("chosen"), F.when(F.col("chosen"), F.col("turn")), F.when(F.col("chosen"), F.col("claim")), F.asc("rank")]
-    return top_k(rows, "query_id", order, limit, "place")
+    rows = ranked.withColumn("turn", F.row_number().over(within)).withColumn("best", F.min("rank").over(Window.partitionBy("query_id", doc)))
+    by_turn = F.col("turn") <= quota
+    mine = lambda c: F.when(by_turn, c)
+    order = [F.desc("by_turn"), mine(F.col("turn")), *map(mine, claim or [F.col("best")]), F.asc("rank")]
+    rows = top_k(rows.withColumn("by_turn", by_turn), "query_id", order, limit, "choice")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*(first or []), "rank"))).drop("best", "by_turn")
+
+
+def match_any(rows: DataFrame, column: str, wanted: list) -> DataFrame:
+    """Rows whose array has any of the wanted values; null arrays have none."""
+    return rows.where(F.coalesce(F.arrays_overlap(column, F.array(*map(F.lit, wanted))), F.lit(False)) if wanted else F.lit(False))
+
+
+def capped(rows: DataFrame, keys: list[str], order: list[str], cap: int, heading: str) -> DataFrame:
+    """The first ``cap`` rows of each list; headings are free. Adds ``total`` (rows that aren't headings) and ``rest``."""
+    w = Window.partitionBy(*keys)
+    counted = F.col(heading).eqNullSafe(F.lit(False)).cast("int")
+    rows = rows.withColumn("total", F.sum(counted).over(w)).withColumn("_nr", F.sum(counted).over(w.orderBy(*order)))
+    rows = rows.where((F.col("_nr") <= cap) | F.col(heading))
+    return rows.withColumn("rest", F.greatest(F.col("total") - cap, F.lit(0))).drop("_nr")
+
+
+def reordered(rows: DataFrame, keys: list[str], group: str, words: str, query_words: str, order: str) -> DataFrame:
+    """Add ``place``: by group, then the number of words that the query has too, then the old order."""
+    overlap = F.size(F.array_intersect(words, query_words))
+    return rows.withColumn("overlap", overlap).withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(group, F.desc("overlap"), order)))
+
+
+def inserted(window: DataFrame, extra: DataFrame, limit: int) -> DataFrame:
+    """Append rows (query_id, item_id, rank) to windows (query_id, item_id, rank, matched): known items are only marked;
+    new ones follow in their order, and for each that has no room the last unmarked item of the window leaves."""
+    known = window.join(extra.select("query_id", "item_id", F.lit(True).alias("_again")), ["query_id", "item_id"], "left")
+    known = known.select("query_id", "item_id", "rank", (F.col("matched") | F.coalesce("_again", F.lit(False))).alias("matched"))
+    new = extra.join(window.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti").select("query_id", "item_id", "rank", F.lit(True).alias("matched"))
+    w = Window.partitionBy("query_id")
+    both = known.withColumn("added", F.lit(False)).unionByName(new.withColumn("added", F.lit(True)))
+    over = F.greatest(F.count(F.lit(1)).over(w) - limit, F.lit(0)) * (F.max("added").over(w)).cast("int")
+    may_leave = ~F.col("matched") & ~F.col("added")
+    back = F.sum(may_leave.cast("int")).over(w.orderBy(F.desc("added"), F.desc("rank")))
+    rows = both.withColumn("_out", may_leave & (back <= over)).where("NOT _out").drop("_out")
+    return rows.withColumn("place", F.row_number().over(w.orderBy("added", "rank"))).select("query_id", "item_id", "matched", "place")
 
 
 def code_tiers(hits: DataFrame) -> DataFrame:

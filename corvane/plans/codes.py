@@ -5,8 +5,6 @@ A part's code is its brand number, size and last digit, dotted, of a depth from
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,29 +35,32 @@ SELECT p_partkey, code, regexp_replace(code, '[^0-9]', '', 'g') AS digits, CASE
  array_to_string(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[1:i], '.')), '|') AS prefixes FROM s"""
 
 
-def code_hierarchy(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def code_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a queried code and a catalogue code of which one lies below the other (or both are the same)."""
     rows = _codes(spark, sf_dir).select("code").distinct().withColumn("k", C.digits(F.col("code")))
-    asked = _codes(spark, sf_dir).where("true" if whole else "p_partkey % 40 = 0").select(F.col("p_partkey").alias("query_id"), C.digits(F.col("code")).alias("q"))
+    asked = _codes(spark, sf_dir).where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), C.digits(F.col("code")).alias("q"))
     return C.related(asked, rows, "q", "k").select("query_id", "code", "relation")
 
 
-HIERARCHY_SQL = f"""WITH {CODES}, k AS (SELECT DISTINCT code, replace(code, '.', '') AS k FROM codes), q AS (SELECT p_partkey AS query_id, replace(code, '.', '') AS q FROM codes WHERE p_partkey % 40 = 0)
+HIERARCHY_SQL = f"""WITH {CODES}, k AS (SELECT DISTINCT code, replace(code, '.', '') AS k FROM codes), q AS (SELECT p_partkey AS query_id, replace(code, '.', '') AS q FROM codes WHERE p_partkey % 20 = 0)
 SELECT query_id, code, length(k) - length(q) AS relation FROM q JOIN k ON starts_with(k, q) OR starts_with(q, k)"""
 
 
-def code_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code-boosted search: matches by code in tiers before matches by price alone, in a total order, ten a query."""
     rows = _codes(spark, sf_dir).withColumn("k", C.digits(F.col("code")))
-    asked = rows.where("true" if whole else "p_partkey % 40 = 0").select(F.col("p_partkey").alias("query_id"), F.col("k").alias("q"), F.col("p_retailprice").alias("want"), "p_type")
+    asked = rows.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("k").alias("q"), F.col("p_retailprice").alias("want"), "p_type")
     by_code = C.related(asked, rows.select("p_partkey", "code", "k", "p_retailprice"), "q", "k").select("query_id", "want", "p_partkey", "code", "p_retailprice", "relation")
-    by_type = asked.join(rows.select("p_partkey", "code", "k", "p_retailprice", "p_type"), "p_type").where("abs(p_retailprice - want) <= 2 AND NOT (startswith(k, q) OR startswith(q, k))")
+    # prices in steps of two: what is at most two apart lies in the same or a neighbouring step
+    step = lambda price: F.floor(F.col(price) / 2).cast("bigint")
+    near = asked.withColumn("step", F.explode(F.array(step("want") - 1, step("want"), step("want") + 1)))
+    by_type = near.join(rows.select("p_partkey", "code", "k", "p_retailprice", "p_type", step("p_retailprice").alias("step")), ["p_type", "step"]).where("abs(p_retailprice - want) <= 2 AND NOT (startswith(k, q) OR startswith(q, k))")
     hits = by_code.unionByName(by_type.select("query_id", "want", "p_partkey", "code", "p_retailprice", F.lit(None).cast("bigint").alias("relation")))
     hits = R.code_tiers(hits.withColumn("gap", F.round(F.abs(F.col("p_retailprice") - F.col("want")), 4)))
     return R.top_k(hits, "query_id", [F.asc("tier"), F.asc("gap"), F.asc("code"), F.asc("p_partkey")], 10).select("query_id", "p_partkey", "code", F.col("tier").cast("bigint").alias("tier"), "gap", "rank")
 
 
-CODE_SEARCH_SQL = f"""WITH {CODES}, k AS (SELECT *, replace(code, '.', '') AS k FROM codes), q AS (SELECT p_partkey AS query_id, k AS q, p_retailprice AS want, p_type FROM k WHERE p_partkey % 40 = 0),
+CODE_SEARCH_SQL = f"""WITH {CODES}, k AS (SELECT *, replace(code, '.', '') AS k FROM codes), q AS (SELECT p_partkey AS query_id, k AS q, p_retailprice AS want, p_type FROM k WHERE p_partkey % 20 = 0),
 h AS (SELECT query_id, p_partkey, code, round(abs(p_retailprice - want), 4) AS gap, CASE WHEN starts_with(k, q) OR starts_with(q, k) THEN length(k) - length(q) END AS relation FROM q JOIN k ON starts_with(k, q) OR starts_with(q, k) OR (q.p_type = k.p_type AND abs(p_retailprice - want) <= 2)),
 t AS (SELECT *, CASE WHEN relation = 0 THEN 0 WHEN relation > 0 THEN 1 WHEN relation < 0 AND NOT bool_or(coalesce(relation > 0, false)) OVER w AND relation = max(CASE WHEN relation < 0 THEN relation END) OVER w THEN 2 ELSE 3 END::BIGINT AS tier FROM h WINDOW w AS (PARTITION BY query_id))
 SELECT query_id, p_partkey, code, tier, gap, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, gap, code, p_partkey) AS rank FROM t) WHERE rank <= 10"""
@@ -162,10 +163,10 @@ r AS (SELECT *, sum(new) OVER (PARTITION BY c_nationkey ORDER BY year) AS run FR
 SELECT c_nationkey, value, min(year) AS first, max(year) AS last, CASE WHEN min(year) = max(year) THEN min(year)::VARCHAR ELSE min(year) || '-' || max(year) END AS label FROM r GROUP BY c_nationkey, run, value"""
 
 
-def threshold_lookup(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def threshold_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value for each code by the first way that gives exactly one: name and type, the code, the code above, none."""
     rows = _codes(spark, sf_dir)
-    asked = rows.where("true" if whole else "p_partkey % 10 = 0").select(F.col("p_partkey").alias("query_id"), "code", "p_name", "p_type")
+    asked = rows.select(F.col("p_partkey").alias("query_id"), "code", "p_name", "p_type")
     offers = rows.where("p_partkey % 7 < 2").select(F.col("code").alias("o_code"), F.col("p_name").alias("o_name"), F.col("p_type").alias("o_type"), "p_retailprice")
     one = offers.join(asked, (F.col("o_name") == F.col("p_name")) & (F.col("o_type") == F.col("p_type")) & (F.col("o_code") == F.col("code"))).select("query_id", F.lit(1).alias("way"), "p_retailprice")
     two = offers.join(asked, F.col("o_code") == F.col("code")).select("query_id", F.lit(2).alias("way"), "p_retailprice")
@@ -176,16 +177,16 @@ def threshold_lookup(spark: SparkSession, sf_dir: str, whole: bool = False) -> D
     return asked.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("b.way", F.lit(0)).cast("bigint").alias("way"), "b.value")
 
 
-THRESHOLD_SQL = f"""WITH {CODES}, q AS (SELECT * FROM codes WHERE p_partkey % 10 = 0), o AS (SELECT * FROM codes WHERE p_partkey % 7 < 2),
+THRESHOLD_SQL = f"""WITH {CODES}, q AS (SELECT * FROM codes), o AS (SELECT * FROM codes WHERE p_partkey % 7 < 2),
 f AS (SELECT q.p_partkey AS query_id, 1 AS way, o.p_retailprice AS v FROM q JOIN o USING (code, p_name, p_type) UNION ALL SELECT q.p_partkey, 2, o.p_retailprice FROM q JOIN o USING (code)
  UNION ALL SELECT q.p_partkey, 3, o.p_retailprice FROM q JOIN o ON o.code = regexp_replace(q.code, '\\.[^.]*$', '') AND o.code <> q.code),
 u AS (SELECT query_id, way, min(v) AS v FROM f GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT q.p_partkey AS query_id, coalesce(min(way), 0)::BIGINT AS way, arg_min(v, way) AS value FROM q LEFT JOIN u ON query_id = p_partkey GROUP BY 1"""
 
 
-def target_selection(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def target_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which hits of a search an answer is about: those of the best tier, or the first if none matches by code."""
-    hits = code_search(spark, sf_dir, whole)
+    hits = code_search(spark, sf_dir)
     w = Window.partitionBy("query_id")
     best, any_match = F.min("tier").over(w), F.min("tier").over(w) < 3
     return hits.withColumn("target", F.when(any_match, F.col("tier") == best).otherwise(F.col("rank") == 1)).where("target").select("query_id", "p_partkey", "tier")
@@ -222,8 +223,4 @@ QUERIES = {
     "threshold_lookup": (threshold_lookup, THRESHOLD_SQL),
     "target_selection": (target_selection, TARGET_SQL),
     "found_codes": (found_codes, FOUND_SQL),
-    "code_hierarchy_whole": (partial(code_hierarchy, whole=True), None),
-    "code_search_whole": (partial(code_search, whole=True), None),
-    "threshold_lookup_whole": (partial(threshold_lookup, whole=True), None),
-    "target_selection_whole": (partial(target_selection, whole=True), None),
 }

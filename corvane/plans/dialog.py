@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import excerpt, normalized
 from corvane.operators import dialog as D
+from corvane.plans.guards import excerpt_sql
 from corvane.sources.tables import table
 
 
@@ -62,7 +61,8 @@ def session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min_by(F.when(is_user, F.col("text")), F.when(is_user, F.col("turn"))).alias("title"),
         F.count_if(F.col("role") == "assistant").alias("n_answers"),
     )
-    return per.where("n_answers > 0 AND has_short = 1").withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    per = per.where("n_answers > 0 AND has_short = 1")
+    return per.join(F.broadcast(per.agg(F.count(F.lit(1)).alias("total"))))  # one row
 
 
 ROLLUP_SQL = """SELECT *, count(*) OVER () AS total FROM (SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n_turns, sum(length(text))::BIGINT AS n_chars, max(CASE WHEN length(text) < 200 THEN 1 ELSE 0 END)::BIGINT AS has_short,
@@ -105,14 +105,13 @@ def history_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations under headings of recency, with a title cut to fit; their day is made of their number."""
     today = F.lit("2024-01-31").cast("date")
     per = _turns(spark, sf_dir).where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"), F.max("turn").alias("last_turn"))
-    day = F.date_sub(today, (F.col("conv_id") % 12).cast("int"))
+    day = F.date_sub(today, (F.col("conv_id") % 12 - 1).cast("int"))  # one day lies ahead
     return per.select("conv_id", D.recency(day, today).alias("heading"), excerpt(F.col("text"), 60).alias("title"), "last_turn")
 
 
-HISTORY_SQL = r"""WITH per AS (SELECT conv_id, arg_min(text, turn) AS text, max(turn) AS last_turn, DATE '2024-01-31' - (conv_id % 12)::INTEGER AS day FROM conversations WHERE role = 'user' GROUP BY conv_id),
-plain AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\s*\|.*$', ' ', 'g'), '\[\d+(?:,\s*\d+)*\]|[*_`#]+', '', 'g'), '\s+', ' ', 'g')) AS t FROM per)
-SELECT conv_id, CASE WHEN day = DATE '2024-01-31' THEN 'today' WHEN day = DATE '2024-01-30' THEN 'yesterday' WHEN date_trunc('week', day) = date_trunc('week', DATE '2024-01-31') THEN 'week' ELSE 'earlier' END AS heading,
- CASE WHEN length(t) > 60 THEN rtrim(substr(t, 1, 60)) || '…' ELSE t END AS title, last_turn FROM plain"""
+HISTORY_SQL = r"""WITH per AS (SELECT conv_id, arg_min(text, turn) AS text, max(turn) AS last_turn, DATE '2024-01-31' - (conv_id % 12 - 1)::INTEGER AS day FROM conversations WHERE role = 'user' GROUP BY conv_id)
+SELECT conv_id, CASE WHEN day >= DATE '2024-01-31' THEN 'today' WHEN day = DATE '2024-01-30' THEN 'yesterday' WHEN date_trunc('week', day) = date_trunc('week', DATE '2024-01-31') THEN 'week' ELSE 'earlier' END AS heading,
+ """ + excerpt_sql('text', 60) + " AS title, last_turn FROM per"
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,14 +134,19 @@ n AS (SELECT conv_id, turn, list_transform(regexp_split_to_array(g, ',\s*'), lam
 SELECT DISTINCT conv_id, turn, number, ['first', 'second', 'third'][number] AS title FROM (SELECT conv_id, turn, unnest(n) AS number FROM n WHERE list_max(n) <= 3 AND list_min(n) >= 1)"""
 
 
-def repeated_questions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """User turns whose text (in normal form) an earlier turn of the conversation within five turns has already."""
+def repeated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns whose text (in normal form) an earlier turn of the conversation has already, and whether that one got an
+    answer before."""
     w = Window.partitionBy("conv_id", "t").orderBy("turn")
-    rows = _turns(spark, sf_dir).where("role = 'user'").withColumn("t", normalized(F.col("text")) if whole else F.substring(normalized(F.col("text")), 1, 2))
-    return rows.withColumn("before", F.lag("turn").over(w)).where("turn - before <= 5").select("conv_id", "turn", "before")
+    so_far = F.count_if(F.col("role") == "assistant").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = _turns(spark, sf_dir).withColumn("answers", so_far).where("role = 'user'").withColumn("t", normalized(F.col("text")))
+    rows = rows.withColumn("before", F.lag("turn").over(w)).withColumn("answered", F.col("answers") > F.lag("answers").over(w))
+    return rows.where("before IS NOT NULL").select("conv_id", "turn", "before", "answered")
 
 
-REPEAT_SQL = r"""SELECT conv_id, turn, before FROM (SELECT *, lag(turn) OVER (PARTITION BY conv_id, t ORDER BY turn) AS before FROM (SELECT conv_id, turn, substr(trim(regexp_replace(regexp_replace(translate(lower(text), 'ё', 'е'), '\[\d+\]|<\d+>', ' ', 'g'), '\s+', ' ', 'g')), 1, 2) AS t FROM conversations WHERE role = 'user')) WHERE turn - before <= 5"""
+REPEAT_SQL = r"""WITH a AS (SELECT *, count(*) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn) AS answers FROM conversations),
+t AS (SELECT conv_id, turn, answers, trim(regexp_replace(regexp_replace(translate(lower(text), 'ё', 'е'), '\[\d+\]|<\d+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM a WHERE role = 'user')
+SELECT conv_id, turn, before, answered FROM (SELECT conv_id, turn, lag(turn) OVER w AS before, answers > lag(answers) OVER w AS answered FROM t WINDOW w AS (PARTITION BY conv_id, t ORDER BY turn)) WHERE before IS NOT NULL"""
 
 
 def dialog_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,5 +171,4 @@ QUERIES = {
     "citations": (citations, CITE_SQL),
     "repeated_questions": (repeated_questions, REPEAT_SQL),
     "dialog_markdown": (dialog_markdown, MARKDOWN_SQL),
-    "repeated_questions_whole": (partial(repeated_questions, whole=True), None),
 }

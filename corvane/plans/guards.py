@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,54 +16,62 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of personal data in each document that has any, and whether one of them blocks it."""
-    cards = F.exists(F.regexp_extract_all("text", F.lit(r"(\d{13,19})"), 1), G.card_valid)
-    flags = F.array_compact(F.array(F.when(F.col("text").rlike(G.EMAIL), "email"), F.when(F.col("text").rlike(G.PHONE), "phone"), F.when(F.col("text").rlike(G.ADDRESS), "address"), F.when(cards, "card")))
-    rows = _docs(spark, sf_dir).select("doc_id", flags.alias("k")).where(F.size("k") > 0)
-    return rows.select("doc_id", F.array_join("k", ",").alias("kinds"), F.arrays_overlap("k", F.array(F.lit("card"), F.lit("phone"))).alias("blocking"))
+    """Kinds of personal or restricted data in each document that has any, and whether one of them blocks it."""
+    rows = _docs(spark, sf_dir).where(F.lower("text").rlike(G.SUSPICIOUS)).select("doc_id", G.sensitive_kinds(F.col("text")).alias("k")).where(F.size("k") > 0)
+    return rows.select("doc_id", F.array_join("k", ",").alias("kinds"), F.arrays_overlap("k", F.array(*map(F.lit, G.BLOCKING))).alias("blocking"))
 
 
 LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN d[i]::INTEGER ELSE CASE WHEN d[i]::INTEGER * 2 > 9 THEN d[i]::INTEGER * 2 - 9 ELSE d[i]::INTEGER * 2 END END)) % 10 = 0"
-PII_SQL = f"""WITH cards AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\d{{13,19}}')) AS d FROM documents) WHERE {LUHN}),
-f AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '{G.EMAIL}') THEN 'email' END, CASE WHEN regexp_matches(text, '{G.PHONE}') THEN 'phone' END, CASE WHEN regexp_matches(text, '{G.ADDRESS}') THEN 'address' END, CASE WHEN doc_id IN (SELECT doc_id FROM cards) THEN 'card' END], lambda x: x IS NOT NULL) AS k FROM documents)
-SELECT doc_id, array_to_string(k, ',') AS kinds, list_has_any(k, ['card', 'phone']) AS blocking FROM f WHERE len(k) > 0"""
 
 
-def check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which order numbers, written with ten, eleven and twelve digits, have valid check digits."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lpad((F.col("o_orderkey") * 7919 + 1234567).cast("string"), 12, "5").alias("n"))
-    return rows.select("o_orderkey", G.inn_valid(F.substring("n", 1, 10)).alias("ten"), G.inn_valid(F.col("n")).alias("twelve"), G.snils_valid(F.substring("n", 2, 11)).alias("eleven"), G.card_valid(F.concat("n", F.lit("4"))).alias("card"))
+def _has(kind: str, pattern: str, test: str) -> str:
+    return f"{kind} AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '{pattern}')), '[^0-9]', '', 'g') AS n FROM documents) x, LATERAL (SELECT n AS d) WHERE {test})"
 
 
 def _sum_sql(weights: tuple[int, ...], start: int = 0) -> str:
     return "(" + " + ".join(f"{w} * n[{start + i + 1}]::INTEGER" for i, w in enumerate(weights)) + ")"
 
 
+_NINE = _sum_sql(tuple(range(9, 0, -1)))
+PII_SQL = f"""WITH {_has("card", G.CARD, LUHN)},
+{_has("snils", G.SNILS, f"{_NINE} % 101 % 100 = n[10:11]::INTEGER AND length(replace(n[1:9], n[1], '')) > 0")},
+{_has("inn_person", G.INN_PERSON, f"{_sum_sql(G.INN11)} % 11 % 10 = n[11]::INTEGER AND {_sum_sql(G.INN12)} % 11 % 10 = n[12]::INTEGER")},
+f AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(lower(text), '{G.RESTRICTED}') THEN 'restricted' END, CASE WHEN regexp_matches(lower(text), '{G.PASSPORT}') THEN 'passport' END,
+ CASE WHEN doc_id IN (FROM snils) THEN 'snils' END, CASE WHEN doc_id IN (FROM inn_person) THEN 'inn_person' END, CASE WHEN doc_id IN (FROM card) THEN 'card' END,
+ CASE WHEN regexp_matches(lower(text), '{G.PHONE}') THEN 'phone' END, CASE WHEN regexp_matches(text, '{G.EMAIL}') THEN 'email' END, CASE WHEN regexp_matches(text, '{G.ADDRESS}') THEN 'address' END], lambda x: x IS NOT NULL) AS k FROM documents)
+SELECT doc_id, array_to_string(k, ',') AS kinds, list_has_any(k, [{", ".join(f"'{k}'" for k in G.BLOCKING)}]) AS blocking FROM f WHERE len(k) > 0"""
+
+
+def check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which order numbers, written with ten, eleven and twelve digits, have valid check digits."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lpad((F.col("o_orderkey") * 7919 + 1234567).cast("string"), 12, "5").alias("n"))
+    return rows.select("o_orderkey", G.inn_valid(F.substring("n", 1, 10)).alias("ten"), G.inn_valid(F.col("n")).alias("twelve"), G.snils_valid(F.substring("n", 2, 11)).alias("eleven"), G.card_valid(F.concat("n", F.lit("4"))).alias("card"))
+
+
 CHECK_SQL = f"""WITH r AS (SELECT o_orderkey, lpad((o_orderkey * 7919 + 1234567)::VARCHAR, 12, '5') AS n FROM orders), s AS (SELECT *, n || '4' AS d FROM r)
 SELECT o_orderkey, {_sum_sql(G.INN10)} % 11 % 10 = n[10]::INTEGER AS ten, {_sum_sql(G.INN11)} % 11 % 10 = n[11]::INTEGER AND {_sum_sql(G.INN12)} % 11 % 10 = n[12]::INTEGER AS twelve,
- {_sum_sql(tuple(range(9, 0, -1)), 1)} % 101 % 100 = n[11:12]::INTEGER AND length(replace(n[2:12], n[2], '')) > 0 AS eleven, {LUHN} AS card FROM s"""
+ {_sum_sql(tuple(range(9, 0, -1)), 1)} % 101 % 100 = n[11:12]::INTEGER AND length(replace(n[2:10], n[2], '')) > 0 AS eleven, {LUHN} AS card FROM s"""
 
 
-def ngram_coverage(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Share of each passage's words and word pairs that the first document of each source has (``whole``: every document)."""
-    first = _docs(spark, sf_dir).select("doc_id", "text") if whole else _docs(spark, sf_dir).groupBy("source").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d")).select("d.*")
+def ngram_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each passage's words and word pairs that each document with any of them has."""
     grams = lambda df: df.withColumn("_w", T.tokens(F.col("text"))).withColumn("g", F.concat("_w", T.ngrams(F.col("_w"), 2)))
-    known = grams(first).select("doc_id", F.explode(F.array_distinct("g")).alias("gram"))
+    known = grams(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct("g")).alias("gram"))
     own = grams(table(spark, sf_dir, "benchmark")).select("item_id", F.array_distinct("g").alias("g")).select("item_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
     hits = own.join(known, "gram").groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("hits"))
     return hits.select("item_id", "doc_id", "hits", F.round(F.col("hits") / F.col("n"), 6).alias("coverage"))
 
 
-GRAMS_SQL = f"""WITH f AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY source), w AS (SELECT doc_id, {TOK.format('text')} AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM f)), b AS (SELECT item_id, {TOK.format('text')} AS w FROM benchmark),
+GRAMS_SQL = f"""WITH w AS (SELECT doc_id, {TOK.format('text')} AS w FROM documents), b AS (SELECT item_id, {TOK.format('text')} AS w FROM benchmark),
 k AS (SELECT DISTINCT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM w), o AS (SELECT item_id, list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gs FROM b),
 e AS (SELECT item_id, len(gs) AS n, unnest(gs) AS g FROM o)
 SELECT item_id, doc_id, count(*) AS hits, round(count(*) / max(n)::DOUBLE, 6) AS coverage FROM e JOIN k USING (g) GROUP BY 1, 2"""
 
 
-def _answers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made-up answers: numbers of an event and its neighbours, partly those of a context and a question."""
     n = F.col("event_id")
-    return table(spark, sf_dir, "events").where("true" if whole else "event_id % 10 = 0").select(
+    return table(spark, sf_dir, "events").select(
         "event_id",
         F.concat(F.lit("rate "), n % 7, F.lit(",5 and "), n % 11, F.lit(" points of "), n % 13, F.lit(" and "), n % 7, F.lit(".5")).alias("answer"),
         F.concat(F.lit("table: "), n % 7, F.lit(".5 | "), (n + 3) % 11).alias("context"),
@@ -73,14 +79,14 @@ def _answers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame
     )
 
 
-ANSWERS = """a AS (SELECT event_id, 'rate ' || event_id % 7 || ',5 and ' || event_id % 11 || ' points of ' || event_id % 13 || ' and ' || event_id % 7 || '.5' AS answer, 'table: ' || event_id % 7 || '.5 | ' || (event_id + 3) % 11 AS context, 'is it ' || event_id % 13 || '?' AS question FROM events WHERE event_id % 10 = 0)"""
+ANSWERS = """a AS (SELECT event_id, 'rate ' || event_id % 7 || ',5 and ' || event_id % 11 || ' points of ' || event_id % 13 || ' and ' || event_id % 7 || '.5' AS answer, 'table: ' || event_id % 7 || '.5 | ' || (event_id + 3) % 11 AS context, 'is it ' || event_id % 13 || '?' AS question FROM events)"""
 NUM = r"list_transform(regexp_extract_all({0}, '\d+(?:[.,]\d+)?'), lambda x: replace(x, ',', '.'))"
 
 
-def unverified_numbers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def unverified_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of answers that stand nowhere else, and those that only echo the question."""
     a, c, q = F.col("answer"), F.col("context"), F.col("question")
-    return _answers(spark, sf_dir, whole).select("event_id", F.array_join(G.unverified(a, c, q), "|").alias("unverified"), F.array_join(G.echoed(a, c, q), "|").alias("echoed"))
+    return _answers(spark, sf_dir).select("event_id", F.array_join(G.unverified(a, c, q), "|").alias("unverified"), F.array_join(G.echoed(a, c, q), "|").alias("echoed"))
 
 
 UNVERIFIED_SQL = f"""WITH {ANSWERS}, n AS (SELECT event_id, {NUM.format('answer')} AS a, {NUM.format('context')} AS c, {NUM.format('question')} AS q FROM a),
@@ -88,9 +94,9 @@ f AS (SELECT event_id, a, c, q, list_filter(a, lambda x, i: list_position(a, x)
 SELECT event_id, array_to_string(list_filter(d, lambda x: NOT list_contains(c, x) AND NOT list_contains(q, x)), '|') AS unverified, array_to_string(list_filter(d, lambda x: NOT list_contains(c, x) AND list_contains(q, x)), '|') AS echoed FROM f"""
 
 
-def foreign_numbers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def foreign_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of an answer that belong to other events of its group, less those of its own context."""
-    rows = _answers(spark, sf_dir, whole).withColumn("g", F.col("event_id") % 50)
+    rows = _answers(spark, sf_dir).withColumn("g", F.col("event_id") % 50)
     others = rows.select("g", F.col("event_id").alias("o"), F.explode(T.numbers(F.col("context"))).alias("n"))
     own = rows.select("g", "event_id", F.explode(F.array_except(T.numbers(F.col("answer")), T.numbers(F.col("context")))).alias("n"))
     foreign = others.groupBy("g", "n").agg(F.min("o").alias("low"), F.max("o").alias("high"))
@@ -117,13 +123,22 @@ SELECT CASE WHEN regexp_matches(t, '(?i) the .* with ') THEN 'narrow' WHEN regex
 
 
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Excerpts of all documents of one source, with sentence counts and grouped lengths."""
-    rows = _docs(spark, sf_dir).where("source = 'src1'")
-    return rows.select("doc_id", T.excerpt(F.col("text")).alias("excerpt"), F.size(T.sentences(F.col("text"))).cast("bigint").alias("n_sentences"), T.grouped_digits(F.col("n_chars") * 1000).alias("size"))
+    """Excerpts of all documents, with sentence counts and grouped lengths."""
+    return _docs(spark, sf_dir).select("doc_id", T.excerpt(F.col("text")).alias("excerpt"), F.size(T.sentences(F.col("text"))).cast("bigint").alias("n_sentences"), T.grouped_digits(F.col("n_chars") * 1000).alias("size"))
+
+
+def excerpt_sql(text: str, most: int) -> str:
+    """The SQL of ``text.excerpt``."""
+    line = rf"regexp_replace(l, '{T.REFERENCE}', '', 'g')"
+    line = rf"replace(replace({line}, '**', ''), '`', '')"
+    line = rf"regexp_replace({line}, '(^|[^\p{{L}}\p{{N}}_])_(.+?)_([^\p{{L}}\p{{N}}_]|$)', '\1\2\3', 'g')"
+    line = rf"regexp_replace({line}, '{T.MARKER}', '')"
+    lines = rf"list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(x, T)), lambda x: x <> '' AND NOT starts_with(x, '|'))".replace(", T)", ", concat(' ', chr(9), chr(13)))")
+    out = rf"regexp_replace(trim(regexp_replace(array_to_string(list_transform({lines}, lambda l: {line}), ' '), '\s+', ' ', 'g')), '\s+([.,;:])', '\1', 'g')"
+    return f"(SELECT CASE WHEN length(o) <= {most} THEN o ELSE rtrim(substr(o, 1, {most - 1})) || '…' END FROM (SELECT {out} AS o))"
 
 
-EXCERPT_SQL = r"""WITH p AS (SELECT doc_id, n_chars, text, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\s*\|.*$', ' ', 'g'), '\[\d+(?:,\s*\d+)*\]|[*_`#]+', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents WHERE source = 'src1')
-SELECT doc_id, CASE WHEN length(t) > 220 THEN rtrim(substr(t, 1, 220)) || '…' ELSE t END AS excerpt, len(list_filter(list_transform(regexp_split_to_array(text, '[.!?;]\s+|\n+'), lambda s: trim(s)), lambda s: length(s) > 0)) AS n_sentences, replace(format('{:,}', n_chars * 1000), ',', ' ') AS size FROM p"""
+EXCERPT_SQL = rf"""SELECT doc_id, {excerpt_sql('text', 220)} AS excerpt, len(list_filter(list_transform(regexp_split_to_array(text, '[.!?;]\s+|\n+'), lambda s: trim(s)), lambda s: length(s) > 0)) AS n_sentences, replace(format('{{:,}}', n_chars * 1000), ',', ' ') AS size FROM documents"""
 
 
 def cleaned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,13 +153,13 @@ CLEANED_SQL = "SELECT n_nationkey, n_name || ',' || n_nationkey || '!' AS plain,
 
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of nested requirement blocks (orders with their lines); a block without lines gives one row without points."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("ops"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("ops"))
     blocks = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     rows = blocks.select("o_orderkey", "o_orderpriority", F.explode_outer("ops").alias("op"))
     return rows.select("o_orderkey", F.coalesce(F.concat(F.lit("line "), F.col("op.l_linenumber").cast("string")), "o_orderpriority").alias("text"), F.col("op.l_quantity").alias("points"))
 
 
-OPERATIONS_SQL = "SELECT o_orderkey, coalesce('line ' || l_linenumber, o_orderpriority) AS text, l_quantity AS points FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) ON l_orderkey = o_orderkey"
+OPERATIONS_SQL = "SELECT o_orderkey, coalesce('line ' || l_linenumber, o_orderpriority) AS text, l_quantity AS points FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey"
 
 
 def capped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +220,4 @@ QUERIES = {
     "checklist": (checklist, CHECKLIST_SQL),
     "composite_texts": (composite_texts, COMPOSITE_SQL),
     "novel_words": (novel_words, NOVEL_SQL),
-    "ngram_coverage_whole": (partial(ngram_coverage, whole=True), None),
-    "unverified_numbers_whole": (partial(unverified_numbers, whole=True), None),
-    "foreign_numbers_whole": (partial(foreign_numbers, whole=True), None),
 }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,16 +27,16 @@ def except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXCEPT_SQL = "SELECT l_returnflag, l_suppkey FROM lineitem WHERE l_quantity < 25 EXCEPT ALL SELECT l_returnflag, l_suppkey FROM lineitem WHERE l_discount > 0.05"
 
 
-def set_changes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def set_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a document has added to or removed from those of the one before it in its source."""
     from corvane.functions.text import tokens
 
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(tokens(F.col("text") if whole else F.substring("text", 1, 300))).alias("w"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(tokens(F.col("text"))).alias("w"))
     rows = rows.withColumn("before", F.lag("w").over(Window.partitionBy("source").orderBy("doc_id"))).where("before IS NOT NULL")
     return rows.select("doc_id", F.size(F.array_except("w", "before")).cast("bigint").alias("added"), F.size(F.array_except("before", "w")).cast("bigint").alias("removed"), F.size(F.array_intersect("w", "before")).cast("bigint").alias("common"))
 
 
-CHANGES_SQL = r"""WITH w AS (SELECT doc_id, source, list_distinct(list_filter(regexp_extract_all(lower(substr(text, 1, 300)), '[\p{L}\p{Nd}]+'), lambda x: length(x) > 1)) AS w FROM documents), b AS (SELECT *, lag(w) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM w)
+CHANGES_SQL = r"""WITH w AS (SELECT doc_id, source, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+'), lambda x: length(x) > 1)) AS w FROM documents), b AS (SELECT *, lag(w) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM w)
 SELECT doc_id, len(list_filter(w, lambda x: NOT list_contains(before, x))) AS added, len(list_filter(before, lambda x: NOT list_contains(w, x))) AS removed, len(list_intersect(w, before)) AS common FROM b WHERE before IS NOT NULL"""
 
 
@@ -55,15 +53,14 @@ j AS (SELECT coalesce(o.p_partkey, n.p_partkey) AS p_partkey, CASE WHEN o.p_part
 SELECT p_partkey, status, CASE WHEN status = 'changed' THEN c END AS columns FROM j WHERE status IS NOT NULL"""
 
 
-def positional_zip(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The i-th order of a customer beside the i-th urgent one, and whether both lists have the same length."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
-    few = orders if whole else orders.where("o_custkey % 50 = 0")
-    return I.zipped(few.select("o_custkey", "o_orderkey"), few.where("o_orderpriority < '3'").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+    return I.zipped(orders.select("o_custkey", "o_orderkey"), orders.where("o_orderpriority < '3'").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
 
 
-ZIP_SQL = """WITH l AS (SELECT o_custkey, o_orderkey, row_number() OVER w AS place, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_custkey % 50 = 0 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
-r AS (SELECT o_custkey, o_orderkey, row_number() OVER w AS place, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_custkey % 50 = 0 AND o_orderpriority < '3' WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+ZIP_SQL = """WITH l AS (SELECT o_custkey, o_orderkey, row_number() OVER w AS place, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+r AS (SELECT o_custkey, o_orderkey, row_number() OVER w AS place, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_orderpriority < '3' WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
 SELECT coalesce(l.o_custkey, r.o_custkey) AS o_custkey, coalesce(l.place, r.place)::INTEGER AS place, l.o_orderkey, r.o_orderkey AS o_orderkey_right, l.n IS NOT DISTINCT FROM r.n AS whole FROM l FULL JOIN r ON l.o_custkey = r.o_custkey AND l.place = r.place"""
 
 
@@ -75,13 +72,13 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = "lines AS (SELECT doc_id, unnest(range(0, len(l)))::INTEGER AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 
 
-def logical_rows(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def logical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Physical lines joined to logical rows; every third line is made to end with a bar, every seventh to start with a code."""
-    line = F.concat(F.when(F.col("line_no") % 7 == 5, "1.2 ").otherwise(""), F.col("line") if whole else F.substring("line", 1, 20), F.when(F.col("line_no") % 3 == 2, " |").otherwise(""))
-    return I.logical_rows(_lines(spark, sf_dir).where("true" if whole else "doc_id % 5 = 0").withColumn("line", line), "doc_id", "line_no", "line")
+    line = F.concat(F.when(F.col("line_no") % 7 == 5, "1.2 ").otherwise(""), F.col("line"), F.when(F.col("line_no") % 3 == 2, " |").otherwise(""))
+    return I.logical_rows(_lines(spark, sf_dir).withColumn("line", line), "doc_id", "line_no", "line")
 
 
-LOGICAL_SQL = rf"""WITH {LINES}, m AS (SELECT doc_id, line_no, CASE WHEN line_no % 7 = 5 THEN '1.2 ' ELSE '' END || substr(line, 1, 20) || CASE WHEN line_no % 3 = 2 THEN ' |' ELSE '' END AS line FROM lines WHERE doc_id % 5 = 0),
+LOGICAL_SQL = rf"""WITH {LINES}, m AS (SELECT doc_id, line_no, CASE WHEN line_no % 7 = 5 THEN '1.2 ' ELSE '' END || line || CASE WHEN line_no % 3 = 2 THEN ' |' ELSE '' END AS line FROM lines),
 s AS (SELECT *, regexp_matches(line, '^\s*\d+(\.\d+)+') OR coalesce(lag(regexp_matches(line, '\|\s*$')) OVER (PARTITION BY doc_id ORDER BY line_no), true) AS s FROM m),
 r AS (SELECT *, sum(s::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no) AS row_no FROM s)
 SELECT doc_id, row_no::BIGINT AS row_no, count(*) AS n_lines, string_agg(trim(line, ' '), ' ' ORDER BY line_no) AS row_text FROM r GROUP BY doc_id, row_no"""
@@ -96,14 +93,14 @@ def filled_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILLED_SQL = f"WITH {LINES}, f AS (SELECT doc_id, last_value(CASE WHEN length(line) < 25 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM lines) SELECT doc_id, header, count(*) AS n FROM f GROUP BY 1, 2"
 
 
-def clause_parts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def clause_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered clauses of documents whose every fourth line got a number."""
     line = F.when(F.col("line_no") % 4 == 1, F.concat((F.col("line_no") / 4).cast("int") + 1, F.lit(". "), "line")).otherwise(F.col("line"))
-    rows = I.clauses(_lines(spark, sf_dir).where("true" if whole else "doc_id % 5 = 1").withColumn("line", line), "doc_id", "line_no", "line")
+    rows = I.clauses(_lines(spark, sf_dir).withColumn("line", line), "doc_id", "line_no", "line")
     return rows.select("doc_id", "clause_no", "point", F.length("clause").cast("bigint").alias("n_chars"), F.sha1("clause").alias("digest"))
 
 
-CLAUSE_SQL = rf"""WITH {LINES}, m AS (SELECT doc_id, line_no, CASE WHEN line_no % 4 = 1 THEN (line_no // 4 + 1) || '. ' || line ELSE line END AS line FROM lines WHERE doc_id % 5 = 1),
+CLAUSE_SQL = rf"""WITH {LINES}, m AS (SELECT doc_id, line_no, CASE WHEN line_no % 4 = 1 THEN (line_no // 4 + 1) || '. ' || line ELSE line END AS line FROM lines),
 p AS (SELECT *, CASE WHEN regexp_matches(line, '^(\d+(?:\.\d+)*)[.)]\s+') THEN regexp_extract(line, '^(\d+(?:\.\d+)*)[.)]\s+', 1) END AS p FROM m), c AS (SELECT *, sum((p IS NOT NULL)::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no) AS clause_no FROM p),
 g AS (SELECT doc_id, clause_no::BIGINT AS clause_no, coalesce(max(p), '0') AS point, string_agg(line, chr(10) ORDER BY line_no) AS t FROM c GROUP BY 1, 2)
 SELECT doc_id, clause_no, point, length(t) AS n_chars, sha1(t) AS digest FROM g"""
@@ -121,11 +118,11 @@ EDITION_SQL = f"WITH {LINES}, d AS (SELECT source, line, sum(CASE WHEN doc_id %
 
 def near_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of which one begins with another in the same nation (customers' last digits make the names)."""
-    rows = table(spark, sf_dir, "customer").select("c_nationkey", F.regexp_replace("c_name", "^Customer#0*", "no ").alias("name")).where("c_custkey < 2000")
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", F.regexp_replace("c_name", "^Customer#0*", "no ").alias("name"))
     return I.near_prefixes(rows, "c_nationkey", "name", 4)
 
 
-PREFIX_SQL = "WITH n AS (SELECT DISTINCT c_nationkey, regexp_replace(c_name, '^Customer#0*', 'no ') AS name FROM customer WHERE c_custkey < 2000) SELECT a.c_nationkey, a.name AS shorter, b.name AS longer FROM n a JOIN n b ON a.c_nationkey = b.c_nationkey AND a.name <> b.name AND starts_with(b.name, a.name) WHERE length(a.name) >= 4"
+PREFIX_SQL = "WITH n AS (SELECT DISTINCT c_nationkey, regexp_replace(c_name, '^Customer#0*', 'no ') AS name FROM customer) SELECT a.c_nationkey, a.name AS shorter, b.name AS longer FROM n a JOIN n b ON a.c_nationkey = b.c_nationkey AND a.name <> b.name AND starts_with(b.name, a.name) WHERE length(a.name) >= 4"
 
 
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,8 +192,4 @@ QUERIES = {
     "refreshed": (refreshed, REFRESH_SQL),
     "content_ids": (content_ids, IDS_SQL),
     "html_cells": (html_cells, CELLS_SQL),
-    "set_changes_whole": (partial(set_changes, whole=True), None),
-    "positional_zip_whole": (partial(positional_zip, whole=True), None),
-    "logical_rows_whole": (partial(logical_rows, whole=True), None),
-    "clause_parts_whole": (partial(clause_parts, whole=True), None),
 }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,35 +178,38 @@ SELECT query_id, label, round(sum(1.0::DOUBLE / (60 + rank)) / pow(max(n), 0.5),
 
 
 def quota_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve places for each passage: three for the main source, two for others in turn, then by rank."""
+    """Twelve places for each passage: three for the main source, two for others in turn, then by rank; the main source's
+    rows come first."""
     scored = R.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
     scored = scored.select(F.col("item_id").alias("query_id"), "doc_id", F.round("score", 6).alias("score"))
     ranked = R.top_k(scored, "query_id", [F.desc("score"), F.asc("doc_id")], 40).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     quota = F.when(F.col("source") == "src0", 3).when(F.col("source") == "src1", 0).otherwise(2)
-    return R.quota_window(ranked, "source", quota, 12).select("query_id", "doc_id", "source", "rank", "place")
+    own = F.coalesce(F.col("source") == "src0", F.lit(False))
+    return R.quota_window(ranked, "source", quota, 12, [~own, F.col("source")], [~own]).select("query_id", "doc_id", "source", "rank", "place")
 
 
 QUOTA_SQL = f"""WITH {BM25_CTE}, ranked AS (SELECT item_id AS query_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm),
 pool AS (SELECT r.*, source FROM ranked r JOIN documents USING (doc_id) WHERE rank <= 40),
-turns AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS turn, min(rank) OVER (PARTITION BY query_id, source) AS claim FROM pool),
-chosen AS (SELECT *, turn <= CASE source WHEN 'src0' THEN 3 WHEN 'src1' THEN 0 ELSE 2 END AS chosen FROM turns)
-SELECT query_id, doc_id, source, rank, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chosen DESC, CASE WHEN chosen THEN turn END NULLS FIRST, CASE WHEN chosen THEN claim END NULLS FIRST, rank) AS place FROM chosen) WHERE place <= 12"""
+turns AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS turn FROM pool),
+chosen AS (SELECT *, coalesce(turn <= CASE source WHEN 'src0' THEN 3 WHEN 'src1' THEN 0 ELSE 2 END, false) AS chosen FROM turns),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chosen DESC, CASE WHEN chosen THEN turn END NULLS FIRST, CASE WHEN chosen THEN coalesce(source <> 'src0', true) END NULLS FIRST, CASE WHEN chosen THEN source END NULLS FIRST, rank) AS choice FROM chosen) WHERE choice <= 12)
+SELECT query_id, doc_id, source, rank, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(source <> 'src0', true), rank) AS place FROM first"""
 
 
-def name_suggest(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def name_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts whose names share words with a part's own type and name: by matched words, then summed idf."""
     part = table(spark, sf_dir, "part")
     names = part.select(F.col("p_partkey").alias("code"), F.explode(F.array_distinct(tokens(F.col("p_name")))).alias("term"))
     n = part.agg(F.count(F.lit(1)).alias("n"))
     idf = names.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
-    asked = part.where("true" if whole else "p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.explode(F.array_distinct(tokens(F.concat_ws(" ", "p_name", "p_type")))).alias("term")).where("true" if whole else "term NOT IN ('small', 'economy')")
+    asked = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.explode(F.array_distinct(tokens(F.concat_ws(" ", "p_name", "p_type")))).alias("term"))
     found = asked.join(idf, "term").join(names, "term").groupBy("query_id", "code").agg(F.count(F.lit(1)).alias("matched"), F.round(F.sum("idf"), 6).alias("score"))
     return R.top_k(found, "query_id", [F.desc("matched"), F.desc("score"), F.asc("code")], 5).select("query_id", "code", "matched", "score", "rank")
 
 
 SUGGEST_SQL = f"""WITH names AS (SELECT p_partkey AS code, unnest(list_distinct({TOK.format('p_name')})) AS term FROM part),
 idf AS (SELECT term, ln(1 + (SELECT count(*) FROM part) / count(*)::DOUBLE) AS idf FROM names GROUP BY term),
-asked AS (SELECT query_id, term FROM (SELECT p_partkey AS query_id, unnest(list_distinct({TOK.format("concat_ws(' ', p_name, p_type)")})) AS term FROM part WHERE p_partkey % 100 = 0) WHERE term NOT IN ('small', 'economy')),
+asked AS (SELECT p_partkey AS query_id, unnest(list_distinct({TOK.format("concat_ws(' ', p_name, p_type)")})) AS term FROM part WHERE p_partkey % 20 = 0),
 found AS (SELECT query_id, code, count(*) AS matched, round(sum(idf), 6) AS score FROM asked JOIN idf USING (term) JOIN names USING (term) GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, score DESC, code) AS rank FROM found) WHERE rank <= 5"""
 
@@ -272,7 +273,6 @@ QUERIES = {
     "section_vote": (section_vote, VOTE_SQL),
     "quota_window": (quota_window, QUOTA_SQL),
     "name_suggest": (name_suggest, SUGGEST_SQL),
-    "name_suggest_whole": (partial(name_suggest, whole=True), None),
     "case_search": (case_search, CASE_SQL),
     "rerank_merge": (rerank_merge, RERANK_SQL),
     "embedding_cache": (embedding_cache, CACHE_SQL),

@@ -1,6 +1,7 @@
 """Operators on small literal tables, with the cases that matter."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,8 +30,69 @@ def test_tied_scores_share_their_places(spark):
 
 def test_quota_window_takes_turns_then_fills(spark):
     ranked = spark.createDataFrame([(1, d, i + 1) for i, d in enumerate("aaaabbc")], "query_id int, doc string, rank int")
-    out = R.quota_window(ranked, "doc", F.when(F.col("doc") == "a", 2).otherwise(1), 6).orderBy("place").collect()
-    assert [(r.doc, r.rank) for r in out] == [("a", 1), ("b", 5), ("c", 7), ("a", 2), ("a", 3), ("a", 4)]
+    quota = F.when(F.col("doc") == "a", 2).otherwise(1)
+    places = lambda df: [(r.doc, r.rank) for r in df.orderBy("place").collect()]
+    # the choice goes round by round, the order of what was chosen by rank
+    assert places(R.quota_window(ranked, "doc", quota, 6)) == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 5), ("c", 7)]
+    assert places(R.quota_window(ranked, "doc", quota, 4)) == [("a", 1), ("a", 2), ("b", 5), ("c", 7)]
+    # with two places the subject's document has the first claim, and its rows stand first
+    own = F.col("doc") == "c"
+    assert places(R.quota_window(ranked, "doc", quota, 2, [~own, F.col("doc")], [~own])) == [("c", 7), ("a", 1)]
+
+
+def test_lists_are_capped_reordered_and_extended(spark):
+    rows = spark.createDataFrame([(1, i, i in (1, 5), w) for i, w in enumerate(["x", "head", "b c", "c", "d", "head", "b"])], "q int, pos int, heading boolean, words string")
+    got = R.capped(rows, ["q"], ["pos"], 3, "heading").orderBy("pos").collect()
+    assert [r.pos for r in got] == [0, 1, 2, 3, 5] and {(r.total, r.rest) for r in got} == {(5, 2)}
+    words = rows.withColumn("w", F.split("words", " ")).withColumn("qw", F.array(F.lit("b"), F.lit("c")))
+    placed = R.reordered(words, ["q"], "heading", "w", "qw", "pos").orderBy("place").collect()
+    assert [r.pos for r in placed] == [2, 3, 6, 0, 4, 1, 5]
+    window = spark.createDataFrame([(1, i, n + 1, i == 12) for n, i in enumerate((10, 11, 12, 13))], "query_id int, item_id int, rank int, matched boolean")
+    extra = spark.createDataFrame([(1, 11, 1), (1, 99, 2), (2, 5, 1)], "query_id int, item_id int, rank int")
+    got = [(r.item_id, r.matched) for r in R.inserted(window, extra, 4).where("query_id = 1").orderBy("place").collect()]
+    assert got == [(10, False), (11, True), (12, True), (99, True)]
+    codes = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None), (4, ["c"])], "i int, codes array<string>")
+    assert [r.i for r in R.match_any(codes, "codes", ["b", "c"]).collect()] == [1, 4] and R.match_any(codes, "codes", []).count() == 0
+
+
+def test_sensitive_kinds(spark):
+    data = {
+        "snils 112-233-445 95": "snils", "number 111-111-111 45 and 222-222-222 90": "", "inn 500100732259": "inn_person", "inn 500100732258": "",
+        "card 4111 1111 1111 1111 end": "card", "card 4111-1111-1111-1112": "", "паспорт серия 4611 123456": "passport", "4611 123456": "",
+        "это СЕКРЕТНО": "restricted", "секретность": "", "коммерческая тайна": "restricted", "звоните +7 495 123-45-67": "phone", "код 8544 49 910 0": "",
+        "8 (4712) 55-12-34": "phone", "a.b@c.org": "email", "": "", "host 10.0.0.1": "address",
+    }
+    df = spark.createDataFrame([(t,) for t in data], "t string").select("t", F.array_join(G.sensitive_kinds(F.col("t")), ",").alias("k"), F.lower("t").rlike(G.SUSPICIOUS).alias("s"))
+    got = {r.t: r for r in df.collect()}
+    assert {t: r.k for t, r in got.items()} == data and all(r.s for r in got.values() if r.k)
+    assert set(G.BLOCKING) == {"restricted", "passport", "snils", "inn_person", "card"}
+
+
+def test_excerpts_are_one_plain_line(spark):
+    data = [("# Head\n| a | b |\n- one **bold** `code` [1].\n\n_it_ and snake_case_name [2, 3] , end", 99, "Head one bold code. it and snake_case_name, end"), ("x" * 220, 220, "x" * 220), ("y" * 300, 220, "y" * 219 + "…"), ("word " * 60, 20, "word word word word…"), ("", 5, ""), (None, 5, None)]
+    for text, most, want in data:
+        assert spark.createDataFrame([(text,)], "t string").select(T.excerpt(F.col("t"), most)).first()[0] == want
+
+
+def test_a_refresh_keeps_keys_of_several_scopes(spark):
+    schema = "s string, k int, v string"
+    old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x"), ("a", 2, "y"), (None, 5, "n")], schema)
+    new = spark.createDataFrame([("a", 1, "new"), ("a", 1, "newer"), ("c", 1, "z"), (None, 6, "n")], schema)
+    assert {tuple(r) for r in I.upserted(old, new, "k", "s").collect()} == {("b", 1, "x"), ("a", 1, "new"), ("c", 1, "z"), (None, 6, "n")}
+
+
+def test_days_ahead_are_today(spark):
+    df = spark.sql("SELECT explode(array(date'2024-02-01', date'2024-01-31', date'2024-01-30', date'2024-01-29', date'2024-01-28')) AS d")
+    assert [r[0] for r in df.select(D.recency(F.col("d"), F.lit("2024-01-31").cast("date"))).collect()] == ["today", "today", "yesterday", "week", "earlier"]
+
+
+def test_bm25_reads_documents_once_and_scores_by_hand(spark):
+    docs = spark.createDataFrame([(1, "red red fish"), (2, "blue fish"), (3, None), (4, "the long green word")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(7, "red fish fish"), (8, "absent")], "item_id bigint, text string")
+    got = {(r.item_id, r.doc_id): r.score for r in R.bm25(docs, asked, "doc_id", "item_id").collect()}
+    n, avgdl = 4, (3 + 2 + 0 + 4) / 4
+    part = lambda tf, df, dl: math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))
+    assert got == {(7, 1): pytest.approx(part(2, 1, 3) + 2 * part(1, 2, 3)), (7, 2): pytest.approx(2 * part(1, 2, 2))}
 
 
 def test_nearest_ancestor_only_without_descendants(spark):
