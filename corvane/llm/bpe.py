@@ -1,12 +1,14 @@
 """BPE encoding and decoding by per-prefix dynamic programming.
 
-For every prefix of a word exactly one token can end its encoding. An automaton over the vocabulary gives the tokens
+For every prefix of a word exactly one token can end its encoding. A suffix-matching automaton over the vocabulary
+(Aho-Corasick: its failure links lead from each state to the longest suffix that is a prefix of a token) gives all tokens
 that are suffixes of the prefix; the one that is compatible with the last token of what stands before it (no merge
 of lower rank would have joined across their border) is stored, and following the back-pointers from the whole word
-emits the exact ids. Words are encoded once for each cache; the cache has a fixed size.
+emits the exact ids. Words are encoded once for each cache; the caches have a fixed size and hold no long words.
 
 Null texts count as empty; an empty text has no ids and decodes to the empty string. Texts of any length are encoded
-whole. Rows with a null id are kept; repeated rows each give a row.
+whole. Rows with a null id are kept; repeated rows each give a row. Nothing depends on the order of rows. Further columns
+are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from corvane.llm.mixing import PLACE
 
 #: Entries that a worker's caches of pieces, words and token pairs hold before they are emptied.
 PIECES, WORDS, PAIRS = 400_000, 200_000, 300_000
+#: Characters of a word or piece that is cached, at most.
+LONG = 64
 #: Unicode white space, which separates words and is dropped.
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -151,9 +155,11 @@ class Codec:
         while at:
             out.append(self.ids[last[at]])
             at = back[at]
-        found = self.words[word] = tuple(reversed(out))
-        if len(self.words) > WORDS:
-            self.words.clear()
+        found = tuple(reversed(out))
+        if len(word) <= LONG:
+            self.words[word] = found
+            if len(self.words) > WORDS:
+                self.words.clear()
         if len(fits) > PAIRS:
             fits.clear()
         return found
@@ -184,9 +190,13 @@ class Codec:
         """The ids of a text, packed, and the decoded text in pieces to be joined by one space."""
         pieces = self.chunk.findall(text)
         known = self.chunks
-        for p in set(pieces).difference(known):
+        new = set(pieces).difference(known)
+        for p in new:
             known[p] = self.encode_chunk(p)
         found = [known[p] for p in pieces]
+        for p in new:
+            if len(p) > LONG:
+                del known[p]
         if len(known) > PIECES:
             known.clear()
         return b"".join([f[0] for f in found]), [f[1] for f in found if f[1]]

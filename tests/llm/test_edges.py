@@ -8,6 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+try:
+    import public_tokenizers
+except ImportError:
+    public_tokenizers = None
+
 from corvane.llm import bpe, embedding_dedup, fingerprints, fm_dedup, html_text, minhash_dedup, mixing, quality, suffix_dedup, url_reputation
 from tests.llm import brute
 
@@ -174,6 +179,7 @@ def test_empty_tables(spark):
         url_reputation.judged(pages, spark.createDataFrame([], "page_id bigint, good int"), url_reputation.RULES),
         mixing.mixed(docs.select("doc_id", "source")),
         embedding_dedup.linked(vectors),
+        *([bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json")), bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))] if public_tokenizers else []),
     ]
     assert [df.count() for df in results] == [0] * len(results)
 
@@ -362,10 +368,25 @@ def test_urls(spark):
     assert got[2] == ("a.net", "/de/8", "net/de/", "block") and got[3] == ("sub.example.net", "/de/8", "example.net/de/8", "allow")
     assert got[4][2:] == ("org/es/", "block") and got[5][:3] == ("", "", None) and got[6][:3] == ("", "", None)
     assert got[7][:3] == ("notexample.com.x", "/en/", None) and got[8][:2] == ("c.io", "")
+    hosts = spark.createDataFrame([("user@shop.a.co.uk:8080",), ("a.com.br",), ("b.c.example.org",), ("x",), ("",)], "host string")
+    assert [tuple(r) for r in url_reputation.with_levels(hosts).select("suffix", "domain").collect()] == [("co.uk", "a.co.uk"), ("com.br", "a.com.br"), ("org", "example.org"), ("x", "x"), ("", "")]
+
+
+def test_repeated_and_null_rows_keep_their_place(spark, docs):
+    """Twice the same rows give twice the same results; rows without an id are kept where the docstring says so."""
+    twice = [*docs[:20], *docs[:20]]
+    got = [tuple(r) for r in fingerprints.fingerprinted(spark.createDataFrame(twice, DOCS).repartition(3)).select("doc_id", "fingerprint").collect()]
+    assert len(got) == 40 and len(set(got)) == 20
+    pages = [(1, "http://a.com/", "<p>x"), (1, "http://a.com/", "<p>x"), (None, None, None)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    assert html_text.extracted(df).count() == url_reputation.judged(df, spark.createDataFrame([(1, 1), (1, 0), (None, 0)], "page_id bigint, good int"), url_reputation.RULES).count() == 3
+    if public_tokenizers:
+        out = bpe.encoded(spark.createDataFrame([*twice, (None, "no id"), (None, "x" * 70_000)], DOCS), public_tokenizers.path("word_bpe_49k.json")).collect()
+        assert len(out) == 42 and len({(r.doc_id, r.ids) for r in out}) == 22
 
 
 def test_bpe_round_trip(spark, docs):
-    public_tokenizers = pytest.importorskip("public_tokenizers")
+    pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
