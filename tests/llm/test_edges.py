@@ -210,8 +210,8 @@ def test_fingerprint_likeness_is_exact(spark):
         for m in (0, 1, n // 2, n):
             data.append((a, a[: n - m] + [rng.getrandbits(63) for _ in range(m)]))
     df = spark.createDataFrame(data, "a array<bigint>, b array<bigint>")
-    df = df.select("a", "b", fingerprints.placed("a").alias("x"), fingerprints.placed("b").alias("y")).select("*", fingerprints.table_of("x").alias("mx"), fingerprints.table_of("y").alias("my"))
-    for r in df.select("a", "b", fingerprints.likeness("x", "y", "mx", "my").alias("near"), fingerprints.likeness("y", "x", "my", "mx").alias("back")).collect():
+    df = df.select("a", "b", fingerprints.placed("a").alias("x"), fingerprints.placed("b").alias("y")).select("*", fingerprints.table_of("x").alias("tx"), fingerprints.table_of("y").alias("ty"))
+    for r in df.select("a", "b", fingerprints.likeness("x", "y", "tx").alias("near"), fingerprints.likeness("y", "x", "ty").alias("back")).collect():
         total = len(r.a) + len(r.b)
         assert r.near == r.back == pytest.approx(1 - len(set(r.a) ^ set(r.b)) / total if total else 1)
 
