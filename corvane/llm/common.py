@@ -45,6 +45,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table of a ``stored`` DataFrame that nothing reads any more."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if files:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def one_row_per_id(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
     """Rows with a null id are left out; of repeated rows of one id the least (by the other columns) stays."""
     return df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.struct(*cols)).alias("_r")).select(id_col, *[F.col(f"_r.{c}").alias(c) for c in cols])
