@@ -34,10 +34,12 @@ def manifest_records(spark: SparkSession, manifest: DataFrame, base: str, schema
         rows = json_records(spark, f"{base}/{e['path']}", schema).withColumn("doc_type", F.lit(e["doc_type"])).withColumn("_file", F.col("_metadata.file_name"))
         for pattern in e["excluded"] or []:
             rows = rows.where(~F.col("_file").like(pattern.replace("*", "%")))
-        if rows.isEmpty():
-            raise ValueError(f"{e['doc_type']}: no records in {e['path']}")
         rows = rows.drop("_file")
         out = rows if out is None else out.unionByName(rows)
+    if out is not None:
+        found = {r["doc_type"] for r in out.select("doc_type").distinct().collect()}
+        if missing := [e for e in entries if e["doc_type"] not in found]:
+            raise ValueError(", ".join(f"{e['doc_type']}: no records in {e['path']}" for e in missing))
     return out
 
 
