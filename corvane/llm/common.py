@@ -53,11 +53,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def one_row_per_id(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
-    """Rows with a null id are left out; of repeated rows of one id the least (by the other columns) stays."""
-    return df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.struct(*cols)).alias("_r")).select(id_col, *[F.col(f"_r.{c}").alias(c) for c in cols])
-
-
 #: Buckets of ids for each shuffle partition.
 ID_BUCKETS = 4
 
