@@ -41,9 +41,11 @@ def related(left: DataFrame, right: DataFrame, left_key: str, right_key: str) ->
 
 
 def nearest_ancestor(rows: DataFrame, known: DataFrame, code: str, name: str) -> DataFrame:
-    """Add the name of the deepest known ancestor (or the code itself): ``found_code`` and ``found_name``."""
-    up = rows.withColumn("_p", F.explode(prefixes(F.col(code)))).join(known.select(F.col(code).alias("_p"), F.col(name).alias("_n")), "_p", "left")
-    return up.groupBy(*rows.columns).agg(F.max_by(F.when(F.col("_n").isNotNull(), F.struct("_p", "_n")), F.when(F.col("_n").isNotNull(), F.length("_p"))).alias("_f")).select(*rows.columns, F.col("_f._p").alias("found_code"), F.col("_f._n").alias("found_name"))
+    """Add the name of the deepest known ancestor (or the code itself): ``found_code`` and ``found_name``; repeated rows stay."""
+    names = known.where(F.col(name).isNotNull()).groupBy(F.col(code).alias("_p")).agg(F.min(name).alias("_n"))
+    up = rows.select(F.col(code).alias("_c")).distinct().withColumn("_p", F.explode(prefixes(F.col("_c")))).join(names, "_p")
+    found = up.groupBy("_c").agg(F.max_by(F.struct("_p", "_n"), F.length("_p")).alias("_f"))
+    return rows.join(found, F.col(code) == F.col("_c"), "left").select(*[rows[c] for c in rows.columns], F.col("_f._p").alias("found_code"), F.col("_f._n").alias("found_name"))
 
 
 def crosswalk(rows: DataFrame, pairs: DataFrame, code: str, short: int) -> DataFrame:
@@ -68,8 +70,8 @@ def in_range(code: Column, low: Column, high: Column) -> Column:
 
 
 def inherited(rows: DataFrame, key_col: str, parent: str, value: str) -> DataFrame:
-    """Fill a missing value from the row that ``parent`` names; ``inherited`` tells where that was done."""
-    above = rows.select(F.col(key_col).alias(parent), F.col(value).alias("_v")).dropDuplicates([parent])
+    """Fill a missing value from the row that ``parent`` names (of several, the least value); ``inherited`` tells where."""
+    above = rows.groupBy(F.col(key_col).alias(parent)).agg(F.min(value).alias("_v"))
     out = rows.join(above, parent, "left")
     taken = F.col(value).isNull() & F.col("_v").isNotNull()
     return out.withColumn("inherited", taken).withColumn(value, F.coalesce(value, "_v")).drop("_v")

@@ -31,8 +31,11 @@ def set_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a document has added to or removed from those of the one before it in its source."""
     from corvane.functions.text import tokens
 
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(tokens(F.col("text"))).alias("w"))
-    rows = rows.withColumn("before", F.lag("w").over(Window.partitionBy("source").orderBy("doc_id"))).where("before IS NOT NULL")
+    docs = table(spark, sf_dir, "documents")
+    # ids alone are put in order; words are fetched for pairs
+    pairs = docs.select("doc_id", F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("before_id")).where("before_id IS NOT NULL")
+    words = docs.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("w"))
+    rows = pairs.join(words, "doc_id").join(words.toDF("before_id", "before"), "before_id")
     return rows.select("doc_id", F.size(F.array_except("w", "before")).cast("bigint").alias("added"), F.size(F.array_except("before", "w")).cast("bigint").alias("removed"), F.size(F.array_intersect("w", "before")).cast("bigint").alias("common"))
 
 
@@ -166,15 +169,19 @@ IDS_SQL = "SELECT p_partkey, sha1(concat_ws('|', p_name, p_brand, p_size)) AS co
 
 
 def html_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of a table with spans that is made of each nation's name."""
+    """Places of the table that each page's menu makes: a head beside two rows, three links in the first, the rest below."""
     from corvane.sources.files import html_grids
 
-    name = F.col("n_name")
-    html = F.concat(F.lit("<table><tr><td rowspan=2>"), name, F.lit("</td><td colspan=2>b</td></tr><tr><td>c &amp; d</td><td>e</td></tr></table>"))
-    return html_grids(table(spark, sf_dir, "nation").select("n_nationkey", html.alias("html")), "n_nationkey", "html").withColumn("n_nationkey", F.col("n_nationkey").cast("int"))
+    links = F.transform(F.regexp_extract_all("html", F.lit(r'<li><a href="[^"]*">([^<]*)</a></li>'), 1), lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>")))
+    row = lambda start, n: F.array_join(F.slice(links, start, n), "")
+    html = F.concat(F.lit("<table><tr><td rowspan=2>links</td>"), row(1, 3), F.lit("</tr><tr>"), row(4, 1000), F.lit("</tr></table>"))
+    return html_grids(table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", html.alias("html")), "page_id", "html")
 
 
-CELLS_SQL = "SELECT n_nationkey, 0 AS table_no, r::INTEGER AS row_no, c::INTEGER AS col_no, CASE WHEN t = 'name' THEN n_name ELSE t END AS text, k::INTEGER AS cell_no, s AS covered FROM nation, (VALUES (0, 0, 'name', 0, false), (0, 1, 'b', 1, false), (0, 2, '', 1, true), (1, 0, '', 0, true), (1, 1, 'c & d', 2, false), (1, 2, 'e', 3, false)) v(r, c, t, k, s)"
+CELLS_SQL = """WITH l AS (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS l FROM pages WHERE html IS NOT NULL),
+c AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS t FROM l)
+SELECT page_id, 0 AS table_no, 0 AS row_no, 0 AS col_no, 'links' AS text, 0 AS cell_no, false AS covered FROM l UNION ALL SELECT page_id, 0, 1, 0, '', 0, true FROM l
+UNION ALL SELECT page_id, 0, CASE WHEN i <= 3 THEN 0 ELSE 1 END, CASE WHEN i <= 3 THEN i ELSE i - 3 END, trim(regexp_replace(t, '\\s+', ' ', 'g')), i, false FROM c"""
 
 QUERIES = {
     "multiset_diff": (multiset_diff, MULTISET_SQL),

@@ -107,37 +107,48 @@ def rtf_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 class _Tables(HTMLParser):
-    """Cells of all tables with the rows and columns that they span."""
+    """Cells of all tables with the rows and columns that they span; a table inside a cell is a table of its own."""
+
+    #: Fixed values of HTML: the largest spans.
+    MOST = {"rowspan": 65534, "colspan": 1000}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.table = self.row = -1
+        self.rows: list[int] = []  # of each table
         self.cells: list[dict] = []
-        self.open: dict | None = None
+        self.stack: list[list] = []  # of open tables: number and open cell
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "table":
-            self.table, self.row, self.open = self.table + 1, -1, None
-        elif tag == "tr":
-            self.row, self.open = self.row + 1, None
-        elif tag in ("td", "th") and self.table >= 0:
-            spans = {k: int(v) if (v or "").isdigit() and int(v) > 0 else 1 for k, v in attrs if k in ("rowspan", "colspan")}
-            self.open = {"table": self.table, "row": max(self.row, 0), "text": "", "down": spans.get("rowspan", 1), "right": spans.get("colspan", 1)}
-            self.cells.append(self.open)
+            self.stack.append([len(self.rows), None])
+            self.rows.append(0)
+        elif self.stack and tag == "tr":
+            self.rows[self.stack[-1][0]] += 1
+            self.stack[-1][1] = None
+        elif self.stack and tag in ("td", "th"):
+            table = self.stack[-1][0]
+            self.rows[table] = max(self.rows[table], 1)
+            spans = {k: min(int(v), self.MOST[k]) if (v or "").isdigit() else 1 for k, v in attrs if k in self.MOST}
+            cell = {"table": table, "row": self.rows[table] - 1, "text": "", "down": spans.get("rowspan", 1), "right": spans.get("colspan", 1) or 1}
+            self.stack[-1][1] = cell
+            self.cells.append(cell)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("td", "th", "tr", "table"):
-            self.open = None
+        if self.stack and tag in ("td", "th", "tr"):
+            self.stack[-1][1] = None
+        elif self.stack and tag == "table":
+            self.stack.pop()
 
     def handle_data(self, data: str) -> None:
-        if self.open is not None:
-            self.open["text"] += data
+        if self.stack and self.stack[-1][1] is not None:
+            self.stack[-1][1]["text"] += data
 
 
 def table_grid(html: str | None) -> list[tuple[int, int, int, str, int, bool]]:
     """Table, row, column, text, cell number and whether the place is covered by a span from elsewhere.
 
-    A cell's text stands at its first place only; covered places have the number of the cell that covers them.
+    A cell's text stands at its first place only; covered places have the number of the cell that covers them. A row span
+    ends with its table; a span of zero rows goes to its end.
     """
     parser = _Tables()
     parser.feed(html or "")
@@ -147,7 +158,8 @@ def table_grid(html: str | None) -> list[tuple[int, int, int, str, int, bool]]:
         col = 0
         while (cell["table"], cell["row"], col) in taken:
             col += 1
-        for down in range(cell["down"]):
+        left = parser.rows[cell["table"]] - cell["row"]
+        for down in range(min(cell["down"] or left, left)):
             for right in range(cell["right"]):
                 first = not down and not right
                 taken.setdefault((cell["table"], cell["row"] + down, col + right), (" ".join(cell["text"].split()) if first else "", number, not first))

@@ -66,3 +66,13 @@ def test_sinks(spark, tmp_path):
     sinks.write_json(df, f"{tmp_path}/j")
     assert spark.read.json(f"{tmp_path}/j").count() == 2
     sinks.write_texts(df, f"{tmp_path}/m", "scope")
+
+
+def test_tables_inside_tables_and_spans_to_the_end():
+    from corvane.sources.files import table_grid
+
+    html = "<table><tr><td rowspan=0>a<td>b<table><tr><td>in</td></tr></table>tail</td></tr><tr><td colspan=2>c</td></tr></table>"
+    got = table_grid(html)
+    assert [g for g in got if g[0] == 0] == [(0, 0, 0, "a", 0, False), (0, 0, 1, "btail", 1, False), (0, 1, 0, "", 0, True), (0, 1, 1, "c", 3, False), (0, 1, 2, "", 3, True)]
+    assert [g for g in got if g[0] == 1] == [(1, 0, 0, "in", 2, False)]
+    assert len(table_grid("<table><tr><td rowspan=99999999 colspan=5>x</td></tr></table>")) == 5 and table_grid("<td>none</td>") == table_grid(None) == []
