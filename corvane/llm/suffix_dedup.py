@@ -11,7 +11,7 @@ these go.
 
 "Earlier" is the order of (doc_id, start). Null texts count as empty; texts under 100 bytes lose nothing. Rows with a
 null id are left out. Repeated rows each give a row; the second of two equal rows counts as later. Further columns are
-ignored. An empty table gives an empty result.
+kept, whatever their names; those with the name of a new column are replaced. An empty table gives an empty result.
 
 What one task holds: a bucket of texts, or one range of the merge. A context that many texts share is one record of each
 bucket. The strings around an anchor with more than ``repeats.HOT`` occurrences are spread over all ranges by digest.
@@ -276,12 +276,21 @@ def range_borders(docs: DataFrame, parts: int) -> list[bytes]:
     return [some[len(some) * i // parts] for i in range(1, parts)] if some else []
 
 
+NEW = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
+
+
 def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of ``docs``, and what else the rows hold.
 
     If wanted, ``text`` is what is left (bytes of a character that was cut through are dropped from it, not from the
     digest).
     """
+    done = _deduplicated(docs, with_text)
+    return done.select(*[c for c in done.columns if c != "more"], *[F.col(f"more.`{c}`") for c in docs.columns if c.lower() not in NEW])
+
+
+def _deduplicated(docs: DataFrame, with_text: bool) -> DataFrame:
+    """The results, and the rows' other columns as one struct (more)."""
     rows, spans = removed_spans(docs)
     others = [f for f in docs.schema if f.name not in ("doc_id", "text")]
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * with_text
@@ -318,8 +327,7 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text" if with_text else None, "more" if others else None]
         return pa.table({name: pa.array(c, kind) for name, c, kind in zip(names, out, kinds, strict=True) if name})
 
-    done = rows.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(finish, schema)
-    return done.select(*[c for c in done.columns if c != "more"], *[F.col(f"more.`{f.name}`").alias(f.name) for f in others])
+    return rows.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(finish, schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,6 +337,6 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the texts without what starts earlier; documents that lose all their bytes go."""
-    kept = deduplicated(docs).where("n_removed < n_bytes OR n_bytes = 0")
-    count = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    return kept.select(*[count.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    kept = _deduplicated(docs, with_text=True).where("n_removed < n_bytes OR n_bytes = 0")
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)}
+    return kept.select(*[own.get(c, F.col(f"more.`{c}`")).alias(c) for c in docs.columns])

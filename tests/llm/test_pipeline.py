@@ -10,7 +10,7 @@ from corvane.llm import mixing
 from tests.llm import brute
 from tests.llm.test_edges import sentences
 
-COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, slot int, position int, y int, _row string"
+COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, slot int, position int, y int, _row string, n_bytes int, n_removed int, bucket int, more string, rep int, accepted string"
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +35,7 @@ def folder(spark, tmp_path_factory):
         elif i % 4 == 0:
             labels.append((i, 0, 0))
     docs += [(2000, None, "en", "s0", None), (2001, "", "en", None, 0), (2002, "", None, "s0", 0), (7, docs[7][1], "en", "s2", 5)]
-    rows = [(*d, 0.5, 1, 2, 3, "x") for d in docs]
+    rows = [(*d, 0.5, 1, 2, 3, "x", 4, 5, 6, "m", 7, "a") for d in docs]
     path = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(rows, COLUMNS).repartition(4).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
