@@ -167,22 +167,22 @@ def contexts(key: tuple[pa.Scalar, ...], rows: pa.Table, anchors: pa.Table, bord
                 starts.append(a)
                 stops.append(c)
         hot_grams, calm = {data[o : o + GRAM] for o in firsts.tolist()}, []
-        hot: dict[bytes, tuple[int, int]] = {}
+        places: dict[bytes, set[tuple[int, int]]] = defaultdict(set)  # two anchors may have a string in common
         for i in seen.values():
             at = int(offsets[i])
             if data[at : at + GRAM] not in hot_grams:
                 calm.append(i)
                 continue
             for place in range(int(lo[i]), min(at, int(hi[i]) - LENGTH) + 1):
-                mine = (int(first_id[i]), place)
-                # contexts come from the earliest on, but two anchors may have a string in common
-                if hot.setdefault(repeats.passage_digest(data[place : place + LENGTH]), mine) != mine:
-                    starts.append(place)
-                    stops.append(place + LENGTH)
+                places[repeats.passage_digest(data[place : place + LENGTH])].add((int(first_id[i]), place))
+        hot = {digest: min(at) for digest, at in places.items()}
+        again = [place for digest, at in places.items() for where in at if (place := where[1]) != hot[digest][1]]
+        starts += again
+        stops += [place + LENGTH for place in again]
         if starts:
             out[0]["spans"] = repeats.spans_packed(starts, stops)
-        for part, digests, ids, places in repeats.hot_rows(hot, ranges):
-            out[part] |= {"hot": digests, "hot_ids": ids, "hot_offsets": places}
+        for part, digests, ids, at in repeats.hot_rows(hot, ranges):
+            out[part] |= {"hot": digests, "hot_ids": ids, "hot_offsets": at}
         texts = sorted((data[offsets[i] : hi[i]], data[lo[i] : offsets[i]], i) for i in calm)
         parts = [bisect_right(borders, t[0][:BORDER]) for t in texts]
         edges = [0, *(j for j in range(1, len(parts)) if parts[j] != parts[j - 1]), len(parts)] if parts else []

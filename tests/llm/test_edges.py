@@ -105,6 +105,8 @@ def test_one_passage_in_many_surroundings(spark, monkeypatch, hot):
     passages = [sentences(rng, n) for n in (4, 12, 22, 34, 40, 70)]
     data = [(i, sentences(rng, rng.randrange(0, 40)) + rng.choice(["", " "]) + passages[i % 6] + rng.choice(["", " x", " yy "]) + sentences(rng, rng.randrange(0, 40))) for i in range(120)]
     data += [(1000 + i, data[i][1]) for i in range(8)] + [(2000, passages[5] * 9), (-7, passages[4] + " " + passages[5])]
+    # the same strings several times in one text, cut differently
+    data += [(3000 + i, " ".join(passages[rng.randrange(2, 6)][rng.randrange(0, 60) :] for _ in range(12))) for i in range(8)]
     df = spark.createDataFrame(data, DOCS).repartition(3)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(df).collect()}
     assert got == brute.suffix_dedup(data)
