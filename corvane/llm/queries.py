@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, embedding_dedup, fingerprints, fm_dedup, html_text, minhash_dedup, mixing, quality, suffix_dedup, url_reputation
+from corvane.llm import ball_kmeans, bpe, embedding_dedup, fingerprints, fm_dedup, html_text, minhash_dedup, mixing, quality, suffix_dedup, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": minhash_dedup.op8_minhash,
         "op9_source_mixing": mixing.op9_source_mixing,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+        "op13_ball_kmeans": ball_kmeans.op13_ball_kmeans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_reputation": url_reputation.SQL}
+    return {"op7_url_reputation": url_reputation.SQL, "op13_ball_kmeans": ball_kmeans.SQL}
