@@ -15,7 +15,7 @@ of a large group arises.
 
 Texts are lower-cased (A-Z); words are the runs of other bytes than ASCII white space; a text with fewer words than a
 shingle has one shingle, an empty or null text none, and no link. Rows with a null id are left out. Rows that share an
-id count as linked. Further columns are ignored. An empty table gives an empty result.
+id count as linked, those of an empty text too. Further columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -273,9 +273,13 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sized = groups_of.join(classes.select("rep", "s.bytes"), "rep")
     whole = in_blocks(sized, "cluster").join(signatures, "rep").join(texts, "rep")
     late = pairs_of_blocks(whole, "cluster").applyInArrow(settled(k, percent), "a bigint, b bigint")
-    groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
-    group = F.coalesce("component", "rep", "doc_id")
-    joined = sets.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
+    links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late)
+    # an id is a node, so the classes of an id's rows are linked through it
+    repeated = sets.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    several = sets.where("n_shingles > 0").select("doc_id", "d1", "d2").join(repeated, "doc_id", "left_semi")
+    groups = components(links.union(several.join(classes, ["d1", "d2"]).where("doc_id <> rep").select("doc_id", "rep").distinct()))
+    group = F.coalesce("component", "rep")
+    joined = sets.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     joined = joined.join(groups.withColumnsRenamed({"node": "rep"}), "rep", "left")
     return joined.select("doc_id", "n_shingles", group.alias("component_id"), (F.col("doc_id") == group).alias("kept"))
 
@@ -289,6 +293,8 @@ def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pipeline stage: one document (the smallest id) of each near-duplicate group, by 5-word shingles."""
     kept = grouped(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     rows = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
-    # of rows that share an id (they count as linked) the one with the least text stays
-    one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("r"))
+    # of rows that share an id (they count as linked) the one with the least text stays, of those the least by its other columns
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and f.name != "text"]
+    least = F.struct(F.coalesce("text", F.lit("")), F.col("text").isNull(), F.struct(*plain))
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), least).alias("r"))
     return one.select(*[F.col(f"r.`{c}`") for c in docs.columns])
