@@ -194,7 +194,7 @@ def contexts(key: tuple[pa.Scalar, ...], rows: pa.Table, anchors: pa.Table, part
         again = np.array([x for d, at in windows.items() if len(at) > 1 or d in twice for x in at], dtype=np.int64)
         starts, stops = np.concatenate((*starts, again)), np.concatenate((*stops, again + WINDOW))
         if len(starts):
-            out[0]["spans"] = repeats.spans_packed(starts, stops)
+            out[key[0].as_py() % parts]["spans"] = repeats.spans_packed(starts, stops)
         for to_part, digests, _, at in repeats.hot_rows({d: (0, min(at)) for d, at in windows.items()}, parts):
             out[to_part] |= {"hot": digests, "hot_offsets": at}
         part = (to[first] % np.uint64(parts)).astype(np.int64)

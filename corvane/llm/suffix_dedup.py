@@ -180,7 +180,7 @@ def contexts(key: tuple[pa.Scalar, ...], rows: pa.Table, anchors: pa.Table, bord
         starts += again
         stops += [place + LENGTH for place in again]
         if starts:
-            out[0]["spans"] = repeats.spans_packed(starts, stops)
+            out[key[0].as_py() % ranges]["spans"] = repeats.spans_packed(starts, stops)
         for part, digests, ids, at in repeats.hot_rows(hot, ranges):
             out[part] |= {"hot": digests, "hot_ids": ids, "hot_offsets": at}
         texts = sorted((data[offsets[i] : hi[i]], data[lo[i] : offsets[i]], i) for i in calm)
@@ -338,5 +338,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the texts without what starts earlier; documents that lose all their bytes go."""
     kept = _deduplicated(docs, with_text=True).where("n_removed < n_bytes OR n_bytes = 0")
-    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)}
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
     return kept.select(*[own.get(c, F.col(f"more.`{c}`")).alias(c) for c in docs.columns])
