@@ -515,3 +515,59 @@ def test_quality_views_teach_each_other_from_all_rows(spark):
     assert len(out) == 1600 and all(r.accepted == (r.doc_id % 3 > 0) for r in out) and {r.y for r in out} == {1.0}
     kept = quality._scored(df, model).where("accepted").select("row.*")
     assert kept.columns == df.columns and {r.accepted for r in kept.collect()} == {"x"}
+
+
+def test_classes_of_a_repeated_id_are_linked(spark):
+    """Rows of one id join their groups, empty texts too; of a kept id the least row stays, in whatever order rows come."""
+    rng = random.Random(31)
+    a, b, c = (sentences(rng, 30) for _ in range(3))
+    data = [(3, a), (5, a), (5, b), (9, b), (9, ""), (11, ""), (11, None), (20, ""), (20, c), (21, c), (4, c + " x")]
+    for part in (1, 4):
+        df = spark.createDataFrame(data, DOCS).repartition(part)
+        got = {(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.grouped(df).collect()}
+        assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (11, 11, True), (4, 4, True), (20, 4, False), (21, 4, False)}
+        assert sorted(tuple(r) for r in minhash_dedup.minhash_stage(spark, df, "").collect()) == [(3, a), (4, c + " x"), (11, "")]
+    same = spark.createDataFrame([(1, a, "y"), (1, a, "x"), (2, a, "w")], "doc_id bigint, text string, source string")
+    assert [tuple(r) for r in minhash_dedup.minhash_stage(spark, same, "").collect()] == [(1, a, "x")]
+
+
+def test_spans_inside_buckets_spread_over_parts(spark):
+    """Every bucket repeats inside; its own spans don't all go to one part, and the result doesn't depend on the partitions."""
+    from corvane.llm import repeats
+
+    rng = random.Random(32)
+    shared = sentences(rng, 60)
+    data = [(i, sentences(rng, 10) + " " + shared + " " + sentences(rng, 10) + " " + shared) for i in range(200)]
+    df = spark.createDataFrame(data, DOCS)
+    rows = repeats.dealt(df, len, suffix_dedup.LENGTH)
+    anchors = repeats.repeated_anchors(rows, suffix_dedup.find_anchors)
+    runs = rows.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(lambda k, x, y: suffix_dedup.contexts(k, x, y, [], 8), suffix_dedup.RUNS_SQL)
+    assert runs.where("spans IS NOT NULL").select("part").distinct().count() == 8
+    want = brute.suffix_dedup(data)
+    for n in (2, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(df).collect()}
+        assert got == want
+    assert suffix_dedup.suffix_stage(spark, df, "").columns == ["doc_id", "text"]
+
+
+def test_bad_hosts_domains_and_suffixes_are_blocked(spark):
+    """One bad host with many labels, one bad domain of thin hosts and one bad suffix of thin domains; each is blocked by its own
+    level, unlabelled hosts below them too, and nothing else is."""
+    urls, good = [], []
+    for i in range(200):
+        for j in range(10):
+            urls.append(f"http://h{i % 5}.site{i // 5}.com/{j}")
+            good.append(int(j > 0))
+    for j in range(600):
+        urls.append(f"http://g{j % 20}.site1.com/{j}" if j % 10 else f"http://bad.site1.com/{j}")
+        good.append(int(j % 10 > 0 and j % 11 > 0))
+    for i in range(60):
+        urls += [f"http://h{i}.thin.com/", f"http://www.d{i}.spam/"]
+        good += [0, 0]
+    urls += ["http://new.thin.com/", "http://www.new.spam/", "http://new.site1.com/", "http://www.other.com/", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    outcomes = spark.createDataFrame(list(enumerate(good)), "page_id bigint, good int")
+    got = {r.host: r.verdict for r in url_reputation.judged(pages, outcomes, []).collect()}
+    bad = {"bad.site1.com", "new.thin.com", "www.new.spam"} | {f"h{i}.thin.com" for i in range(60)} | {f"www.d{i}.spam" for i in range(60)}
+    assert {h for h, v in got.items() if v == "block"} == bad
