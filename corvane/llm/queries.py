@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import ball_kmeans, bpe, embedding_dedup, fingerprints, fm_dedup, html_text, license_scan, minhash_dedup, mixing, quality, suffix_dedup, url_reputation
+from corvane.llm import ball_kmeans, bpe, embedding_dedup, fingerprints, fm_dedup, html_text, impact_search, license_scan, minhash_dedup, mixing, quality, suffix_dedup, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": minhash_dedup.op8_minhash,
         "op9_source_mixing": mixing.op9_source_mixing,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+        "op11_impact_search": impact_search.op11_impact_search,
         "op12_license_scan": license_scan.op12_license_scan,
         "op13_ball_kmeans": ball_kmeans.op13_ball_kmeans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_reputation": url_reputation.SQL, "op12_license_scan": license_scan.SQL, "op13_ball_kmeans": ball_kmeans.SQL}
+    return {"op7_url_reputation": url_reputation.SQL, "op11_impact_search": impact_search.SQL, "op12_license_scan": license_scan.SQL, "op13_ball_kmeans": ball_kmeans.SQL}
