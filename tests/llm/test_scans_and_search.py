@@ -114,3 +114,79 @@ def test_balls_compare_little_and_change_nothing():
             assert (best == gap.argmin(axis=1)).all() and (least == gap.min(axis=1)).all() and (before == gap[np.arange(len(v)), filed]).all()
             if filed is not None and (filed == gap.argmin(axis=1)).all():
                 assert made < 2 * len(v)
+
+
+def plain_search(docs, items, k=10):
+    """Every document's whole score."""
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    kept = [(i, terms(t)) for i, t in docs if i is not None and terms(t)]
+    n_docs, n_terms = len(kept), sum(len(w) for _, w in kept)
+    asked = {}
+    for i, t in items:
+        if i is not None:
+            asked.setdefault(i, set()).update(terms(t))
+    df = {}
+    for _, w in kept:
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+    out = []
+    for item, own in asked.items():
+        scores = []
+        for i, w in kept:
+            m = 10 + (90 * len(w) * n_docs) // n_terms
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * w.count(t)) // (1000 * w.count(t) + 8 * m)) for t in own if t in df and t in w)
+            if s > 0:
+                scores.append((-s, i))
+        out += [(item, rank, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [10**6, 40])
+def test_impact_search(spark, monkeypatch, size):
+    """One shard a task, and many small ones; several portions of items in the second run."""
+    from corvane.llm import impact_search
+
+    monkeypatch.setattr(impact_search, "POSTINGS", size)
+    monkeypatch.setattr(impact_search, "DOCUMENTS", size)
+    monkeypatch.setattr(impact_search, "ITEM_BYTES", 10**6 if size > 100 else 900)
+    rng = random.Random(43)
+    words = [f"w{i}" for i in range(300)] + ["É", "İx", "über"]
+    some = lambda n: rng.choice([" ", "-", "\n", "_"]).join(w.upper() if rng.random() < 0.2 and w.isascii() else w for w in rng.choices(words, weights=[1 / (i + 1) for i in range(len(words))], k=n))
+    docs = [(i, some(rng.choice([1, 5, 40, 200]))) for i in range(400)]
+    docs += [(500 + i, docs[7][1]) for i in range(15)] + [(None, "w1 w2"), (600, None), (601, ""), (602, "!!"), (603, "w200 " * 5000), (7, docs[7][1]), (-5, docs[7][1])]
+    items = [(i, some(rng.choice([1, 3, 30]))) for i in range(40)] + [(50, None), (51, "zzz"), (None, "w1"), (52, docs[7][1]), (53, ""), (54, "w1"), (54, "w9 w250"), (55, docs[3][1]), (55, docs[3][1])]
+    d = spark.createDataFrame([(*r, "x", 1) for r in docs], "doc_id bigint, text string, item_id string, score int").repartition(3)
+    q = spark.createDataFrame([(*r, 2) for r in items], "item_id bigint, text string, n int")
+    assert sorted(map(tuple, impact_search.searched(d, q).collect())) == plain_search(docs, items)
+
+
+def test_impact_search_of_empty_tables(spark):
+    from corvane.llm import impact_search
+
+    d, q = spark.createDataFrame([(1, "a")], DOCS), spark.createDataFrame([(1, "a")], "item_id bigint, text string")
+    for x, y in ((d.limit(0), q), (d, q.limit(0)), (d.limit(0), q.limit(0))):
+        assert impact_search.searched(x, y).count() == 0
+
+
+def test_impact_search_stops_early_and_is_whole():
+    """Rare and frequent terms: the frequent ones' postings are skipped once the bounds prove the best; floors cut more."""
+    from corvane.llm.impact_search import Shard, ranked, weight
+
+    rng = np.random.default_rng(8)
+    n, df = 20_000, [12, 15, 9000, 12_000, 15_000]
+    terms = [np.sort(rng.choice(5, size=0)) for _ in range(n)]
+    has = np.zeros((n, 5), dtype=bool)
+    for t, f in enumerate(df):
+        has[rng.choice(n if t > 1 else 40, size=f, replace=False), t] = True
+    terms = [np.flatnonzero(row) for row in has]
+    begin = np.concatenate(([0], np.cumsum([len(t) for t in terms])))
+    tf, sizes = rng.integers(1, 4, size=begin[-1]), rng.integers(50, 60, size=n)
+    shard = Shard(np.arange(n) * 3, sizes, begin, np.concatenate(terms), tf, n, int(sizes.sum()), 5)
+    weights = np.array([weight(n, f) for f in df])
+    whole = shard.completed(np.arange(n), weights)
+    want = ranked(np.arange(n) * 3, whole, 10)
+    for floor in (0, int(want[1][-1]), int(want[1][3])):
+        ids, scores, done = shard.best(np.arange(5), weights, weights, 10, floor)
+        keep = want[1] >= floor
+        assert (ids == want[0][keep]).all() and (scores == want[1][keep]).all() and done < begin[-1] / 2
+    assert shard.best(np.arange(5), weights, weights, 10, int(weights.sum()) * 10**6)[2] == 0
