@@ -44,16 +44,8 @@ def top_k(scored: DataFrame, query_id: str, order: list[Column], k: int, name: s
     return scored.withColumn(name, F.row_number().over(Window.partitionBy(query_id).orderBy(*order))).where(F.col(name) <= k)
 
 
-def knn(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id", vector: str = "vector") -> DataFrame:
-    """Exact nearest items by dot product (in doubles): query id, item id, score, rank. Items equal to the query count too.
-
-    Items and queries are dealt over blocks; each pair of blocks is one task and passes on its own best k.
-    """
-    n, m = (max(1, -(-df.count() // size)) for df, size in ((items, BLOCK), (queries, QUERIES)))
-    block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    cut = items.select(block(item_id, n).alias("_b"), every(m).alias("_m"), F.col(item_id).alias("i"), F.col(vector).alias("v"))
-    asked = queries.select(every(n).alias("_b"), block(query_id, m).alias("_m"), F.col(query_id).alias("q"), F.col(vector).alias("v"))
+def best_of_block(k: int):
+    """For a block of queries (q, v) and one of items (i, v): the best k items of each query (q, i, s), ties by item."""
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         q, i = a.column("q").to_numpy(), b.column("i").to_numpy()
@@ -67,7 +59,28 @@ def knn(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id"
         first = np.argsort(-s, axis=1, kind="stable")[:, :most]
         return pa.table({"q": np.repeat(q, most), "i": i[first].reshape(-1), "s": np.take_along_axis(s, first, axis=1).reshape(-1)})
 
-    found = asked.groupBy("_b", "_m").cogroup(cut.groupBy("_b", "_m")).applyInArrow(best, "q bigint, i bigint, s double")
+    return best
+
+
+def knn(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id", vector: str = "vector", exact: bool = True, recall: float = 0.99) -> DataFrame:
+    """Nearest items by dot product (in doubles): query id, item id, score, rank. Items equal to the query count too.
+
+    Exact: items and queries are dealt over blocks; each pair of blocks is one task and passes on its own best k. Else an
+    inverted file of the items is stored in the shared folder and searched with the aimed recall (see ``neighbours``; keep
+    its index to search it again).
+    """
+    if not exact:
+        from corvane.operators import neighbours
+        from corvane.sources import store
+
+        index = neighbours.build(items, store.new_path(items.sparkSession, "neighbours"), item_id, vector, k)
+        return neighbours.search(queries, index, k, query_id, item_id, vector, recall)
+    n, m = (max(1, -(-df.count() // size)) for df, size in ((items, BLOCK), (queries, QUERIES)))
+    block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cut = items.select(block(item_id, n).alias("_b"), every(m).alias("_m"), F.col(item_id).alias("i"), F.col(vector).alias("v"))
+    asked = queries.select(every(n).alias("_b"), block(query_id, m).alias("_m"), F.col(query_id).alias("q"), F.col(vector).alias("v"))
+    found = asked.groupBy("_b", "_m").cogroup(cut.groupBy("_b", "_m")).applyInArrow(best_of_block(k), "q bigint, i bigint, s double")
     ranked = top_k(found, "q", [F.desc("s"), F.asc("i")], k)
     return ranked.select(F.col("q").alias(query_id), F.col("i").alias(item_id), F.col("s").alias("score"), "rank")
 

@@ -54,6 +54,21 @@ def dense_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 KNN_SQL = f"WITH {KNN_CTE} SELECT query_id, item_id, round(score, 6) AS score, rank FROM near WHERE rank <= 10"
 
 
+def ann_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every twentieth vector from an inverted file at a recall of 0.99 (no SQL: the cells decide)."""
+    return R.knn(_vectors(spark, sf_dir, "query_id").where("query_id % 20 = 0"), _vectors(spark, sf_dir, "item_id"), 10, exact=False).withColumn("score", F.round("score", 6))
+
+
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many neighbours an exact search finds, and whether the inverted file has at least 95 % of them with equal scores."""
+    exact, near = dense_knn(spark, sf_dir), ann_knn(spark, sf_dir)
+    both = exact.join(near.select("query_id", "item_id", F.col("score").alias("near")), ["query_id", "item_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_neighbours"), (F.avg(F.coalesce(F.col("near") == F.col("score"), F.lit(False)).cast("int")) >= 0.95).alias("reached"))
+
+
+RECALL_SQL = f"WITH {KNN_CTE} SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_neighbours, true AS reached FROM near WHERE rank <= 10"
+
+
 def dense_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The likeness of the nearest other vector, and whether it lies under a floor for relevance."""
     best = _knn(spark, sf_dir, 2).where("item_id <> query_id").groupBy("query_id").agg(F.max("score").alias("top1"))
@@ -265,6 +280,8 @@ SELECT query_id, round(max(score), 6) AS top1, bool_and(label <> query_label) AS
 QUERIES = {
     "bm25_topk": (bm25_topk, BM25_SQL),
     "dense_knn": (dense_knn, KNN_SQL),
+    "ann_knn": (ann_knn, None),
+    "ann_recall": (ann_recall, RECALL_SQL),
     "dense_top1": (dense_top1, TOP1_SQL),
     "rrf_fusion": (rrf_fusion, RRF_SQL),
     "hybrid_search": (hybrid_search, HYBRID_SQL),
