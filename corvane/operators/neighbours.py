@@ -125,7 +125,7 @@ def measured(items: DataFrame, centroids: np.ndarray, n: int, k: int) -> list[fl
 def load(spark: SparkSession, path: str) -> Index:
     cells = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()
     recall = spark.read.parquet(f"{path}/recall").orderBy("probes").collect()
-    return Index(path, np.array([r["centroid"] for r in cells], dtype=np.float64).reshape(len(cells), -1), np.array([r["n"] for r in cells], dtype=np.int64), [r["recall"] for r in recall])
+    return Index(path, np.array([r["centroid"] for r in cells], dtype=np.float64), np.array([r["n"] for r in cells], dtype=np.int64), [r["recall"] for r in recall])
 
 
 def search(queries: DataFrame, index: Index, k: int, query_id: str = "query_id", item_id: str = "item_id", vector: str = "vector", recall: float = 0.99) -> DataFrame:
