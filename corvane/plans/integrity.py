@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.operators import diff
 from corvane.operators import integrity as I
+from corvane.sources import store
 from corvane.sources.tables import table
 
 
@@ -119,6 +121,38 @@ def edition_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDITION_SQL = f"WITH {LINES}, d AS (SELECT source, line, sum(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END) AS d FROM lines JOIN documents USING (doc_id) WHERE line <> '' GROUP BY 1, 2 HAVING sum(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END) <> 0) SELECT source, sum(greatest(d, 0))::BIGINT AS removed, sum(greatest(-d, 0))::BIGINT AS added FROM d GROUP BY source"
 
 
+def _page_editions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages of even and odd ids as two editions of one text, cut before each tag."""
+    pages = table(spark, sf_dir, "pages").where("html IS NOT NULL").select(F.expr("page_id div 2").alias("pair"), (F.col("page_id") % 2).alias("side"), F.posexplode(F.split("html", "(?=<)")).alias("place", "line"))
+    return pages.where("side = 0").drop("side"), pages.where("side = 1").drop("side")
+
+
+def line_opcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which ranges of two editions are equal, replaced, deleted and inserted (no SQL: an alignment is chosen)."""
+    return diff.opcodes(*_page_editions(spark, sf_dir))
+
+
+def patched_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new edition made from the old one and the patch: digest and length; and the lines that the opcodes cover."""
+    old, new = _page_editions(spark, sf_dir)
+    ops = store.stored(diff.opcodes(old, new), "opcodes")
+    made = diff.applied(old, diff.patch(ops, new)).select("pair", F.array_join("lines", "").alias("html"))
+    covered = ops.groupBy("pair").agg(F.sum(F.col("old_to") - F.col("old_from")).alias("n_old"), F.sum(F.col("new_to") - F.col("new_from")).alias("n_new"))
+    return made.join(covered, "pair").select("pair", F.sha1("html").alias("digest"), F.length("html").cast("bigint").alias("n_chars"), "n_old", "n_new")
+
+
+PATCHED_SQL = """WITH p AS (SELECT page_id // 2 AS pair, page_id % 2 AS side, html, len(regexp_split_to_array(regexp_replace(html, '^<', ''), '<')) AS n FROM pages WHERE html IS NOT NULL)
+SELECT pair, sha1(coalesce(b.html, '')) AS digest, length(coalesce(b.html, '')) AS n_chars, coalesce(a.n, 0)::BIGINT AS n_old, coalesce(b.n, 0)::BIGINT AS n_new
+FROM (SELECT * FROM p WHERE side = 0) a FULL JOIN (SELECT * FROM p WHERE side = 1) b USING (pair)"""
+
+
+def section_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed and added pieces of two editions by the new edition's sections (no SQL, as for ``line_opcodes``)."""
+    old, new = _page_editions(spark, sf_dir)
+    name = F.regexp_extract("line", "^<(nav|article|aside|footer|header|form|section|main|h[1-6])[ >]", 1)
+    return diff.by_section(diff.opcodes(old, new), new, F.when(name != "", name))
+
+
 def near_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of which one begins with another in the same nation (customers' last digits make the names)."""
     rows = table(spark, sf_dir, "customer").select("c_nationkey", F.regexp_replace("c_name", "^Customer#0*", "no ").alias("name"))
@@ -193,6 +227,9 @@ QUERIES = {
     "filled_headers": (filled_headers, FILLED_SQL),
     "clause_parts": (clause_parts, CLAUSE_SQL),
     "edition_diff": (edition_diff, EDITION_SQL),
+    "line_opcodes": (line_opcodes, None),
+    "patched_editions": (patched_editions, PATCHED_SQL),
+    "section_changes": (section_changes, None),
     "near_prefixes": (near_prefixes, PREFIX_SQL),
     "text_blocks": (text_blocks, BLOCKS_SQL),
     "union_first": (union_first, UNION_SQL),
