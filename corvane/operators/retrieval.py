@@ -7,7 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.stems import stemmed
 from corvane.functions.text import tokens
+from corvane.sources import store
 
 #: BM25: saturation of the term count and weight of the document's length.
 K1, B = 1.2, 0.75
@@ -15,20 +17,32 @@ K1, B = 1.2, 0.75
 BLOCK, QUERIES, MOST_TERMS = 4096, 1024, 500_000
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str = "text") -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str = "text", stem: str | None = None) -> DataFrame:
     """BM25 scores of all documents that share a term with a query: query id, doc id, score.
 
     Documents are read and cut into tokens once. Only tokens that a query has, and one mark for each document, are
     shuffled, by document; term counts and scores are then worked out where a document's tokens lie, so that neither a
     frequent term nor the scored pairs gather anywhere. The queries' terms are broadcast if there are few enough.
+
+    With ``stem`` (a language of ``stems``) terms are stems: the distinct words of the documents are stemmed once (one more
+    pass, stored), and those whose stem a query has stand for it.
     """
-    asked = queries.select(F.col(query_id), F.explode(tokens(F.col(text))).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = queries.select(F.col(query_id), F.explode(tokens(F.col(text))).alias("term"))
+    if stem:
+        asked = asked.withColumn("term", stemmed(F.col("term"), stem))
+    asked = asked.groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf"))
     few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
     small = F.broadcast if few else lambda df: df
     # the empty term stands once in each document: its counts are those of the corpus
     words = docs.select(F.col(doc_id), tokens(F.col(text)).alias("_w")).select(doc_id, F.size("_w").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_w")).alias("term"))
     vocabulary = asked.select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    found = words.join(small(vocabulary), "term", "left_semi")
+    if stem:
+        stems = words.select(F.col("term").alias("_word")).distinct().withColumn("term", stemmed(F.col("_word"), stem))
+        known = store.stored(stems.join(small(vocabulary), "term", "left_semi"), "stems")
+        held = F.broadcast if known.limit(MOST_TERMS + 1).count() <= MOST_TERMS else lambda df: df
+        found = words.withColumnRenamed("term", "_word").join(held(known), "_word").drop("_word")
+    else:
+        found = words.join(small(vocabulary), "term", "left_semi")
     found = found.repartition(doc_id).groupBy(doc_id, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = found.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("dl").alias("sum_dl"))
     size = stats.where("term = ''").select(F.col("df").alias("n_docs"), (F.col("sum_dl") / F.col("df")).alias("avgdl"))
@@ -71,7 +85,6 @@ def knn(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id"
     """
     if not exact:
         from corvane.operators import neighbours
-        from corvane.sources import store
 
         index = neighbours.build(items, store.new_path(items.sparkSession, "neighbours"), item_id, vector, k)
         return neighbours.search(queries, index, k, query_id, item_id, vector, recall)
