@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import codes as C
 from corvane.operators import retrieval as R
+from corvane.operators import tree
 from corvane.sources.tables import table
 
 CODES = """codes AS (SELECT p_partkey, p_name, p_type, p_retailprice, CASE p_partkey % 3 WHEN 0 THEN b WHEN 1 THEN b || '.' || s ELSE b || '.' || s || '.' || (p_partkey % 10) END AS code
@@ -150,6 +151,35 @@ INTROS_SQL = f"""WITH {CODES}, r AS (SELECT code, min(p_name) AS name FROM codes
 SELECT r.code, string_agg(a.name, ' > ' ORDER BY a.code) AS path FROM r JOIN r a ON r.code = a.code OR starts_with(r.code, a.code || '.') GROUP BY r.code"""
 
 
+def capped_intros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part with the names (of 30 characters at most) of the codes above its own; a code of several parts ends the way up."""
+    rows = tree.dotted_parents(_codes(spark, sf_dir).select("p_partkey", "code", "p_name"), "code")
+    return tree.with_intros(rows, "p_partkey", "code", "parent", "p_name", 30, " > ").select("p_partkey", "code", "parent_intro", "index_text")
+
+
+CAPPED_SQL = f"""WITH RECURSIVE {CODES}, n AS (SELECT code, count(*) AS n, min(p_name) AS name FROM codes GROUP BY code),
+up AS (SELECT p_partkey, code AS here, 0 AS step, NULL::VARCHAR AS intro FROM codes
+ UNION ALL SELECT p_partkey, regexp_replace(here, '\.[^.]*$', ''), step + 1, CASE WHEN n.n = 1 AND length(name) <= 30 THEN name END FROM up LEFT JOIN n ON n.code = regexp_replace(here, '\.[^.]*$', '') WHERE contains(here, '.') AND coalesce(n.n, 1) = 1)
+SELECT c.p_partkey, c.code, arg_min(intro, step) FILTER (WHERE intro IS NOT NULL) AS parent_intro, coalesce(string_agg(intro, ' > ' ORDER BY step DESC) || ' > ', '') || any_value(p_name) AS index_text
+FROM codes c JOIN up USING (p_partkey) GROUP BY ALL"""
+
+
+def nearest_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain from each vector to its nearest other vector, on to that one's nearest, and so on, up to where it comes back."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    near = R.knn(vectors.withColumnRenamed("item_id", "query_id"), vectors, 2).where("item_id <> query_id")
+    ways = tree.ways_up(near.groupBy("query_id").agg(F.min_by("item_id", "rank").alias("item_id")), "query_id", "item_id")
+    return ways.select(F.col("key").alias("vec_id"), F.array_join(F.transform("way", lambda x: x.cast("string")), " ").alias("chain"), F.size("way").cast("bigint").alias("length"), "ended")
+
+
+CHAINS_SQL = """WITH RECURSIVE pairs AS (SELECT q.vec_id AS a, d.vec_id AS b, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 9) AS s FROM embeddings q, embeddings d),
+two AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM pairs),
+near AS MATERIALIZED (SELECT a, arg_min(b, rank) AS b FROM two WHERE rank <= 2 AND a <> b GROUP BY a),
+up AS (SELECT a AS vec_id, [a] AS way, false AS stop FROM near
+ UNION ALL SELECT vec_id, CASE WHEN list_contains(way, b) THEN way ELSE list_append(way, b) END, list_contains(way, b) FROM up JOIN near ON near.a = way[-1] WHERE NOT stop)
+SELECT vec_id, array_to_string(way, ' ') AS chain, len(way)::BIGINT AS length, 'cycle' AS ended FROM up WHERE stop"""
+
+
 def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly values (rounded mean price of urgent orders by nation), equal neighbouring years in one row."""
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -219,6 +249,8 @@ QUERIES = {
     "segment_notes": (segment_notes, NOTES_SQL),
     "inheritance": (inheritance, INHERIT_SQL),
     "tree_intros": (tree_intros, INTROS_SQL),
+    "capped_intros": (capped_intros, CAPPED_SQL),
+    "nearest_chains": (nearest_chains, CHAINS_SQL),
     "schedules": (schedules, SCHEDULE_SQL),
     "threshold_lookup": (threshold_lookup, THRESHOLD_SQL),
     "target_selection": (target_selection, TARGET_SQL),
