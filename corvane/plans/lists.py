@@ -9,6 +9,7 @@ from corvane.functions import route as Q
 from corvane.functions import text as T
 from corvane.operators import codes as C
 from corvane.operators import dialog as D
+from corvane.operators import lexical
 from corvane.operators import retrieval as R
 from corvane.plans.codes import CODES, _codes
 from corvane.plans.retrieval import BM25_CTE, KNN_CTE, TOK, _knn
@@ -278,7 +279,7 @@ def rules_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules search with quotas: the best forty documents of a passage, topped up with the subject's source (its best three)
     and the best long document; twelve places by quota, long documents first, then the subject's, then by rank."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("n_chars") > 2000).alias("is_list"))
-    scored = R.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    scored = lexical.of_table(table(spark, sf_dir, "documents"), scope="source").bm25(table(spark, sf_dir, "benchmark"), "item_id")
     scored = scored.select(F.col("item_id").alias("query_id"), "doc_id", F.round("score", 6).alias("score")).join(docs, "doc_id")
     best = [F.desc("score"), F.asc("doc_id")]
     pool = R.top_k(scored, "query_id", best, 40).drop("rank")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
+from corvane.operators import lexical
 from corvane.operators import retrieval as R
+from corvane.sources import store
 from corvane.sources.tables import table
 
 TOK = r"list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{Nd}}]+'), lambda x: length(x) > 1)"
@@ -32,6 +34,31 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 BM25_SQL = f"""WITH {BM25_CTE} SELECT item_id, doc_id, score, rank FROM (SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm) WHERE rank <= 5"""
 
 
+def _first_five(scored: DataFrame) -> DataFrame:
+    best = R.top_k(scored.withColumn("score", F.round("score", 6)), "item_id", [F.desc("score"), F.asc("doc_id")], 5)
+    return best.select("item_id", "doc_id", "score", "rank")
+
+
+def indexed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the stored index of the documents."""
+    index = lexical.of_table(table(spark, sf_dir, "documents"), scope="source")
+    return _first_five(index.bm25(table(spark, sf_dir, "benchmark"), "item_id"))
+
+
+def refreshed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index that held older texts of two sources (their first halves, and a source of copies that is gone
+    now), after both were refreshed and one of the refreshes came twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("scope"))
+    late = F.col("scope").isin("src3", "src4")
+    older = docs.withColumn("text", F.when(late, F.expr("substring(text, 1, length(text) div 2)")).otherwise(F.col("text")))
+    index = lexical.Index(spark, store.new_path(spark, "lexical"), buckets=4)
+    index.refresh(older.unionByName(docs.where(late).withColumn("scope", F.lit("copies"))))
+    index.refresh(docs.where("scope = 'src3'"), gone=["copies"])
+    index.refresh(docs.where(late))
+    index.refresh(docs.where("scope = 'src3'"))
+    return _first_five(index.bm25(table(spark, sf_dir, "benchmark"), "item_id"))
+
+
 def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents of every benchmark passage by BM25 over English stems (no SQL: DuckDB has no stems here)."""
     scored = R.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", stem="english")
@@ -122,7 +149,7 @@ def _hybrid_lists(spark: SparkSession, sf_dir: str, depth: int, keep: str) -> Da
     """
     all_docs, passages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     docs = all_docs.where(keep)
-    sparse = R.bm25(all_docs, passages, "doc_id", "item_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    sparse = lexical.of_table(all_docs, scope="source").bm25(passages, "item_id", keep=None if keep == "true" else docs.select("doc_id"))
     sparse = sparse.select(F.col("item_id").alias("query_id"), F.lit("sparse").alias("list_id"), F.col("doc_id").alias("item_id"), F.round("score", 9).alias("score"))
     sparse = R.top_k(sparse, "query_id", [F.desc("score"), F.asc("item_id")], depth).drop("rank")
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
@@ -166,7 +193,8 @@ def rescored_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = R.fused(_hybrid_lists(spark, sf_dir, 20, "lang = 'de'"), 5)
     wanted = one.select("query_id", "item_id").union(two.select("query_id", "item_id")).distinct()
     docs, passages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    sparse = R.bm25(docs, passages, "doc_id", "item_id").select(F.col("item_id").alias("query_id"), F.lit("sparse").alias("list_id"), F.col("doc_id").alias("item_id"), F.round("score", 9).alias("score"))
+    index = lexical.of_table(docs, scope="source")
+    sparse = index.bm25(passages, "item_id", keep=wanted.select(F.col("item_id").alias("doc_id"))).select(F.col("item_id").alias("query_id"), F.lit("sparse").alias("list_id"), F.col("doc_id").alias("item_id"), F.round("score", 9).alias("score"))
     vectors = table(spark, sf_dir, "embeddings")
     pair = wanted.join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a")), "query_id").join(vectors.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("b")), "item_id")
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -202,7 +230,7 @@ SELECT query_id, label, round(sum(1.0::DOUBLE / (60 + rank)) / pow(max(n), 0.5),
 def quota_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve places for each passage: three for the main source, two for others in turn, then by rank; the main source's
     rows come first."""
-    scored = R.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    scored = lexical.of_table(table(spark, sf_dir, "documents"), scope="source").bm25(table(spark, sf_dir, "benchmark"), "item_id")
     scored = scored.select(F.col("item_id").alias("query_id"), "doc_id", F.round("score", 6).alias("score"))
     ranked = R.top_k(scored, "query_id", [F.desc("score"), F.asc("doc_id")], 40).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     quota = F.when(F.col("source") == "src0", 3).when(F.col("source") == "src1", 0).otherwise(2)
@@ -286,6 +314,8 @@ SELECT query_id, round(max(score), 6) AS top1, bool_and(label <> query_label) AS
 
 QUERIES = {
     "bm25_topk": (bm25_topk, BM25_SQL),
+    "indexed_bm25": (indexed_bm25, BM25_SQL),
+    "refreshed_index": (refreshed_index, BM25_SQL),
     "stemmed_search": (stemmed_search, None),
     "dense_knn": (dense_knn, KNN_SQL),
     "ann_knn": (ann_knn, None),

@@ -25,18 +25,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _at(spark: SparkSession, path: str):
+def at(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    files, where = _at(spark, path)
+    files, where = at(spark, path)
     return files.exists(where)
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    files, where = _at(spark, path)
+    files, where = at(spark, path)
     files.delete(where, True)
 
 
