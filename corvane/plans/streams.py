@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators.admission import Cap, admitted
 from corvane.sources.tables import table
 from corvane.streaming import limits as L
 
@@ -32,7 +33,18 @@ SESSION_SQL = """WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '12 hours' AS stop, count(*) AS n FROM s GROUP BY user_id, k"""
 
+
+def reserved_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events under three caps of a day at once (three for a user, two hundred for all, two for a user's kind of event), in the order
+    of time; an error gives its place back after ten minutes (no SQL: each verdict depends on those before it)."""
+    refund = F.when(F.col("event_type") == "error", F.col("ts") + F.expr("INTERVAL 10 MINUTES"))
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", refund.alias("refund_ts"))
+    caps = [Cap("personal", "concat_ws(' ', user_id, to_date(ts))", 3), Cap("daily", "to_date(ts)", 200), Cap("kind", "concat_ws(' ', user_id, event_type, to_date(ts))", 2, refunds=False)]
+    return admitted(rows, caps)
+
+
 QUERIES = {
+    "reserved_caps": (reserved_caps, None),
     "rate_limit": (rate_limit, None),
     "windowed_counts": (windowed_counts, WINDOW_SQL),
     "user_sessions": (user_sessions, SESSION_SQL),
