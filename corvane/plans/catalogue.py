@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this folder with a table QUERIES: name -> (query, SQL or None).
-MODULES = ("retrieval", "dialog", "scorecard", "codes", "guards", "integrity", "evaluation", "streams", "lists")
+MODULES = ("retrieval", "dialog", "scorecard", "codes", "guards", "integrity", "evaluation", "streams", "lists", "outside")
 
 
 def _all() -> dict:
