@@ -182,3 +182,46 @@ def reranked(ranked: DataFrame, places: DataFrame) -> DataFrame:
     both = ranked.join(places, ["query_id", "item_id"], "left")
     order = F.coalesce(F.col("new_place").cast("bigint"), F.lit(1_000_000) + F.col("rank"))
     return both.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "rank"))).drop("new_place")
+
+
+def with_class(rows: DataFrame, words: Column, name: str = "cls") -> DataFrame:
+    """Add the class of each row: its distinct words in order, as one text. Rows with the same words have the same scores."""
+    return rows.withColumn(name, F.array_join(F.array_sort(F.array_distinct(words)), " "))
+
+
+def class_scores(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Shared words of query classes (column qcls) and row classes (cls, one row for each row): qcls, cls, matched, score.
+
+    Only classes are compared, however many rows have them, and a word's weight counts rows: a word that a third of all rows
+    have joins as often as classes have it.
+    """
+    terms = lambda df, c: df.select(c, F.explode(F.split(c, " ")).alias("term")).where("term <> ''")
+    classes = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("size"))
+    total = classes.agg(F.sum("size").alias("n"))
+    words = classes.select("cls", "size", F.explode(F.split("cls", " ")).alias("term")).where("term <> ''")
+    idf = words.groupBy("term").agg(F.sum("size").alias("df")).join(F.broadcast(total)).select("term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))  # total is one row
+    both = terms(asked.select("qcls").distinct(), "qcls").join(idf, "term").join(words.select("cls", "term"), "term")
+    return both.groupBy("qcls", "cls").agg(F.count(F.lit(1)).alias("matched"), F.round(F.sum("idf"), 6).alias("score"))
+
+
+def best_in_groups(asked: DataFrame, rows: DataFrame, scores: DataFrame, id_col: str, order: list[str], k: int, fill: bool = False) -> DataFrame:
+    """The best k rows (id_col, cls, grp) for each asked pair (qcls, grp): by the columns ``order`` of ``scores``, descending, then
+    by id. With ``fill``, rows without a score follow.
+
+    Of a class in a group only the first k rows can be among the best, and of the classes only the first k, so rows are looked
+    at only behind the best classes.
+    """
+    heads = rows.withColumn("_n", F.row_number().over(Window.partitionBy("grp", "cls").orderBy(id_col))).where(F.col("_n") <= k)
+    classes = heads.where("_n = 1").select("grp", "cls", F.col(id_col).alias("_first"))
+    place = Window.partitionBy("qcls", "grp").orderBy(*[F.desc(c) for c in order], "_first")
+    some = asked.select("qcls", "grp").distinct().join(scores, "qcls").join(classes, ["grp", "cls"])
+    some = some.withColumn("_p", F.row_number().over(place)).where(F.col("_p") <= k)
+    found = some.join(heads, ["grp", "cls"]).select("qcls", "grp", id_col, *order)
+    if fill:
+        full = found.groupBy("qcls", "grp").count().where(F.col("count") >= k)
+        lacking = asked.select("qcls", "grp").distinct().join(full, ["qcls", "grp"], "left_anti")
+        rest = lacking.join(heads, "grp").join(scores.select("qcls", "cls"), ["qcls", "cls"], "left_anti")
+        kinds = dict(scores.dtypes)
+        found = found.unionByName(rest.select("qcls", "grp", id_col, *[F.lit(0).cast(kinds[c]).alias(c) for c in order]))
+    best = Window.partitionBy("qcls", "grp").orderBy(*[F.desc(c) for c in order], id_col)
+    return found.withColumn("_b", F.row_number().over(best)).where(F.col("_b") <= k).drop("_b")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import route as Q
@@ -13,6 +13,7 @@ from corvane.operators import lexical
 from corvane.operators import retrieval as R
 from corvane.plans.codes import CODES, _codes
 from corvane.plans.retrieval import BM25_CTE, KNN_CTE, TOK, _knn
+from corvane.sources import store
 from corvane.sources.tables import table
 
 
@@ -302,25 +303,27 @@ SELECT query_id, doc_id, source, is_list, rank, row_number() OVER (PARTITION BY
 def code_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code-boosted search in full: a pool by name, the queried code's branch, exact codes and (only if no code is the same or
     below) the nearest above; all scored on one scale of shared words, then ranked by tier."""
-    rows = _codes(spark, sf_dir).withColumn("k", C.digits(F.col("code")))
-    words = lambda df: F.explode(F.array_distinct(T.tokens(F.concat_ws(" ", "p_name", "p_type")))).alias("term")
-    names = rows.select("p_partkey", words(rows))
-    idf = names.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n")))).select("term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
-    queries = rows.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("k").alias("q"), "p_name", "p_type")
-    asked = queries.select("query_id", words(queries)).join(idf, "term")
-    scores = asked.join(names, "term").groupBy("query_id", "p_partkey").agg(F.round(F.sum("idf"), 6).alias("score"))
-    order = [F.desc("score"), F.asc("p_partkey")]
-    by_code = C.related(queries.select("query_id", "q"), rows.select("p_partkey", "k"), "q", "k").select("query_id", "p_partkey", "relation")
-    pool = R.top_k(scores, "query_id", order, 40).select("query_id", "p_partkey")
-    same_branch = queries.select("query_id", F.substring("q", 1, 2).alias("b")).join(rows.select("p_partkey", F.substring("k", 1, 2).alias("b")), "b").select("query_id", "p_partkey")
-    branch = R.top_k(same_branch.join(scores, ["query_id", "p_partkey"], "left").fillna(0.0, ["score"]), "query_id", order, 12).select("query_id", "p_partkey")
-    wanted = pool.union(branch).union(by_code.where("relation = 0").select("query_id", "p_partkey"))
-    has = by_code.where("relation >= 0").select("query_id").distinct()
-    above = by_code.where("relation < 0").join(has, "query_id", "left_anti")
-    nearest = above.groupBy("query_id").agg(F.max("relation").alias("relation"))
-    wanted = wanted.union(above.join(nearest, ["query_id", "relation"]).select("query_id", "p_partkey")).distinct()
-    hits = wanted.join(scores, ["query_id", "p_partkey"], "left").fillna(0.0, ["score"]).join(by_code, ["query_id", "p_partkey"], "left")
-    ranked = R.top_k(R.code_tiers(hits), "query_id", [F.asc("tier"), *order], 10)
+    rows = R.with_class(_codes(spark, sf_dir).withColumn("k", C.digits(F.col("code"))), T.tokens(F.concat_ws(" ", "p_name", "p_type"))).select("p_partkey", "k", "cls")
+    queries = rows.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("k").alias("q"), F.col("cls").alias("qcls"))
+    scores = store.stored(R.class_scores(queries, rows).drop("matched"), "scores")
+
+    def best(q_group: Column, group: Column, k: int, fill: bool) -> DataFrame:
+        """The best k parts of each query's group."""
+        mine = queries.withColumn("grp", q_group)
+        found = R.best_in_groups(mine, rows.select("p_partkey", "cls", group.alias("grp")), scores, "p_partkey", ["score"], k, fill)
+        return mine.select("query_id", "qcls", "grp").join(found, ["qcls", "grp"]).select("query_id", "p_partkey")
+
+    prefix = lambda c: F.substring(c, 1, 2)
+    # of exact codes no more than the ten that can be returned
+    wanted = best(F.lit(0), F.lit(0), 40, False).union(best(prefix("q"), prefix("k"), 12, True)).union(best(F.col("q"), F.col("k"), 10, True))
+    keys = rows.select("k").distinct()
+    has = keys.select(F.explode(C.key_prefixes(F.col("k"), 1)).alias("q")).distinct()
+    up = queries.join(has, "q", "left_anti").select("query_id", F.explode(C.key_prefixes(F.col("q"), 1)).alias("k")).join(keys, "k")
+    nearest = up.groupBy("query_id").agg(F.max_by("k", F.length("k")).alias("k"))
+    wanted = wanted.union(nearest.join(rows, "k").select("query_id", "p_partkey")).distinct()
+    hits = wanted.join(queries, "query_id").join(rows, "p_partkey").join(scores, ["qcls", "cls"], "left").fillna(0.0, ["score"])
+    relation = F.when(F.startswith("k", F.col("q")) | F.startswith("q", F.col("k")), (F.length("k") - F.length("q")).cast("bigint"))
+    ranked = R.top_k(R.code_tiers(hits.select("query_id", "p_partkey", "score", relation.alias("relation"))), "query_id", [F.asc("tier"), F.desc("score"), F.asc("p_partkey")], 10)
     return ranked.select("query_id", "p_partkey", F.col("tier").cast("bigint").alias("tier"), "score", "rank")
 
 

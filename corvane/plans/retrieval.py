@@ -249,12 +249,11 @@ SELECT query_id, doc_id, source, rank, row_number() OVER (PARTITION BY query_id
 def name_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts whose names share words with a part's own type and name: by matched words, then summed idf."""
     part = table(spark, sf_dir, "part")
-    names = part.select(F.col("p_partkey").alias("code"), F.explode(F.array_distinct(tokens(F.col("p_name")))).alias("term"))
-    n = part.agg(F.count(F.lit(1)).alias("n"))
-    idf = names.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
-    asked = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.explode(F.array_distinct(tokens(F.concat_ws(" ", "p_name", "p_type")))).alias("term"))
-    found = asked.join(idf, "term").join(names, "term").groupBy("query_id", "code").agg(F.count(F.lit(1)).alias("matched"), F.round(F.sum("idf"), 6).alias("score"))
-    return R.top_k(found, "query_id", [F.desc("matched"), F.desc("score"), F.asc("code")], 5).select("query_id", "code", "matched", "score", "rank")
+    names = R.with_class(part, tokens(F.col("p_name"))).select(F.col("p_partkey").alias("code"), "cls", F.lit(0).alias("grp"))
+    asked = R.with_class(part.where("p_partkey % 20 = 0"), tokens(F.concat_ws(" ", "p_name", "p_type")), "qcls").select(F.col("p_partkey").alias("query_id"), "qcls", F.lit(0).alias("grp"))
+    found = R.best_in_groups(asked, names, R.class_scores(asked, names), "code", ["matched", "score"], 5)
+    both = asked.join(found, ["qcls", "grp"])
+    return R.top_k(both, "query_id", [F.desc("matched"), F.desc("score"), F.asc("code")], 5).select("query_id", "code", "matched", "score", "rank")
 
 
 SUGGEST_SQL = f"""WITH names AS (SELECT p_partkey AS code, unnest(list_distinct({TOK.format('p_name')})) AS term FROM part),
