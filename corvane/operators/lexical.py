@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.stems import stemmed
 from corvane.functions.text import tokens
-from corvane.operators.retrieval import B, K1, MOST_TERMS
+from corvane.operators.retrieval import B, K1, MOST_TERMS, stems_of
 from corvane.sources import store
 
 #: Postings in one file of a bucket, about; asked terms that are named in the scan's filter at most.
@@ -85,8 +85,7 @@ class Index:
         # the empty term stands once in each document: its postings are the documents
         words = words.select("scope", "version", "doc_id", F.size("_w").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_w")).alias("term"))
         if self.stem:
-            stems = store.stored(words.select(F.col("term").alias("_word")).distinct().withColumn("term", stemmed(F.col("_word"), self.stem)), "stems")
-            words = words.withColumnRenamed("term", "_word").join(stems, "_word").drop("_word")
+            words = words.withColumnRenamed("term", "_word").join(stems_of(words, self.stem), "_word").drop("_word")
         postings = words.groupBy("scope", "version", "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", self._term_bucket(F.col("term")))
         size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
         files = max(1, round(size / 6 / self.buckets / FILE_ROWS))

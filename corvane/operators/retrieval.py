@@ -17,6 +17,14 @@ K1, B = 1.2, 0.75
 BLOCK, QUERIES, MOST_TERMS = 4096, 1024, 500_000
 
 
+def stems_of(words: DataFrame, stem: str) -> DataFrame:
+    """_word and term (its stem) for the distinct terms of ``words``, stored, so that each word is stemmed once."""
+    distinct = words.select(F.col("term").alias("_word")).distinct()
+    # a table of words is small in bytes, so Spark would stem it in one task; each word costs much more than it weighs
+    spread = distinct.repartition(max(1, words.sparkSession.sparkContext.defaultParallelism))
+    return store.stored(spread.withColumn("term", stemmed(F.col("_word"), stem)), "stems")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str = "text", stem: str | None = None) -> DataFrame:
     """BM25 scores of all documents that share a term with a query: query id, doc id, score.
 
@@ -37,8 +45,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text:
     words = docs.select(F.col(doc_id), tokens(F.col(text)).alias("_w")).select(doc_id, F.size("_w").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_w")).alias("term"))
     vocabulary = asked.select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
     if stem:
-        stems = words.select(F.col("term").alias("_word")).distinct().withColumn("term", stemmed(F.col("_word"), stem))
-        known = store.stored(stems.join(small(vocabulary), "term", "left_semi"), "stems")
+        known = store.stored(stems_of(words, stem).join(small(vocabulary), "term", "left_semi"), "stems")
         held = F.broadcast if known.limit(MOST_TERMS + 1).count() <= MOST_TERMS else lambda df: df
         found = words.withColumnRenamed("term", "_word").join(held(known), "_word").drop("_word")
     else:
