@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import dialog as D
+from corvane.functions import facts as S
 from corvane.operators import evaluation as E
 from corvane.plans.retrieval import KNN_CTE, _knn
 from corvane.sources.tables import table
@@ -121,7 +122,39 @@ def self_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SELF_SQL = f"WITH {KNN_CTE} SELECT rank, count(*) AS n FROM (SELECT query_id, min(CASE WHEN item_id = query_id THEN rank END) AS rank FROM near WHERE rank <= 10 GROUP BY 1) GROUP BY rank"
 
+
+LICENSE_LINE, MAIL, NUMBER = r"^\s*(?:Released|Licensed) under (?:the )?([^\n]+)$", r"^.*?([A-Za-z0-9.]+@[A-Za-z0-9.]+)", r"([0-9]+(?:[.,][0-9]+)?)"
+
+
+def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document's text states: its license line, its first mail address, its numbers (largest first), two marks."""
+    found = S.facts(F.col("text"), LICENSE_LINE, MAIL, NUMBER, {"has_bars": " | ", "is_loud": "!!"})
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", found.alias("f"))
+    return rows.select("doc_id", F.col("f.threshold").alias("license"), F.col("f.exception").alias("mail"), F.array_join("f.points", " ").alias("numbers"), "f.has_bars", "f.is_loud")
+
+
+DOCUMENT_FACTS_SQL = rf"""WITH d AS (SELECT doc_id, text, list_distinct(regexp_extract_all(text, '{NUMBER}')) AS n FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, trim(regexp_extract(text, '(?m){LICENSE_LINE}', 1)) AS license, trim(regexp_extract(text, '(?m){MAIL}', 1)) AS mail,
+ array_to_string(list_transform(list_reverse_sort(list_transform(n, lambda x: {{'n': replace(x, ',', '.')::DOUBLE, 'x': x}})), lambda p: p.x), ' ') AS numbers, contains(text, ' | ') AS has_bars, contains(text, '!!') AS is_loud FROM d"""
+
+
+def page_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the article of each page names the title of the page before it in the site's order strictly, or shares a longer word."""
+    rows = table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "(?s)<article>(.*)</article>", 1).alias("text"))
+    both = rows.join(rows.select((F.col("page_id") + 1).alias("page_id"), F.col("title").alias("other")), "page_id", "left")
+    number = F.col("page_id").cast("string")
+    return both.select("page_id", S.attributed(F.col("text"), number, F.col("title")).alias("own"), S.attributed(F.col("text"), number, F.col("other")).alias("others"), S.on_subject(F.col("text"), F.col("other")).alias("loosely"))
+
+
+PAGE_ATTRIBUTION_SQL = r"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS text FROM pages WHERE html IS NOT NULL),
+b AS (SELECT p.*, o.title AS other FROM p LEFT JOIN p o ON o.page_id + 1 = p.page_id),
+t AS (SELECT page_id, text, lower(regexp_replace(replace(text, chr(160), ' '), '\s+', ' ', 'g')) AS low, lower(trim(regexp_replace(replace(title, chr(160), ' '), '\s+', ' ', 'g'), ' ,;')) AS title, lower(trim(regexp_replace(replace(other, chr(160), ' '), '\s+', ' ', 'g'), ' ,;')) AS other FROM b),
+w AS (SELECT *, list_filter(regexp_extract_all(other, '\p{L}+'), lambda x: length(x) >= 6) AS w FROM t)
+SELECT page_id, coalesce(title <> '' AND contains(low, title), false) AS own, coalesce(other <> '' AND contains(low, other), false) AS others, coalesce(len(list_filter(w, lambda x: contains(lower(text), x))) > 0, false) AS loosely FROM w"""
+
 QUERIES = {
+    "document_facts": (document_facts, DOCUMENT_FACTS_SQL),
+    "page_attribution": (page_attribution, PAGE_ATTRIBUTION_SQL),
     "recall_mrr": (recall_mrr, RECALL_SQL),
     "recall_by_section": (recall_by_section, SECTION_SQL),
     "collisions": (collisions, COLLISION_SQL),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import diff
 from corvane.operators import integrity as I
+from corvane.operators import parsers
 from corvane.sources import store
 from corvane.sources.tables import table
 
@@ -217,7 +218,22 @@ c AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS t FROM l)
 SELECT page_id, 0 AS table_no, 0 AS row_no, 0 AS col_no, 'links' AS text, 0 AS cell_no, false AS covered FROM l UNION ALL SELECT page_id, 0, 1, 0, '', 0, true FROM l
 UNION ALL SELECT page_id, 0, CASE WHEN i <= 3 THEN 0 ELSE 1 END, CASE WHEN i <= 3 THEN i ELSE i - 3 END, trim(regexp_replace(t, '\\s+', ' ', 'g')), i, false FROM c"""
 
+
+def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of all documents (prose, or lines with bars) and pages by the parser of their kind."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.when(F.contains(F.col("text"), F.lit("|")), "bars").otherwise("prose").alias("doc_type"), "text")
+    pages = table(spark, sf_dir, "pages").where("html IS NOT NULL").select(F.concat(F.lit("p"), "page_id").alias("id"), F.lit("page").alias("doc_type"), F.col("html").alias("text"))
+    return parsers.parsed(docs.union(pages), "doc_type", "text").select("id", "part_no", "point", "kind", F.sha1("part").alias("digest"))
+
+
+PARSED_SQL = r"""WITH l AS (SELECT 'd' || doc_id AS id, contains(text, '|') AS bars, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
+r AS (SELECT id, n, contains(line, '|') AS is_row, CASE WHEN contains(line, '|') THEN array_to_string(list_transform(string_split(trim(trim(line), '|'), '|'), lambda c: trim(c)), chr(9)) ELSE trim(line) END AS part FROM l WHERE trim(line) <> ''),
+h AS (SELECT 'p' || page_id AS id, unnest(list_concat(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>'), regexp_extract_all(html, '<h1>[^<]*</h1>'))) AS m, generate_subscripts(list_concat(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>'), regexp_extract_all(html, '<h1>[^<]*</h1>')), 1) AS n FROM pages WHERE html IS NOT NULL)
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY n))::INTEGER AS part_no, n::VARCHAR AS point, CASE WHEN is_row THEN 'row' ELSE 'line' END AS kind, sha1(part) AS digest FROM r
+UNION ALL SELECT id, n::INTEGER, CASE WHEN m LIKE '<h1>%' THEN 'h1' ELSE regexp_extract(m, 'href="([^"]*)"', 1) END, CASE WHEN m LIKE '<h1>%' THEN 'heading' ELSE 'link' END, sha1(regexp_extract(m, '>([^<>]*)</', 1)) FROM h"""
+
 QUERIES = {
+    "parsed_documents": (parsed_documents, PARSED_SQL),
     "multiset_diff": (multiset_diff, MULTISET_SQL),
     "except_all": (except_all, EXCEPT_SQL),
     "set_changes": (set_changes, CHANGES_SQL),
