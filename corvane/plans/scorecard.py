@@ -132,8 +132,8 @@ SELECT lang, n::BIGINT AS n, good::BIGINT AS good, round(greatest(0, (p + {_W} *
 
 def pct_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank percentiles of the values of each kind of event."""
-    _events(spark, sf_dir).createOrReplaceTempView("_pct_events")
-    return spark.sql("SELECT event_type, percentile_disc(0.5D) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.95D) WITHIN GROUP (ORDER BY value) AS p95, percentile_disc(0.99D) WITHIN GROUP (ORDER BY value) AS p99, count(value) AS n FROM _pct_events GROUP BY event_type")
+    at = lambda share, name: F.expr(f"percentile_disc({share}D) WITHIN GROUP (ORDER BY value)").alias(name)
+    return _events(spark, sf_dir).groupBy("event_type").agg(at(0.5, "p50"), at(0.95, "p95"), at(0.99, "p99"), F.count("value").alias("n"))
 
 
 PCT_SQL = "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, count(value) AS n FROM events GROUP BY event_type"
