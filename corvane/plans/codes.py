@@ -159,7 +159,7 @@ def capped_intros(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CAPPED_SQL = f"""WITH RECURSIVE {CODES}, n AS (SELECT code, count(*) AS n, min(p_name) AS name FROM codes GROUP BY code),
 up AS (SELECT p_partkey, code AS here, 0 AS step, NULL::VARCHAR AS intro FROM codes
- UNION ALL SELECT p_partkey, regexp_replace(here, '\.[^.]*$', ''), step + 1, CASE WHEN n.n = 1 AND length(name) <= 30 THEN name END FROM up LEFT JOIN n ON n.code = regexp_replace(here, '\.[^.]*$', '') WHERE contains(here, '.') AND coalesce(n.n, 1) = 1)
+ UNION ALL SELECT p_partkey, regexp_replace(here, '\\.[^.]*$', ''), step + 1, CASE WHEN n.n = 1 AND length(name) <= 30 THEN name END FROM up LEFT JOIN n ON n.code = regexp_replace(here, '\\.[^.]*$', '') WHERE contains(here, '.') AND coalesce(n.n, 1) = 1)
 SELECT c.p_partkey, c.code, arg_min(intro, step) FILTER (WHERE intro IS NOT NULL) AS parent_intro, coalesce(string_agg(intro, ' > ' ORDER BY step DESC) || ' > ', '') || any_value(p_name) AS index_text
 FROM codes c JOIN up USING (p_partkey) GROUP BY ALL"""
 
