@@ -374,6 +374,14 @@ def test_urls(spark):
     assert [tuple(r) for r in url_reputation.with_levels(hosts).select("suffix", "domain").collect()] == [("co.uk", "a.co.uk"), ("com.br", "a.com.br"), ("org", "example.org"), ("x", "x"), ("", "")]
 
 
+def test_url_rules_are_those_of_the_contract(spark, tmp_path):
+    urls = ["http://a.net/de/7", "http://example.net/de/7", "http://sub.example.net/de/81", "http://a.com/en/", "http://example.com/en/7", "http://b.org/es/"]
+    spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_reputation.op7_url_reputation(spark, str(tmp_path)).collect()}
+    assert got == {0: ("net/de/", "allow"), 1: ("net/de/", "allow"), 2: ("example.net/de/8", "block"), 3: ("com/en/", "block"), 4: ("example.com/en/7", "allow"), 5: ("org/es/", "block")}
+
+
 def test_repeated_and_null_rows_keep_their_place(spark, docs):
     """Twice the same rows give twice the same results; rows without an id are kept where the docstring says so."""
     twice = [*docs[:20], *docs[:20]]
