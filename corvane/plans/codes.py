@@ -198,11 +198,14 @@ def threshold_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _codes(spark, sf_dir)
     asked = rows.select(F.col("p_partkey").alias("query_id"), "code", "p_name", "p_type")
     offers = rows.where("p_partkey % 7 < 2").select(F.col("code").alias("o_code"), F.col("p_name").alias("o_name"), F.col("p_type").alias("o_type"), "p_retailprice")
-    one = offers.join(asked, (F.col("o_name") == F.col("p_name")) & (F.col("o_type") == F.col("p_type")) & (F.col("o_code") == F.col("code"))).select("query_id", F.lit(1).alias("way"), "p_retailprice")
-    two = offers.join(asked, F.col("o_code") == F.col("code")).select("query_id", F.lit(2).alias("way"), "p_retailprice")
+    # a way counts where it gives one offer alone, so offers are counted by what they are asked by before they meet the queries
+    lone = lambda *by: offers.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("p_retailprice").alias("value")).where("n = 1")
+    by_code = lone("o_code")
+    one = lone("o_code", "o_name", "o_type").join(asked, (F.col("o_name") == F.col("p_name")) & (F.col("o_type") == F.col("p_type")) & (F.col("o_code") == F.col("code"))).select("query_id", F.lit(1).alias("way"), "value")
+    two = by_code.join(asked, F.col("o_code") == F.col("code")).select("query_id", F.lit(2).alias("way"), "value")
     above = asked.withColumn("o_code", F.regexp_replace("code", r"\.[^.]*$", "")).where("o_code <> code")
-    three = offers.join(above, "o_code").select("query_id", F.lit(3).alias("way"), "p_retailprice")
-    found = one.union(two).union(three).groupBy("query_id", "way").agg(F.count(F.lit(1)).alias("n"), F.min("p_retailprice").alias("value")).where("n = 1")
+    three = by_code.join(above, "o_code").select("query_id", F.lit(3).alias("way"), "value")
+    found = one.union(two).union(three)
     best = found.groupBy("query_id").agg(F.min(F.struct("way", "value")).alias("b"))
     return asked.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("b.way", F.lit(0)).cast("bigint").alias("way"), "b.value")
 
