@@ -128,7 +128,8 @@ LICENSE_LINE, MAIL, NUMBER = r"^\s*(?:Released|Licensed) under (?:the )?([^\n]+)
 
 def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document's text states: its license line, its first mail address, its numbers (largest first), two marks."""
-    found = S.facts(F.col("text"), LICENSE_LINE, MAIL, NUMBER, {"has_bars": " | ", "is_loud": "!!"})
+    # Java's \s holds the vertical tab too
+    found = S.facts(F.col("text"), LICENSE_LINE.replace(r"\s", r"[\t\n\f\r ]"), MAIL, NUMBER, {"has_bars": " | ", "is_loud": "!!"})
     rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", found.alias("f"))
     return rows.select("doc_id", F.col("f.threshold").alias("license"), F.col("f.exception").alias("mail"), F.array_join("f.points", " ").alias("numbers"), "f.has_bars", "f.is_loud")
 

@@ -7,21 +7,19 @@ PART = "p_partkey bigint, p_name string, p_brand string, p_type string, p_size i
 
 
 def most_joined(df) -> int:
-    """The largest number of rows that a join of the query made."""
-    df.collect()
+    """The largest number of rows that a join of the query made. Planned once, as adaptive plans drop joins that turn out empty."""
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        df.collect()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.enabled")
 
     def walk(plan):
-        kind = plan.getClass().getSimpleName()
-        if kind == "AdaptiveSparkPlanExec":
-            yield from walk(plan.executedPlan())
-        elif kind.endswith("QueryStageExec"):
-            yield from walk(plan.plan())
-        else:
-            if "Join" in plan.nodeName() and plan.metrics().contains("numOutputRows"):
-                yield plan.metrics().apply("numOutputRows").value()
-            children = plan.children()
-            for i in range(children.size()):
-                yield from walk(children.apply(i))
+        if "Join" in plan.nodeName():
+            yield plan.metrics().apply("numOutputRows").value()
+        children = plan.children()
+        for i in range(children.size()):
+            yield from walk(children.apply(i))
 
     return max(walk(df._jdf.queryExecution().executedPlan()), default=0)
 

@@ -71,3 +71,15 @@ def test_attribution(spark):
     df = spark.createDataFrame(rows, "text string, number string, title string, want boolean")
     got = df.select("want", facts.attributed(F.col("text"), F.col("number"), F.col("title")).alias("strict"), facts.on_subject(F.col("text"), F.col("title")).alias("loose")).collect()
     assert [r.strict for r in got] == [r.want for r in got] and [r.loose for r in got] == [False, False, False, True, True, False, False]
+
+
+def test_document_facts_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
+    from corvane.plans import evaluation
+    from tests.compare import compare, oracle
+
+    texts = ["id 123456789012345678901234567890 and 5, 6", "0.12345678901234567 9,12345678901 1.5 1,5 01.5", "1" * 400 + " 7 " + "9" * 308, "Licensed under MIT\r\nx a@b.c"]
+    texts += ["a\rLicensed under X\u2028y", "\x0bLicensed under Q", "Licensed under \u2003X\u00a0\n", "\u0085me@x.y", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    query, sql = evaluation.QUERIES["document_facts"]
+    ok, said = compare(spark, oracle(str(tmp_path)), "document_facts", query, sql, str(tmp_path))
+    assert ok, said
