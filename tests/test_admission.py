@@ -43,6 +43,19 @@ def test_caps_together(spark):
     assert admission.admitted(df.limit(0), CAPS).count() == 0
 
 
+def test_many_blocks_of_time(spark):
+    """Blocks of few requests, so that places and refunds pass their borders; few rounds even so."""
+    rows = requests(3, 400)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    with_rounds = []
+    whole, admission._round = admission._round, lambda *a: (with_rounds.append(1), whole(*a))[1]
+    try:
+        got = {r.event_id: r.verdict for r in admission.admitted(df, CAPS, block=40).collect()}
+    finally:
+        admission._round = whole
+    assert got == sequential(rows) and len(with_rounds) <= 9
+
+
 def test_stream_equals_the_whole(spark, tmp_path):
     rows = sorted(requests(2, 75), key=lambda r: (r[1], r[0]))
     for n, lo in enumerate(range(0, 75, 25)):
