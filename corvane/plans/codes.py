@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corvane.operators import codes as C
 from corvane.operators import retrieval as R
 from corvane.operators import tree
+from corvane.sources import store
 from corvane.sources.tables import table
 
 CODES = """codes AS (SELECT p_partkey, p_name, p_type, p_retailprice, CASE p_partkey % 3 WHEN 0 THEN b WHEN 1 THEN b || '.' || s ELSE b || '.' || s || '.' || (p_partkey % 10) END AS code
@@ -48,17 +49,32 @@ SELECT query_id, code, length(k) - length(q) AS relation FROM q JOIN k ON starts
 
 
 def code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code-boosted search: matches by code in tiers before matches by price alone, in a total order, ten a query."""
+    """Code-boosted search: matches by code in tiers before matches by price alone, in a total order, ten a query.
+
+    Tiers are a matter of codes, so codes are compared, not parts. Of the parts of a code, of those below it and of those of a type, a
+    query meets the nearest by price, and only in the tiers that those before them don't fill.
+    """
     rows = _codes(spark, sf_dir).withColumn("k", C.digits(F.col("code")))
     asked = rows.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("k").alias("q"), F.col("p_retailprice").alias("want"), "p_type")
-    by_code = C.related(asked, rows.select("p_partkey", "code", "k", "p_retailprice"), "q", "k").select("query_id", "want", "p_partkey", "code", "p_retailprice", "relation")
-    # prices in steps of two: what is at most two apart lies in the same or a neighbouring step
-    step = lambda price: F.floor(F.col(price) / 2).cast("bigint")
-    near = asked.withColumn("step", F.explode(F.array(step("want") - 1, step("want"), step("want") + 1)))
-    by_type = near.join(rows.select("p_partkey", "code", "k", "p_retailprice", "p_type", step("p_retailprice").alias("step")), ["p_type", "step"]).where("abs(p_retailprice - want) <= 2 AND NOT (startswith(k, q) OR startswith(q, k))")
-    hits = by_code.unionByName(by_type.select("query_id", "want", "p_partkey", "code", "p_retailprice", F.lit(None).cast("bigint").alias("relation")))
-    hits = R.code_tiers(hits.withColumn("gap", F.round(F.abs(F.col("p_retailprice") - F.col("want")), 4)))
-    return R.top_k(hits, "query_id", [F.asc("tier"), F.asc("gap"), F.asc("code"), F.asc("p_partkey")], 10).select("query_id", "p_partkey", "code", F.col("tier").cast("bigint").alias("tier"), "gap", "rank")
+    parts = rows.select("p_partkey", "code", "k", "p_retailprice", "p_type")
+    pairs = R.code_tiers(C.related(asked.select(F.col("q").alias("query_id")).distinct(), rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "query_id", "k")).withColumnRenamed("query_id", "q")
+    sizes = pairs.groupBy("q", "tier").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("q").orderBy("tier").rowsBetween(Window.unboundedPreceding, -1))
+    open_tiers = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where("before < 10").select("q", "tier")
+    pairs = store.stored(pairs.join(open_tiers, ["q", "tier"]).select("q", "k", "tier"), "codes")
+    full = sizes.where("tier < 3").groupBy("q").agg(F.sum("n").alias("n")).where("n >= 10").select("q")
+    # classes: the parts of a code (c), those below it (b), those of a type (t)
+    cls = lambda kind, name: F.concat(F.lit(kind), F.col(name))
+    held = parts.join(pairs.where("tier <> 1").select("k").distinct(), "k", "left_semi").withColumn("cls", cls("c", "k"))
+    held = held.unionByName(parts.join(pairs.where("tier = 1").select("q", "k"), "k").withColumn("cls", cls("b", "q")).drop("q"))
+    to_ask = pairs.select("q", "tier", F.when(F.col("tier") == 1, cls("b", "q")).otherwise(cls("c", "k")).alias("cls")).distinct()
+    hits = R.nearest_values(asked.drop("p_type").join(to_ask, "q"), held.drop("p_type"), 10, "p_retailprice", ["code", "p_partkey"])
+    # nine parts at most of the nearest of a type are in the tiers before, and those above the code by some levels are hits as such
+    lacking = asked.join(full, "q", "left_anti").where("want IS NOT NULL").select("query_id", "q", "want", F.lit(3).alias("tier"), cls("t", "p_type").alias("cls"))
+    by_type = R.nearest_values(lacking, parts.where("p_retailprice IS NOT NULL").withColumn("cls", cls("t", "p_type")).drop("p_type"), 20, "p_retailprice", ["code", "p_partkey"])
+    by_type = by_type.where("abs(p_retailprice - want) <= 2 AND NOT (startswith(k, q) OR startswith(q, k))")
+    hits = hits.unionByName(by_type).withColumn("gap", F.round(F.abs(F.col("p_retailprice") - F.col("want")), 4))
+    return R.top_k(hits, "query_id", [F.asc("tier"), F.asc_nulls_last("gap"), F.asc("code"), F.asc("p_partkey")], 10).select("query_id", "p_partkey", "code", F.col("tier").cast("bigint").alias("tier"), "gap", "rank")
 
 
 CODE_SEARCH_SQL = f"""WITH {CODES}, k AS (SELECT *, replace(code, '.', '') AS k FROM codes), q AS (SELECT p_partkey AS query_id, k AS q, p_retailprice AS want, p_type FROM k WHERE p_partkey % 20 = 0),

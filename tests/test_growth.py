@@ -38,3 +38,17 @@ def test_threshold_lookup_of_one_code(spark, tmp_path):
     path = parts(spark, tmp_path, [(3 * i, f"name {i % 40}", "Brand#7", "LARGE", 1, float(i)) for i in range(600)])
     df = codes.threshold_lookup(spark, path)
     assert most_joined(df) <= 3 * 600 and same_as_sql(df, "threshold_lookup", path)
+
+
+def test_code_search_of_one_type(spark, tmp_path):
+    """Many parts of few codes, prices that tie after rounding and some that are missing."""
+    price = lambda i: None if i % 97 == 0 else 900.0 + i % 7 + i % 5 * 0.00002
+    path = parts(spark, tmp_path, [(i, "name", f"Brand#{1 + i % 2}", "LARGE", 1 + i % 3, price(i)) for i in range(1200)])
+    df = codes.code_search(spark, path)
+    assert most_joined(df) <= 60 * 120 and same_as_sql(df, "code_search", path)
+
+
+def test_code_search_of_lone_codes(spark, tmp_path):
+    """Codes of one part or none, so that the tiers above and the type fill the answers."""
+    path = parts(spark, tmp_path, [(i, "name", f"Brand#{1 + i % 25}", f"T{i % 2}", 1 + i * 7 % 50, 900.0 + i % 40 / 4) for i in range(700)])
+    assert same_as_sql(codes.code_search(spark, path), "code_search", path)
