@@ -52,3 +52,9 @@ def test_code_search_of_lone_codes(spark, tmp_path):
     """Codes of one part or none, so that the tiers above and the type fill the answers."""
     path = parts(spark, tmp_path, [(i, "name", f"Brand#{1 + i % 25}", f"T{i % 2}", 1 + i * 7 % 50, 900.0 + i % 40 / 4) for i in range(700)])
     assert same_as_sql(codes.code_search(spark, path), "code_search", path)
+
+
+def test_target_selection_of_one_code(spark, tmp_path):
+    path = parts(spark, tmp_path, [(i, "name", "Brand#1", "LARGE", 1 + i % 2, 900.0 + i % 7) for i in range(900)])
+    df = codes.target_selection(spark, path)
+    assert most_joined(df) <= 45 * 120 and same_as_sql(df, "target_selection", path)
