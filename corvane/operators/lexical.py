@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.stems import stemmed
 from corvane.functions.text import tokens
-from corvane.operators.retrieval import B, K1, MOST_TERMS, stems_of
+from corvane.operators.retrieval import B, K1, MOST_TERMS, by_document, stems_of
 from corvane.sources import store
 
 #: Postings in one file of a bucket, about; asked terms that are named in the scan's filter at most.
@@ -81,15 +81,16 @@ class Index:
     def _write(self, rows: DataFrame, versions: dict[str, str]) -> dict[str, tuple[int, int]]:
         """Write the postings of some scopes; returns their numbers of documents and sums of lengths."""
         named = F.broadcast(self.spark.createDataFrame(sorted(versions.items()), "scope string, version string"))
-        words = rows.join(named, "scope").select("scope", "version", "doc_id", tokens(F.col("text")).alias("_w"))
+        # texts are dealt by document, so that terms are counted where they are cut; a version is named again when it is written
+        words = rows.join(named, "scope").repartition("doc_id").select("scope", "doc_id", tokens(F.col("text")).alias("_w"))
         # the empty term stands once in each document: its postings are the documents
-        words = words.select("scope", "version", "doc_id", F.size("_w").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_w")).alias("term"))
+        words = words.select("scope", "doc_id", F.size("_w").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_w")).alias("term"))
         if self.stem:
             words = words.withColumnRenamed("term", "_word").join(stems_of(words, self.stem), "_word").drop("_word")
-        postings = words.groupBy("scope", "version", "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", self._term_bucket(F.col("term")))
+        postings = words.groupBy("scope", "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", self._term_bucket(F.col("term")))
         size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
         files = max(1, round(size / 6 / self.buckets / FILE_ROWS))
-        dealt = postings.repartition("scope", "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(files))).sortWithinPartitions("scope", "version", "bucket", "term", "doc_id")
+        dealt = postings.repartition("scope", "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(files))).join(named, "scope").sortWithinPartitions("scope", "version", "bucket", "term", "doc_id")
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scope", "version", "bucket").parquet(f"{self.path}/postings")
         stats = self._postings().where(F.col("version").isin(sorted(versions.values())) & (F.col("bucket") == self._number("")) & (F.col("term") == ""))
         return {r["scope"]: (r["n"], r["s"]) for r in stats.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").cast("bigint").alias("s")).collect()}
@@ -137,6 +138,7 @@ class Index:
         weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(sum_dl / n_docs)))
         if keep is not None:
             found = found.join(keep.select(F.col("doc_id")).distinct(), "doc_id", "left_semi")
+        found = by_document(found, "doc_id", n_docs, queries.count())  # postings are fewer than the pairs that they score
         scored = found.join(small(asked.join(df.select("term", idf.alias("idf")), "term")), "term")
         return scored.groupBy(query_id, "doc_id").agg(F.sum(weight * F.col("idf") * F.col("qtf")).alias("score"))
 
