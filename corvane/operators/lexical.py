@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.stems import stemmed
 from corvane.functions.text import tokens
-from corvane.operators.retrieval import B, K1, MOST_TERMS, by_document, stems_of
+from corvane.operators.retrieval import B, K1, MOST_TERMS, best_scored, by_document, numbered, stems_of
 from corvane.sources import store
 
 #: Postings in one file of a bucket, about; asked terms that are named in the scan's filter at most.
@@ -114,8 +114,12 @@ class Index:
         for n in self._manifests()[:-1]:
             store.delete(self.spark, f"{self.path}/manifest/n{n}")
 
-    def bm25(self, queries: DataFrame, query_id: str, text: str = "text", keep: DataFrame | None = None) -> DataFrame:
-        """BM25 scores: query id, doc_id, score. ``keep`` (doc_id) restricts the documents, not the corpus' counts."""
+    def bm25(self, queries: DataFrame, query_id: str, text: str = "text", keep: DataFrame | None = None, best: int | None = None, digits: int = 6, groups: DataFrame | None = None) -> DataFrame:
+        """BM25 scores: query id, doc_id, score. ``keep`` (doc_id) restricts the documents, not the corpus' counts.
+
+        ``best`` and ``digits`` are those of ``retrieval.bm25``; with ``groups`` (doc_id, g: one int for each document) what can be among
+        the best of each group is returned.
+        """
         live = self.live()
         asked = queries.select(F.col(query_id), F.explode(tokens(F.col(text))).alias("term"))
         if self.stem:
@@ -138,9 +142,16 @@ class Index:
         weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(sum_dl / n_docs)))
         if keep is not None:
             found = found.join(keep.select(F.col("doc_id")).distinct(), "doc_id", "left_semi")
+        if best and few:
+            of_terms, of_queries, pairs = numbered(asked, query_id)
+            weights = found.join(F.broadcast(df.select("term", idf.alias("idf")).join(F.broadcast(of_terms), "term")), "term").select("doc_id", "t", (weight * F.col("idf")).alias("w"))
+            if groups is not None:  # a document's group comes as a row of its own, as a join behind the shuffle may part its rows
+                weights = weights.unionByName(groups.select("doc_id", F.lit(-1).alias("t"), F.col("g").cast("double").alias("w")))
+            return best_scored(by_document(weights, "doc_id", n_docs, queries.count()), pairs, of_queries, "doc_id", query_id, best, digits)
         found = by_document(found, "doc_id", n_docs, queries.count())  # postings are fewer than the pairs that they score
         scored = found.join(small(asked.join(df.select("term", idf.alias("idf")), "term")), "term")
-        return scored.groupBy(query_id, "doc_id").agg(F.sum(weight * F.col("idf") * F.col("qtf")).alias("score"))
+        scored = scored.groupBy(query_id, "doc_id").agg(F.sum(weight * F.col("idf") * F.col("qtf")).alias("score"))
+        return scored.withColumn("score", F.round("score", digits)) if best else scored
 
 
 def of_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: str = "scope") -> Index:

@@ -26,7 +26,7 @@ bm AS (SELECT item_id, doc_id, sum(qtf * ln(1 + (n_docs - df + 0.5::DOUBLE) / (d
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents of every benchmark passage by BM25."""
-    scored = R.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    scored = R.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", best=5)
     best = R.top_k(scored.withColumn("score", F.round("score", 6)), "item_id", [F.desc("score"), F.asc("doc_id")], 5)
     return best.select("item_id", "doc_id", "score", "rank")
 
@@ -42,7 +42,7 @@ def _first_five(scored: DataFrame) -> DataFrame:
 def indexed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from the stored index of the documents."""
     index = lexical.of_table(table(spark, sf_dir, "documents"), scope="source")
-    return _first_five(index.bm25(table(spark, sf_dir, "benchmark"), "item_id"))
+    return _first_five(index.bm25(table(spark, sf_dir, "benchmark"), "item_id", best=5))
 
 
 def refreshed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +56,12 @@ def refreshed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.refresh(docs.where("scope = 'src3'"), gone=["copies"])
     index.refresh(docs.where(late))
     index.refresh(docs.where("scope = 'src3'"))
-    return _first_five(index.bm25(table(spark, sf_dir, "benchmark"), "item_id"))
+    return _first_five(index.bm25(table(spark, sf_dir, "benchmark"), "item_id", best=5))
 
 
 def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents of every benchmark passage by BM25 over English stems (no SQL: DuckDB has no stems here)."""
-    scored = R.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", stem="english")
+    scored = R.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", stem="english", best=5)
     best = R.top_k(scored.withColumn("score", F.round("score", 6)), "item_id", [F.desc("score"), F.asc("doc_id")], 5)
     return best.select("item_id", "doc_id", "score", "rank")
 
@@ -149,7 +149,7 @@ def _hybrid_lists(spark: SparkSession, sf_dir: str, depth: int, keep: str) -> Da
     """
     all_docs, passages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     docs = all_docs.where(keep)
-    sparse = lexical.of_table(all_docs, scope="source").bm25(passages, "item_id", keep=None if keep == "true" else docs.select("doc_id"))
+    sparse = lexical.of_table(all_docs, scope="source").bm25(passages, "item_id", keep=None if keep == "true" else docs.select("doc_id"), best=depth, digits=9)
     sparse = sparse.select(F.col("item_id").alias("query_id"), F.lit("sparse").alias("list_id"), F.col("doc_id").alias("item_id"), F.round("score", 9).alias("score"))
     sparse = R.top_k(sparse, "query_id", [F.desc("score"), F.asc("item_id")], depth).drop("rank")
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
@@ -230,7 +230,7 @@ SELECT query_id, label, round(sum(1.0::DOUBLE / (60 + rank)) / pow(max(n), 0.5),
 def quota_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve places for each passage: three for the main source, two for others in turn, then by rank; the main source's
     rows come first."""
-    scored = lexical.of_table(table(spark, sf_dir, "documents"), scope="source").bm25(table(spark, sf_dir, "benchmark"), "item_id")
+    scored = lexical.of_table(table(spark, sf_dir, "documents"), scope="source").bm25(table(spark, sf_dir, "benchmark"), "item_id", best=40)
     scored = scored.select(F.col("item_id").alias("query_id"), "doc_id", F.round("score", 6).alias("score"))
     ranked = R.top_k(scored, "query_id", [F.desc("score"), F.asc("doc_id")], 40).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     quota = F.when(F.col("source") == "src0", 3).when(F.col("source") == "src1", 0).otherwise(2)

@@ -14,3 +14,34 @@ def test_scored_pairs_are_dealt_by_document(spark, tmp_path, monkeypatch):
     for scored in (retrieval.bm25(docs, asked, "doc_id", "item_id"), index.bm25(asked, "item_id")):
         assert scored.rdd.getNumPartitions() == 60  # 300 documents, 20 queries, 100 pairs each
         assert {(r[0], r[1]): round(r[2], 9) for r in scored.collect()} == plain
+
+
+def firsts(scored, k):
+    best = retrieval.top_k(scored.withColumn("score", F.round("score", 6)), "item_id", [F.desc("score"), F.asc("doc_id")], k)
+    return sorted((r.item_id, r.rank, r.doc_id, r.score) for r in best.collect())
+
+
+def test_best_are_the_first_of_all(spark, tmp_path, monkeypatch):
+    """Copies that tie, a document and a query without terms, blocks and tiles of a few rows, documents in groups; no joined pairs."""
+    text = F.expr("CASE WHEN id = 5 THEN NULL WHEN id % 4 = 0 THEN 'copy word w1' ELSE concat('word w', id % 7, ' x', id % 11, ' word y', id) END")
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), text.alias("text"), (F.col("id") % 3).cast("string").alias("scope"))
+    asked = spark.range(20).select(F.col("id").alias("item_id"), F.expr("CASE WHEN id = 3 THEN '' ELSE concat('word w', id % 7, ' y', id, ' copy') END").alias("text"))
+    index = lexical.Index(spark, str(tmp_path / "index"), buckets=2)
+    index.refresh(docs)
+    plain = retrieval.bm25(docs, asked, "doc_id", "item_id")
+    kinds = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("g"))
+    odd = lambda df: firsts(df.where("doc_id % 2 = 1"), 4)
+    want, want_odd = firsts(plain, 4), odd(plain)
+    for rows, cells, tile in ((500_000, 2_000_000, 512), (7, 30, 2)):
+        monkeypatch.setattr(retrieval, "ROWS", rows)
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        monkeypatch.setattr(retrieval, "DOCS", tile)
+        monkeypatch.setattr(retrieval, "TERMS", tile)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5 if rows == 7 else 10_000)
+        best = retrieval.bm25(docs, asked, "doc_id", "item_id", best=4)
+        grouped = index.bm25(asked, "item_id", best=4, groups=kinds)
+        assert firsts(best, 4) == firsts(index.bm25(asked, "item_id", best=4), 4) == firsts(grouped, 4) == want and odd(grouped) == want_odd
+        assert rows == 7 or best.count() <= 20 * 4 * best.rdd.getNumPartitions() < plain.count()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(retrieval, "MOST_TERMS", 0)
+    assert firsts(retrieval.bm25(docs, asked, "doc_id", "item_id", best=4), 4) == want
