@@ -12,6 +12,7 @@ edition is one insertion or deletion; repeated places are an error of the input
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -93,29 +94,42 @@ def opcodes(old: DataFrame, new: DataFrame) -> DataFrame:
     side = lambda n: F.col("side") == n
     once = both.groupBy("pair", "line").agg(*[F.count_if(side(n)).alias(f"n{n}") for n in (0, 1)], *[F.min(F.when(side(n), F.col("place"))).cast("bigint").alias(f"p{n}") for n in (0, 1)])
 
-    def chained(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("p0")
-        kept = longest_chain(rows.column("p0").to_pylist(), rows.column("p1").to_pylist())
-        return rows.take(pa.array(kept, pa.int64()))
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [(i, j, longest_chain(i, j)) for i, j in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True)]
+            sides = [pa.array([[x[k][n] for n in x[2]] for x in both], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("pair"), *sides], ["pair", "i", "j"])
 
+    # pairs and chunks are small and many, so they are rows of a batch, not groups of their own
     pair = old.schema["pair"].dataType.simpleString()
-    anchors = once.where("n0 = 1 AND n1 = 1").select("pair", "p0", "p1").groupBy("pair").applyInArrow(chained, f"pair {pair}, p0 bigint, p1 bigint")
+    in_order = lambda c, of: F.transform(F.array_sort(F.collect_list(c)), lambda x: x[of])
+    lone = F.struct("p0", "p1")
+    lists = once.where("n0 = 1 AND n1 = 1").groupBy("pair").agg(in_order(lone, "p0").alias("i"), in_order(lone, "p1").alias("j"))
+    chains = lists.mapInArrow(chained, f"pair {pair}, i array<bigint>, j array<bigint>")
+    anchors = chains.select("pair", F.explode(F.arrays_zip("i", "j")).alias("_a")).select("pair", F.col("_a.i").alias("p0"), F.col("_a.j").alias("p1"))
     # an anchor begins a chunk on both sides
     marks = anchors.select("pair", F.posexplode(F.array("p0", "p1")).alias("side", "place")).withColumn("_anchor", F.lit(1))
     marked = both.withColumn("place", F.col("place").cast("bigint")).join(marks, ["pair", "side", "place"], "left")
     order = Window.partitionBy("pair", "side").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     chunks = marked.select("pair", "side", "place", "line", F.sum(F.coalesce("_anchor", F.lit(0))).over(order).alias("chunk"))
 
-    def diffed(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("side", "ascending"), ("place", "ascending")])
-        places, lines, sides = rows.column("place").to_pylist(), rows.column("line").to_pylist(), rows.column("side").to_pylist()
-        n = sides.count(0)
-        i0, j0 = (places[0] if n else 0), (places[n] if n < len(places) else 0)
-        ops = _runs(aligned(lines[:n], lines[n:]), n, len(lines) - n)
-        columns = [[o[0] for o in ops], *[[o[k] + base for o in ops] for k, base in ((1, i0), (2, i0), (3, j0), (4, j0))]]
-        return pa.table([rows.column("pair").slice(0, 1).take(pa.array([0] * len(ops), pa.int64())), *map(pa.array, columns)], names=["pair", "tag", "old_from", "old_to", "new_from", "new_to"])
-
-    ops = chunks.groupBy("pair", "chunk").applyInArrow(diffed, f"pair {pair}, tag string, old_from bigint, old_to bigint, new_from bigint, new_to bigint")
+    def diffed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, ops = [], []
+            for at, (i, j, n, a, b) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("i", "j", "n", "a", "b")], strict=True)):
+                runs = [("equal", 0, n, 0, n)] if a is None else _runs(aligned(a, b), len(a), len(b))
+                row += [at] * len(runs)
+                ops += [(tag, i + i0, i + i1, j + j0, j + j1) for tag, i0, i1, j0, j1 in runs]
+            columns = [pa.array([o[k] for o in ops], kind) for k, kind in enumerate([pa.string(), *[pa.int64()] * 4])]
+            yield pa.RecordBatch.from_arrays([batch.column("pair").take(pa.array(row, pa.int64())), *columns], ["pair", "tag", "old_from", "old_to", "new_from", "new_to"])
+
+    piece = lambda n: F.when(side(n), F.struct("place", "line"))
+    first = lambda n: F.coalesce(F.min(F.when(side(n), F.col("place"))), F.lit(0).cast("bigint"))
+    rows = chunks.groupBy("pair", "chunk").agg(first(0).alias("i"), first(1).alias("j"), in_order(piece(0), "line").alias("a"), in_order(piece(1), "line").alias("b"))
+    # chunks that are equal as wholes come without their lines
+    other = ~F.col("a").eqNullSafe(F.col("b"))
+    rows = rows.select("pair", "i", "j", F.size("a").cast("bigint").alias("n"), F.when(other, F.col("a")).alias("a"), F.when(other, F.col("b")).alias("b"))
+    ops = rows.mapInArrow(diffed, f"pair {pair}, tag string, old_from bigint, old_to bigint, new_from bigint, new_to bigint")
     # equal runs go on over the borders of chunks
     w = Window.partitionBy("pair").orderBy("old_from", "new_from", "old_to")
     goes_on = (F.col("tag") == "equal") & (F.lag("tag").over(w) == "equal") & (F.lag("old_to").over(w) == F.col("old_from")) & (F.lag("new_to").over(w) == F.col("new_from"))

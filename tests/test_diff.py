@@ -6,6 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from corvane.operators import diff
+from corvane.plans import integrity
+from tests.compare import oracle, rows
 
 
 def lcs(a, b):
@@ -101,3 +103,31 @@ def test_counts_by_section_as_the_standard_library_has_them(spark):
                     r, n = want.get((p, at.get(j1, "?")), (0, 0))
                     want[p, at.get(j1, "?")] = (r + i2 - i1, n)
     assert got == want
+
+
+def pages(spark, path):
+    """Editions of many small chunks: lines that both hold once, foreign ones between, one edition that is missing and one that is null."""
+    html = lambda p: None if p == 8 else "".join(f"<p>{i} {p // 2}" + (f"<b>{p % 2}" if i % 3 == 0 else "<i>same") for i in range(40))
+    spark.createDataFrame([(p, f"u{p}", html(p)) for p in range(21)], "page_id bigint, url string, html string").write.parquet(f"{path}/pages.parquet")
+    return str(path)
+
+
+def grouped_calls(df) -> int:
+    """Steps of the plan that call Python for each group."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsIn")
+
+
+def test_line_opcodes_call_python_by_batches(spark, tmp_path):
+    df = integrity.line_opcodes(spark, pages(spark, tmp_path))
+    got = sorted((r.pair, r.old_from, r.old_to, r.new_from, r.new_to, r.tag) for r in df.collect())
+    assert grouped_calls(df) == 0
+    one = [g[1:] for g in got if g[0] == 3]
+    assert [o for o in one if o[-1] == "replace"] == [(n, n + 1, n, n + 1, "replace") for n in range(1, 80, 6)] and len(one) == 28
+    assert [g for g in got if g[0] in (4, 10)] == [(4, 0, 0, 0, 80, "insert"), (10, 0, 80, 0, 0, "delete")]
+
+
+def test_null_lines_and_equal_chunks(spark):
+    sides = [[None, "a", None, "x", "x", "b"], [None, "a", None, "x", "y", "x", "b"]]
+    old, new = (spark.createDataFrame([("p", i, s) for i, s in enumerate(lines)], "pair string, place int, line string") for lines in sides)
+    got = sorted((r.old_from, r.old_to, r.new_from, r.new_to, r.tag) for r in diff.opcodes(old, new).collect())
+    assert got == [(0, 4, 0, 4, "equal"), (4, 4, 4, 5, "insert"), (4, 6, 5, 7, "equal")]
