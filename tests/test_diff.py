@@ -131,3 +131,10 @@ def test_null_lines_and_equal_chunks(spark):
     old, new = (spark.createDataFrame([("p", i, s) for i, s in enumerate(lines)], "pair string, place int, line string") for lines in sides)
     got = sorted((r.old_from, r.old_to, r.new_from, r.new_to, r.tag) for r in diff.opcodes(old, new).collect())
     assert got == [(0, 4, 0, 4, "equal"), (4, 4, 4, 5, "insert"), (4, 6, 5, 7, "equal")]
+
+
+def test_section_changes_call_python_by_batches(spark, tmp_path):
+    df = integrity.section_changes(spark, pages(spark, tmp_path))
+    got = {r.pair: (r.section, r.removed, r.added) for r in df.collect()}
+    assert grouped_calls(df) == 0
+    assert got == {p: ("?", 0 if p == 4 else 80 if p == 10 else 14, 80 if p == 4 else 0 if p == 10 else 14) for p in range(11)}
