@@ -138,3 +138,12 @@ def test_section_changes_call_python_by_batches(spark, tmp_path):
     got = {r.pair: (r.section, r.removed, r.added) for r in df.collect()}
     assert grouped_calls(df) == 0
     assert got == {p: ("?", 0 if p == 4 else 80 if p == 10 else 14, 80 if p == 4 else 0 if p == 10 else 14) for p in range(11)}
+
+
+def test_patched_editions_call_python_by_batches(spark, tmp_path):
+    path = pages(spark, tmp_path)
+    old, new = integrity._page_editions(spark, path)
+    assert grouped_calls(diff.applied(old, diff.patch(diff.opcodes(old, new), new))) == 0
+    df = integrity.patched_editions(spark, path)
+    rel = oracle(path).sql(integrity.PATCHED_SQL)
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(rel.columns, rel.fetchall())
