@@ -280,8 +280,11 @@ def rules_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules search with quotas: the best forty documents of a passage, topped up with the subject's source (its best three)
     and the best long document; twelve places by quota, long documents first, then the subject's, then by rank."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("n_chars") > 2000).alias("is_list"))
-    scored = lexical.of_table(table(spark, sf_dir, "documents"), scope="source").bm25(table(spark, sf_dir, "benchmark"), "item_id")
-    scored = scored.select(F.col("item_id").alias("query_id"), "doc_id", F.round("score", 6).alias("score")).join(docs, "doc_id")
+    # what can be among the best of all, of the subject's source or of the long ones is among the best of one of four kinds of documents
+    kinds = docs.groupBy("doc_id").agg((F.max(F.when(F.col("source") == "src0", 2).otherwise(0)) + F.max(F.when(F.col("is_list"), 1).otherwise(0))).alias("g"))
+    scored = lexical.of_table(table(spark, sf_dir, "documents"), scope="source").bm25(table(spark, sf_dir, "benchmark"), "item_id", best=40, groups=kinds)
+    scored = scored.select(F.col("item_id").alias("query_id"), "doc_id", F.round("score", 6).alias("score"))
+    scored = store.stored(scored, "scores").join(docs, "doc_id")  # read three times
     best = [F.desc("score"), F.asc("doc_id")]
     pool = R.top_k(scored, "query_id", best, 40).drop("rank")
     topped = pool.unionByName(R.top_k(scored.where("source = 'src0'"), "query_id", best, 3).drop("rank")).unionByName(R.top_k(scored.where("is_list"), "query_id", best, 1).drop("rank")).distinct()

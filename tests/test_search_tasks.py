@@ -1,6 +1,10 @@
 """Searches keep the scored pairs of one task in bounds."""
 
 from corvane.operators import lexical, retrieval
+from corvane.plans import lists
+from corvane.plans import retrieval as plans
+from tests.compare import oracle, rows
+from tests.test_growth import most_joined
 from pyspark.sql import functions as F
 
 
@@ -45,3 +49,27 @@ def test_best_are_the_first_of_all(spark, tmp_path, monkeypatch):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     monkeypatch.setattr(retrieval, "MOST_TERMS", 0)
     assert firsts(retrieval.bm25(docs, asked, "doc_id", "item_id", best=4), 4) == want
+
+
+def corpus(spark, path) -> str:
+    """200 documents and 30 passages that all share five words: 1,000 postings, 30,000 of them with each passage."""
+    text = F.expr("concat('common words of all texts ', repeat(concat('w', id % 9, ' '), cast(1 + id % 5 AS int)))")
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), text.alias("text"), F.expr("CASE WHEN id % 4 = 3 THEN 'fr' ELSE 'de' END").alias("lang"))
+    # the subject's source and the long documents are few and not among the best
+    source = F.expr("CASE WHEN id > 194 THEN 'src0' WHEN id = 7 THEN NULL ELSE concat('src', 1 + id % 4) END")
+    docs.withColumns({"source": F.expr("NULL"), "n_chars": F.when(F.col("doc_id") == 190, 3000).otherwise(100).cast("bigint")}).withColumn("id", F.col("doc_id")).withColumn("source", source).drop("id").write.parquet(f"{path}/documents.parquet")
+    spark.range(30).select(F.col("id").alias("item_id"), F.expr("concat('all common texts of words w', id % 9)").alias("text")).write.parquet(f"{path}/benchmark.parquet")
+    vector = F.expr("transform(sequence(1, 64), x -> cast(sin(x * (id + 1)) AS float))")
+    spark.range(200).select(F.col("id").alias("vec_id"), vector.alias("embedding"), F.lit(1).alias("label")).write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+def held_to_sql(spark, path, query, sql):
+    df = query(spark, path)
+    assert most_joined(df) <= 4000
+    rel = oracle(path).sql(sql)
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(rel.columns, rel.fetchall())
+
+
+def test_rules_window_joins_no_pairs(spark, tmp_path):
+    held_to_sql(spark, corpus(spark, tmp_path), lists.rules_window, lists.RULES_SQL)
