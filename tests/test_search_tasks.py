@@ -73,3 +73,7 @@ def held_to_sql(spark, path, query, sql):
 
 def test_rules_window_joins_no_pairs(spark, tmp_path):
     held_to_sql(spark, corpus(spark, tmp_path), lists.rules_window, lists.RULES_SQL)
+
+
+def test_filtered_hybrid_joins_no_pairs(spark, tmp_path):
+    held_to_sql(spark, corpus(spark, tmp_path), plans.filtered_hybrid, plans.FILTERED_SQL)
