@@ -77,3 +77,7 @@ def test_rules_window_joins_no_pairs(spark, tmp_path):
 
 def test_filtered_hybrid_joins_no_pairs(spark, tmp_path):
     held_to_sql(spark, corpus(spark, tmp_path), plans.filtered_hybrid, plans.FILTERED_SQL)
+
+
+def test_refreshed_index_joins_no_pairs(spark, tmp_path):
+    held_to_sql(spark, corpus(spark, tmp_path), plans.refreshed_index, plans.BM25_SQL)
