@@ -81,3 +81,11 @@ def test_filtered_hybrid_joins_no_pairs(spark, tmp_path):
 
 def test_refreshed_index_joins_no_pairs(spark, tmp_path):
     held_to_sql(spark, corpus(spark, tmp_path), plans.refreshed_index, plans.BM25_SQL)
+
+
+def test_stemmed_search_joins_no_pairs(spark, tmp_path):
+    path = corpus(spark, tmp_path)
+    df = plans.stemmed_search(spark, path)
+    assert most_joined(df) <= 4000
+    docs, asked = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")
+    assert sorted((r.item_id, r["rank"], r.doc_id, r.score) for r in df.collect()) == firsts(retrieval.bm25(docs, asked, "doc_id", "item_id", stem="english"), 5)
