@@ -4,20 +4,27 @@
     index.refresh(docs)                      # docs hold all documents of the scopes that they name
     index.bm25(queries, "item_id")           # as retrieval.bm25 over all documents of all scopes
 
-``postings/scope=S/version=V/bucket=B`` holds term, doc_id, tf and dl, sorted by term. V is a digest of a scope's documents, so a
-batch that comes again finds its version in place and changes nothing. A refresh writes the new versions first, then publishes a
+``postings/scope=S/version=V/bucket=B`` holds lists of postings (term, and arrays of doc_id, dl and tf), sorted by term in each file.
+Documents are dealt by scope and id, and a task makes a list of a term for each block of its documents and writes it where it is, so
+that postings are neither shuffled nor sorted as rows. V is a digest of a scope's documents, so a batch that comes again finds its
+version in place and changes nothing. A refresh writes the new versions first, then publishes a
 manifest (scope, version, n_docs, sum_dl; a row for each scope) as a new folder, and deletes replaced versions at last: a failure
 before the publication leaves the index as it was, one after it leaves only what the next refresh deletes. Corpus-wide counts come
 from the manifest and from the postings of all live versions, so a refresh of one scope gives the scores of a rebuild.
 
 A search reads the buckets of the asked terms only (partition filters). A frequent term's postings lie in as many files as its
-bucket's size asks for.
+scope's texts were dealt to.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +33,12 @@ from corvane.functions.text import tokens
 from corvane.operators.retrieval import B, K1, MOST_TERMS, best_scored, by_document, numbered, stems_of
 from corvane.sources import store
 
-#: Postings in one file of a bucket, about; asked terms that are named in the scan's filter at most.
-FILE_ROWS, NAMED = 2_000_000, 1000
+#: Characters of a scope that are dealt to one task, about; asked terms that are named in the scan's filter at most.
+PART, NAMED = 16_000_000, 1000
+#: Tokens of a block of documents whose lists are made at once, about; postings of one list at most.
+BLOCK_TOKENS, LIST = 2_000_000, 65_536
+#: The form of the stored lists; an index of another form is written anew.
+FORM = "lists 1"
 
 
 def scope_key(scope: Column) -> Column:
@@ -35,6 +46,66 @@ def scope_key(scope: Column) -> Column:
     return F.when(scope.isNull(), "none").otherwise(F.concat(F.lit("of "), scope.cast("string")))
 
 
+def lists_of(rows: pa.Table, buckets: int, most: int) -> pa.RecordBatch:
+    """Documents (scope, doc_id, words) as lists (scope, term, doc_id, dl, tf) of at most ``most`` postings, by scope, bucket and term. The
+    empty term stands once in each document: its postings are the documents. Rows of one id and length are one document."""
+    scope, ids = rows.column("scope").combine_chunks().dictionary_encode(), rows.column("doc_id").combine_chunks()
+    words = rows.column("words").combine_chunks()
+    size = np.diff(words.offsets.to_numpy()).astype(np.int64)
+    in_order = ids.dictionary_encode(null_encoding="encode")
+    key = (scope.indices.to_numpy().astype(np.int64) * len(in_order.dictionary) + in_order.indices.to_numpy()) * (size.max() + 1) + size
+    _, first, doc = np.unique(key, return_index=True, return_inverse=True)
+    own = scope.indices.to_numpy()[first].astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    terms = pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([""], pa.string())])
+    bucket = np.array([zlib.crc32(t.encode()) % buckets for t in terms.to_pylist()])
+    order = pc.sort_indices(terms).to_numpy()
+    order = order[np.argsort(bucket[order], kind="stable")]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    # a posting is a number: scope, term, document
+    term = place[np.r_[coded.indices.to_numpy(), np.full(len(rows), len(terms) - 1)]]
+    doc = np.r_[np.repeat(doc, size), doc]
+    posting, tf = np.unique((own[doc] * len(terms) + term) * len(first) + doc, return_counts=True)
+    listed, doc = np.divmod(posting, len(first))
+    start = np.flatnonzero(np.r_[True, listed[1:] != listed[:-1]])
+    # long lists go on as others
+    start = np.flatnonzero((np.arange(len(listed)) - np.repeat(start, np.diff(np.r_[start, len(listed)]))) % most == 0)
+    ends = pa.array(np.r_[start, len(listed)].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, x) for x in (ids.take(pa.array(first[doc])), pa.array(size[first][doc].astype(np.int32)), pa.array(tf.astype(np.int32)))]
+    at, term = np.divmod(listed[start], len(terms))
+    return pa.RecordBatch.from_arrays([scope.dictionary.take(pa.array(at)).cast(pa.string()), terms.take(pa.array(order[term])), *lists], ["scope", "term", "doc_id", "dl", "tf"])
+
+
+def listed(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lists of postings of documents that come by scope and id, made in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            # a batch may hold many long texts
+            sizes = np.cumsum(np.diff(batch.column("words").offsets.to_numpy()) + 1)
+            cuts = np.unique(np.searchsorted(sizes, np.arange(BLOCK_TOKENS, sizes[-1] if len(sizes) else 0, BLOCK_TOKENS)))
+            for lo, hi in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+                held.append(batch.slice(lo, hi - lo))
+                n += int(sizes[hi - 1] - (sizes[lo - 1] if lo else 0)) if hi > lo else 0
+                if n < BLOCK_TOKENS:
+                    continue
+                rows = pa.Table.from_batches(held)
+                code = lambda c: rows.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()  # noqa: B023, E731
+                scope, ids = code("scope"), code("doc_id")
+                other = np.flatnonzero((scope != scope[-1]) | (ids != ids[-1]))
+                cut = int(other[-1]) + 1 if len(other) else 0  # the last id may come again
+                if cut:
+                    yield lists_of(rows.slice(0, cut), buckets, LIST)
+                held, n = rows.slice(cut).combine_chunks().to_batches(), 0
+        if sum(map(len, held)):
+            yield lists_of(pa.Table.from_batches(held), buckets, LIST)
+
+    return run
+
+
 class Index:
     """The index in one folder. ``buckets`` and ``stem`` (a language of ``stems``) are fixed when it is first filled."""
 
@@ -59,14 +130,16 @@ class Index:
         return {r["scope"]: (r["version"], r["n_docs"], r["sum_dl"]) for r in self.spark.read.parquet(f"{self.path}/manifest/n{known[-1]}").collect()}
 
     def _term_bucket(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.crc32(term.cast("binary")), F.lit(self.buckets)).cast("int")  # as in ``lists_of``
 
     def refresh(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: str = "scope", gone: list | None = None) -> list[str]:
         """Replace the scopes that ``docs`` holds (whole) and drop those named by ``gone``; returns the scopes that changed."""
         before = self.live()
-        rows = docs.select(scope_key(F.col(scope)).alias("scope"), F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-        digest = F.sha1(F.concat_ws(" ", F.lit(f"{self.buckets} {self.stem}"), F.count(F.lit(1)).cast("string"), F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)")).cast("string"), F.sum(F.xxhash64("text", "doc_id", F.lit(1)).cast("decimal(38,0)")).cast("string")))
-        new = {r["scope"]: r["version"] for r in rows.groupBy("scope").agg(digest.alias("version")).collect()}  # a row for each scope
+        rows = docs.select(scope_key(F.col(scope)).alias("scope"), F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+        digest = F.sha1(F.concat_ws(" ", F.lit(f"{FORM} {self.buckets} {self.stem}"), F.count(F.lit(1)).cast("string"), F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)")).cast("string"), F.sum(F.xxhash64("text", "doc_id", F.lit(1)).cast("decimal(38,0)")).cast("string")))
+        found = rows.groupBy("scope").agg(digest.alias("version"), F.sum(F.length("text")).alias("size")).collect()  # a row for each scope
+        new = {r["scope"]: r["version"] for r in found}
+        self._sizes = {r["scope"]: r["size"] for r in found}
         changed = {s: v for s, v in new.items() if s not in before or before[s][0] != v}
         dropped = [s for s in ("none" if g is None else f"of {g}" for g in gone or []) if s in before and s not in new]
         counts = self._write(rows, changed) if changed else {}
@@ -80,26 +153,29 @@ class Index:
 
     def _write(self, rows: DataFrame, versions: dict[str, str]) -> dict[str, tuple[int, int]]:
         """Write the postings of some scopes; returns their numbers of documents and sums of lengths."""
-        named = F.broadcast(self.spark.createDataFrame(sorted(versions.items()), "scope string, version string"))
-        # texts are dealt by document, so that terms are counted where they are cut; a version is named again when it is written
-        words = rows.join(named, "scope").repartition("doc_id").select("scope", "doc_id", tokens(F.col("text")).alias("_w"))
-        # the empty term stands once in each document: its postings are the documents
-        words = words.select("scope", "doc_id", F.size("_w").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_w")).alias("term"))
-        if self.stem:
-            words = words.withColumnRenamed("term", "_word").join(stems_of(words, self.stem), "_word").drop("_word")
-        postings = words.groupBy("scope", "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", self._term_bucket(F.col("term")))
-        size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-        files = max(1, round(size / 6 / self.buckets / FILE_ROWS))
-        dealt = postings.repartition("scope", "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(files))).join(named, "scope").sortWithinPartitions("scope", "version", "bucket", "term", "doc_id")
+        parts = lambda s: max(1, round(self._sizes[s] / PART))
+        named = F.broadcast(self.spark.createDataFrame([(s, v, parts(s)) for s, v in sorted(versions.items())], "scope string, version string, parts int"))
+        # texts are dealt by scope and document, so that lists are made where texts are cut; a version is named again when it is written
+        docs = rows.join(named, "scope").withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+        # parts meet by chance in a task, so there are more tasks than parts, however long the texts
+        tasks = 2 * sum(map(parts, versions))
+        usual = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        docs = (docs.repartition(tasks, "scope", "_part") if tasks > usual else docs.repartition("scope", "_part")).sortWithinPartitions("scope", "doc_id")
+        lists = docs.select("scope", "doc_id", tokens(F.col("text")).alias("words")).mapInArrow(listed(self.buckets), "scope string, term string, doc_id array<bigint>, dl array<int>, tf array<int>")
+        if self.stem:  # words of one stem keep lists of their own
+            lists = lists.withColumnRenamed("term", "_word").join(stems_of(lists, self.stem), "_word").drop("_word")
+            lists = lists.repartition("scope", self._term_bucket(F.col("term")))
+        dealt = lists.join(named.drop("parts"), "scope").withColumn("bucket", self._term_bucket(F.col("term"))).sortWithinPartitions("scope", "version", "bucket", "term")
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scope", "version", "bucket").parquet(f"{self.path}/postings")
         stats = self._postings().where(F.col("version").isin(sorted(versions.values())) & (F.col("bucket") == self._number("")) & (F.col("term") == ""))
-        return {r["scope"]: (r["n"], r["s"]) for r in stats.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").cast("bigint").alias("s")).collect()}
+        total = F.aggregate("dl", F.lit(0).cast("bigint"), lambda a, x: a + x)
+        return {r["scope"]: (r["n"], r["s"]) for r in stats.groupBy("scope").agg(F.sum(F.size("doc_id")).alias("n"), F.sum(total).alias("s")).collect()}
 
     def _number(self, term: str) -> int:
         return self.spark.range(1).select(self._term_bucket(F.lit(term))).first()[0]
 
     def _postings(self) -> DataFrame:
-        return self.spark.read.schema("doc_id bigint, dl int, term string, tf bigint, scope string, version string, bucket int").parquet(f"{self.path}/postings")
+        return self.spark.read.schema("term string, doc_id array<bigint>, dl array<int>, tf array<int>, scope string, version string, bucket int").parquet(f"{self.path}/postings")
 
     def _vacuum(self) -> None:
         """Delete versions that no manifest but the newest names, and old manifests."""
@@ -136,8 +212,13 @@ class Index:
         rows = rows.where(F.col("bucket").isin([r[0] for r in terms.select("bucket").distinct().collect()]) & (F.col("term") != ""))
         if len(named := [r[0] for r in terms.select("term").limit(NAMED + 1).collect()]) <= NAMED:
             rows = rows.where(F.col("term").isin(named))
-        found = rows.join(small(asked.select("term").distinct()), "term", "left_semi")
-        df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        lists = rows.join(small(asked.select("term").distinct()), "term", "left_semi")
+        found = lists.select("term", F.inline(F.arrays_zip("doc_id", "dl", "tf")))
+        if self.stem:
+            found = found.groupBy("doc_id", "dl", "term").agg(F.sum("tf").alias("tf"))
+            df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        else:
+            df = lists.groupBy("term").agg(F.sum(F.size("doc_id")).alias("df"))
         idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(sum_dl / n_docs)))
         if keep is not None:
@@ -162,7 +243,7 @@ def of_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope:
         files, where = store.at(spark, name)
         status = files.getFileStatus(where)
         stamp.append(f"{name} {status.getLen()} {status.getModificationTime()}")
-    digest = spark.range(1).select(F.sha1(F.lit("\n".join([*stamp, doc_id, text, scope])))).first()[0]
+    digest = spark.range(1).select(F.sha1(F.lit("\n".join([*stamp, doc_id, text, scope, FORM])))).first()[0]
     index = Index(spark, f"{store.shared_folder(spark)}/lexical-{digest}")
     if not index.live():
         index.refresh(docs, doc_id, text, scope)
