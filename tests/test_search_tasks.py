@@ -89,3 +89,10 @@ def test_stemmed_search_joins_no_pairs(spark, tmp_path):
     assert most_joined(df) <= 4000
     docs, asked = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")
     assert sorted((r.item_id, r["rank"], r.doc_id, r.score) for r in df.collect()) == firsts(retrieval.bm25(docs, asked, "doc_id", "item_id", stem="english"), 5)
+
+
+def test_filtered_hybrid_reads_lists(spark, tmp_path, monkeypatch):
+    """An index of lists of postings, made in blocks of a few tokens, gives the results of the SQL."""
+    for name, value in (("BLOCK_TOKENS", 50), ("LIST", 3), ("PART", 5000)):
+        monkeypatch.setattr(lexical, name, value)
+    held_to_sql(spark, corpus(spark, tmp_path), plans.filtered_hybrid, plans.FILTERED_SQL)
