@@ -71,7 +71,9 @@ def code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = R.nearest_values(asked.drop("p_type").join(to_ask, "q"), held.drop("p_type"), 10, "p_retailprice", ["code", "p_partkey"])
     # nine parts at most of the nearest of a type are in the tiers before, and those above the code by some levels are hits as such
     lacking = asked.join(full, "q", "left_anti").where("want IS NOT NULL").select("query_id", "q", "want", F.lit(3).alias("tier"), cls("t", "p_type").alias("cls"))
-    by_type = R.nearest_values(lacking, parts.where("p_retailprice IS NOT NULL").withColumn("cls", cls("t", "p_type")).drop("p_type"), 20, "p_retailprice", ["code", "p_partkey"])
+    # of the types (names of few), only those that such a query asks for are put in order
+    of_type = parts.where("p_retailprice IS NOT NULL").withColumn("cls", cls("t", "p_type")).drop("p_type").join(F.broadcast(lacking.select("cls").distinct()), "cls", "left_semi")
+    by_type = R.nearest_values(lacking, of_type, 20, "p_retailprice", ["code", "p_partkey"])
     by_type = by_type.where("abs(p_retailprice - want) <= 2 AND NOT (startswith(k, q) OR startswith(q, k))")
     hits = hits.unionByName(by_type).withColumn("gap", F.round(F.abs(F.col("p_retailprice") - F.col("want")), 4))
     return R.top_k(hits, "query_id", [F.asc("tier"), F.asc_nulls_last("gap"), F.asc("code"), F.asc("p_partkey")], 10).select("query_id", "p_partkey", "code", F.col("tier").cast("bigint").alias("tier"), "gap", "rank")

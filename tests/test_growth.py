@@ -58,3 +58,28 @@ def test_target_selection_of_one_code(spark, tmp_path):
     path = parts(spark, tmp_path, [(i, "name", "Brand#1", "LARGE", 1 + i % 2, 900.0 + i % 7) for i in range(900)])
     df = codes.target_selection(spark, path)
     assert most_joined(df) <= 45 * 120 and same_as_sql(df, "target_selection", path)
+
+
+def shuffled_rows(df) -> int:
+    """Rows that the exchanges of the query wrote."""
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        df.collect()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+
+    def walk(plan):
+        if plan.nodeName() == "Exchange":
+            yield plan.metrics().apply("shuffleRecordsWritten").value()
+        children = plan.children()
+        for i in range(children.size()):
+            yield from walk(children.apply(i))
+
+    return sum(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_target_selection_orders_asked_types_only(spark, tmp_path):
+    """Parts whose queries are all answered by code: the parts of their type are not put in order."""
+    path = parts(spark, tmp_path, [(i, "name", "Brand#1", "LARGE", 1 + i % 2, 900.0 + i) for i in range(900)])
+    df = codes.target_selection(spark, path)
+    assert shuffled_rows(df) <= 6 * 900 and same_as_sql(df, "target_selection", path)
