@@ -34,6 +34,9 @@ ENGLISH_REGION = "gener|commun|arsen"
 STEP_2 = {"tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": ""}
 STEP_3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
 STEP_4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion"]
+PLURALS, PARTICIPLES = "sses|ied|ies|us|ss|s", "eed|eedly|ed|edly|ing|ingly"
+#: What a step needs: a word without it stays as it is.
+ENDED = f"['Y]|(?:{'|'.join([PLURALS, PARTICIPLES, *STEP_2, *STEP_3, *STEP_4])}|[yel])$"
 DOUBLES, LI_BEFORE = "bb|dd|ff|gg|mm|nn|pp|rr|tt", "[cdeghkmnrt]"
 #: Consonants, with Y for a y that is none of a vowel; ends of short syllables.
 V, C, SHORT = "[aeiouy]", "[^aeiouy]", "(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$"
@@ -129,8 +132,8 @@ def english(word: Column) -> Column:
 
         steps = [
             _at_end("'s'|'s|'", lambda x, e, cut: cut),
-            _at_end("sses|ied|ies|us|ss|s", plural),
-            _at_end("eed|eedly|ed|edly|ing|ingly", participle),
+            _at_end(PLURALS, plural),
+            _at_end(PARTICIPLES, participle),
             _at_end("[yY]", lambda x, e, cut: F.when(cut.rlike(f".{C}$"), F.concat(cut, F.lit("i"))).otherwise(x)),
             _at_end("|".join(STEP_2), second),
             _at_end("|".join(STEP_3), third),
@@ -149,7 +152,7 @@ def english(word: Column) -> Column:
     # a y at the start or behind a vowel is no vowel; of several in a row every second one
     marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "^'", ""), "^y", "Y"), f"({V})y", "$1Y")
     listed = F.try_element_at(F.create_map(*[F.lit(x) for pair in ENGLISH_WHOLE.items() for x in pair]), word)
-    return F.coalesce(listed, F.when(F.length(word) < 3, word).otherwise(_let(marked, with_regions)))
+    return F.coalesce(listed, F.when((F.length(word) < 3) | ~word.rlike(ENDED), word).otherwise(_let(marked, with_regions)))
 
 
 LANGUAGES = {"english": english, "russian": russian}

@@ -12,7 +12,7 @@ REFERENCE, MARKER = r"\[\d+(?:,\s*\d+)*\]", r"^(#{1,6}\s+|[•\-*]\s+)"
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits of two characters or more."""
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{Nd}]+)"), 1), lambda t: F.length(t) > 1)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{Nd}]{2,}"), 0)
 
 
 def ngrams(words: Column, n: int) -> Column:

@@ -91,6 +91,31 @@ def test_stemmed_search_joins_no_pairs(spark, tmp_path):
     assert sorted((r.item_id, r["rank"], r.doc_id, r.score) for r in df.collect()) == firsts(retrieval.bm25(docs, asked, "doc_id", "item_id", stem="english"), 5)
 
 
+def scanned_rows(df) -> int:
+    """Rows that the scans of the query's plan gave; what is read again from a shuffle has no scan."""
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        df.collect()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+
+    def walk(plan):
+        if plan.nodeName().startswith("Scan parquet"):
+            yield plan.metrics().apply("numOutputRows").value()
+        children = plan.children()
+        for i in range(children.size()):
+            yield from walk(children.apply(i))
+
+    return sum(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_stemmed_search_cuts_texts_once_for_scores(spark, tmp_path):
+    """The corpus' counts, the terms' and the weights come from one reading of the 200 documents; the distinct words are stored."""
+    path = corpus(spark, tmp_path)
+    for query in (plans.stemmed_search, plans.bm25_topk):
+        assert 200 <= scanned_rows(query(spark, path)) < 300
+
+
 def test_filtered_hybrid_reads_lists(spark, tmp_path, monkeypatch):
     """An index of lists of postings, made in blocks of a few tokens, gives the results of the SQL."""
     for name, value in (("BLOCK_TOKENS", 50), ("LIST", 3), ("PART", 5000)):

@@ -193,3 +193,12 @@ def test_stemmed_search(spark):
     got = retrieval.bm25(df, q, "doc_id", "item_id", stem="english")
     rows = lambda x: sorted((r.item_id, r.doc_id, round(r.score, 9)) for r in x.collect())
     assert rows(got) == rows(want) and {(i, d) for i, d, _ in rows(got)} == {(1, 1), (1, 2), (1, 6), (2, 1), (2, 3)}
+
+
+def test_english_words_without_an_ending(spark):
+    """A word that no step takes an ending of is left alone; one with an apostrophe or a capital y is not."""
+    words = ["isverschsch", "etourémentau", "12", "a'b", "'a", "yYo", "inkd", "ayo", "привет", "boy's", "eau", "cost", "aio", "costs", "biliti", "ogi"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert {r[0]: r[1] for r in df.select("w", S.stemmed(F.col("w"), "english")).collect() if "Y" not in r[0]} == {w: plain_english(w) for w in words if "Y" not in w}
+    assert df.where("w = 'yYo'").select(S.stemmed(F.col("w"), "english")).first()[0] == "yyo"
+    assert df.where(~F.col("w").rlike(S.ENDED)).count() == 9
